@@ -37,6 +37,23 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
 
 
+def op2_elias_fano_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from prudentia.llm.token_store import read_store, token_store
+
+    docs = table(spark, sf_dir, "documents")
+    return read_store(token_store(spark, docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from prudentia.llm.pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -73,7 +90,9 @@ SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS take
 """
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_elias_fano_store": op2_elias_fano_store,
     "op4_stratified_shards": op4_stratified_shards,
+    "op5_piece_spans": op5_piece_spans,
     "op6_source_mix": op6_source_mix,
 }
 
