@@ -35,7 +35,8 @@ from prudentia.llm.textscan import chunks, column_bytes
 from prudentia.llm.wordcache import SegmentEncoder
 
 MAGIC = b"EFTOK1\0\0"
-HEAD = struct.Struct("<8sQQQq")
+HEAD = "<8sQQQq"
+HEAD_BYTES = struct.calcsize(HEAD)
 #: Bytes of text that a part file is planned to hold.
 PART_BYTES = 32 << 20
 
@@ -113,7 +114,7 @@ def write_store(encoded: DataFrame, parts: int) -> DataFrame:
         fs.create_dir(root, recursive=True)
         path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
         with fs.open_output_stream(path) as out:
-            out.write(HEAD.pack(MAGIC, int(bounds[-1]), len(edge), len(name), int(doc_ids[0])))
+            out.write(struct.pack(HEAD, MAGIC, int(bounds[-1]), len(edge), len(name), int(doc_ids[0])))
             out.write(edge)
             out.write(name)
             for body in bodies:
@@ -131,13 +132,13 @@ class Part:
     def __init__(self, folder: str, name: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         self._file = fs.open_input_file(f"{root}/{name}")
-        magic, self.n_ids, edge, names, self.base = HEAD.unpack(self._file.read_at(HEAD.size, 0))
+        magic, self.n_ids, edge, names, self.base = struct.unpack(HEAD, self._file.read_at(HEAD_BYTES, 0))
         if magic != MAGIC:
             raise ValueError(f"not a token part: {name}")
-        head = self._file.read_at(edge + names, HEAD.size)
+        head = self._file.read_at(edge + names, HEAD_BYTES)
         self.bounds = elias_fano.Sequence(head)
         self.names = elias_fano.Sequence(head, edge)
-        self._body = HEAD.size + edge + names
+        self._body = HEAD_BYTES + edge + names
         self.n_docs = self.names.n
 
     def ids(self, i: int) -> np.ndarray:
