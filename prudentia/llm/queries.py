@@ -40,10 +40,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_elias_fano_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    from prudentia.llm.token_store import read_store, token_store
+    from prudentia.llm.token_store import read_store, write_store
 
     docs = table(spark, sf_dir, "documents")
-    return read_store(token_store(spark, docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+    return read_store(write_store(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -4,11 +4,12 @@ A store is a folder of part files.  Part k holds the documents of one range of
 doc_id, ascending, and parts follow one another in the same order::
 
     magic "EFTOK1\\0\\0"
-    unsigned 64-bit: ids in the part, bytes of the boundary and doc_id sections
+    unsigned 64-bit: bytes of one id (2 where all fit, else 4), ids in the part,
+    bytes of the boundary section, bytes of the doc_id section
     Elias-Fano sequence: where each document begins, and the total
     Elias-Fano sequence: doc_id minus the part's smallest one (a signed 64-bit
     base stands before it); the store needs it to name documents
-    the ids, little-endian unsigned 32-bit, concatenated
+    the ids, little-endian unsigned, concatenated
 
 Offsets of single documents come from ``select`` on the boundaries.  Ids are
 read by position, so a reader needs the head of a part and the ids it is after.
@@ -25,17 +26,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudentia.llm import elias_fano
 from prudentia.llm.storage import new_dir, written
-from prudentia.llm.textscan import chunks, column_bytes
+from prudentia.llm.textscan import chunks
 from prudentia.llm.wordcache import SegmentEncoder
 
 MAGIC = b"EFTOK1\0\0"
-HEAD = "<8sQQQq"
+HEAD = "<8sQQQQq"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Bytes of text that a part file is planned to hold.
 PART_BYTES = 32 << 20
@@ -56,74 +57,69 @@ def _encoder(path: str) -> SegmentEncoder:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): each whole text's ids, little-endian unsigned 32-bit, with
-    ``end_id`` after them.  A null or empty text is ``end_id`` alone."""
-
-    def encode(batches) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
-        for part in chunks(batches, "text"):
-            ids, first = encoder(part.column("text"))
-            n = part.num_rows
-            flat = np.empty(len(ids) + n, dtype="<u4")
-            bounds = first + np.arange(n + 1)
-            ends = bounds[1:] - 1
-            keep = np.ones(len(flat), dtype=bool)
-            keep[ends] = False
-            flat[keep] = ids
-            flat[ends] = end_id
-            sizes = pa.py_buffer((bounds * 4).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), n, [None, sizes, pa.py_buffer(flat)])], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
-
-
-def write_store(encoded: DataFrame, parts: int) -> DataFrame:
-    """Write (doc_id, ids) as a store in shared storage; returns its manifest.
-
+def _encoded(batches, tokenizer: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, sizes, ids) of each slice of the batches, end ids included."""
+    encoder = _encoder(tokenizer)
+    for part in chunks(batches, "text"):
+        if part.column("doc_id").null_count:
+            raise ValueError("doc_id is null")
+        ids, first = encoder(part.column("text"))
+        n = part.num_rows
+        flat = np.empty(len(ids) + n, dtype=np.uint32)
+        bounds = first + np.arange(n + 1)
+        keep = np.ones(len(flat), dtype=bool)
+        keep[bounds[1:] - 1] = False
+        flat[keep] = ids
+        flat[~keep] = end_id
+        yield part.column("doc_id").to_numpy(), np.diff(bounds), flat
+
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) into a store in shared storage; returns
+    its manifest.
+
+    ``end_id`` ends every document; a null or empty text is ``end_id`` alone.
     The manifest has a row per part: ``part`` (its order), ``path``, ``n_docs``,
-    ``n_ids``.  A part's file gets its name from the task attempt that wrote it
-    and only whole files enter the manifest, so a task run twice does no harm.
-    Documents with equal doc_id keep all rows, in byte order of their ids; null
-    doc_id is refused (it has no place in the order).
+    ``n_ids``, ``folder``.  A file is named anew by each attempt to write it and
+    only whole files enter the manifest, so a task run twice does no harm.
+    Documents with equal doc_id are all kept, ordered by text; a null doc_id
+    is refused, as it has no place in the order.  An empty table gives an empty
+    manifest.
     """
-    folder = new_dir(encoded.sparkSession, "tokens")
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    folder = new_dir(docs.sparkSession, "tokens")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts or parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches) -> Iterator[pa.RecordBatch]:
-        docs: list[np.ndarray] = []
+        names: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        bodies: list[bytes] = []
-        for batch in batches:
-            if batch.column("doc_id").null_count:
-                raise ValueError("doc_id is null")
-            docs.append(batch.column("doc_id").to_numpy())
-            ids = batch.column("ids").cast(pa.large_binary())
-            offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-            sizes.append(np.diff(offsets) // 4)
-            bodies.append(memoryview(ids.buffers()[2])[offsets[0] : offsets[-1]])
-        if not docs:
-            return
-        doc_ids, counts = np.concatenate(docs), np.concatenate(sizes)
-        if not len(doc_ids):
+        bodies: list[np.ndarray] = []
+        most = end_id
+        for doc_ids, counts, ids in _encoded(batches, tokenizer, end_id):
+            names.append(doc_ids)
+            sizes.append(counts)
+            most = max(most, int(ids.max()))
+            bodies.append(ids.astype("<u2") if most < 1 << 16 else ids.astype("<u4"))
+        if not names:
             return
+        width = 2 if most < 1 << 16 else 4
+        doc_ids, counts = np.concatenate(names), np.concatenate(sizes)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         edge = elias_fano.encode(bounds, int(bounds[-1]))
         name = elias_fano.encode((doc_ids - doc_ids[0]).astype(np.uint64), int(doc_ids[-1] - doc_ids[0]))
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
-        with fs.open_output_stream(path) as out:
-            out.write(struct.pack(HEAD, MAGIC, int(bounds[-1]), len(edge), len(name), int(doc_ids[0])))
+        number = TaskContext.get().partitionId()
+        path = f"part-{number:06d}-{uuid.uuid4().hex}.tok"
+        with fs.open_output_stream(f"{root}/{path}") as out:
+            out.write(struct.pack(HEAD, MAGIC, width, int(bounds[-1]), len(edge), len(name), int(doc_ids[0])))
             out.write(edge)
             out.write(name)
             for body in bodies:
-                out.write(body)
-        row = [[TaskContext.get().partitionId()], [path.removeprefix(root + "/")], [len(doc_ids)], [int(bounds[-1])]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "n_docs", "n_ids"])
+                out.write(body.astype(f"<u{width}", copy=False))
+        row = {"part": number, "path": path, "n_docs": len(doc_ids), "n_ids": int(bounds[-1]), "folder": folder}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("folder", pa.string())]))
 
-    manifest = ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long")
-    return written(manifest.withColumn("folder", F.lit(folder)), "manifest")
+    return written(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long, folder string"), "manifest")
 
 
 class Part:
@@ -132,7 +128,7 @@ class Part:
     def __init__(self, folder: str, name: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         self._file = fs.open_input_file(f"{root}/{name}")
-        magic, self.n_ids, edge, names, self.base = struct.unpack(HEAD, self._file.read_at(HEAD_BYTES, 0))
+        magic, self._width, self.n_ids, edge, names, self.base = struct.unpack(HEAD, self._file.read_at(HEAD_BYTES, 0))
         if magic != MAGIC:
             raise ValueError(f"not a token part: {name}")
         head = self._file.read_at(edge + names, HEAD_BYTES)
@@ -143,15 +139,17 @@ class Part:
 
     def ids(self, i: int) -> np.ndarray:
         at, to = self.bounds.select(i), self.bounds.select(i + 1)
-        return np.frombuffer(self._file.read_at(4 * (to - at), self._body + 4 * at), "<u4")
+        return self._read(at, to)
+
+    def _read(self, at: int, to: int) -> np.ndarray:
+        return np.frombuffer(self._file.read_at(self._width * (to - at), self._body + self._width * at), f"<u{self._width}")
 
     def scan(self, docs: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(doc_ids, bounds, ids) of so many documents after another."""
         for at in range(0, self.n_docs, docs):
             to = min(at + docs, self.n_docs)
             bounds = self.bounds.values(at, to + 1)
-            body = self._file.read_at(4 * int(bounds[-1] - bounds[0]), self._body + 4 * int(bounds[0]))
-            yield self.names.values(at, to) + self.base, bounds, np.frombuffer(body, "<u4")
+            yield self.names.values(at, to) + self.base, bounds, self._read(int(bounds[0]), int(bounds[-1]))
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -174,7 +172,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 for names, bounds, ids in Part(r["folder"], r["path"]).scan():
                     rel = bounds - bounds[0]
-                    body = memoryview(ids).cast("B")
+                    body = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                     sums = [crc32(body[4 * a : 4 * b]) for a, b in zip(rel[:-1].tolist(), rel[1:].tolist(), strict=True)]
                     columns = [names, bounds[:-1] + r["before"], np.diff(bounds), np.array(sums, np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -186,8 +184,3 @@ def parts_for(docs: DataFrame) -> int:
     """Part files for a table, by the bytes of its texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(1, -(-total // PART_BYTES))
-
-
-def token_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Encode ``docs`` (doc_id, text), write the store, and return its manifest."""
-    return write_store(encode_documents(docs, tokenizer, end_id), parts_for(docs))
