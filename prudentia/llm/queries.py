@@ -46,6 +46,26 @@ def op2_elias_fano_store(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return read_store(write_store(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.archives import convert, page_of, warc_index, write_arcs
+
+    pages = table(spark, sf_dir, "pages")
+    version = F.when(F.col("page_id") % 2 == 0, F.lit(1)).otherwise(F.lit(2))  # both forms of the legacy format
+    warcs = convert(write_arcs(pages, version))
+    return warc_index(warcs).select(page_of(F.col("url")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM k)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
+
 def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +111,7 @@ SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS take
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_elias_fano_store": op2_elias_fano_store,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_piece_spans": op5_piece_spans,
     "op6_source_mix": op6_source_mix,
@@ -102,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": OP6_SQL}
+    return {"op3_arc_to_warc": OP3_SQL, "op6_source_mix": OP6_SQL}
