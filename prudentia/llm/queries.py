@@ -74,6 +74,15 @@ def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None)
     return digest(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_wordpiece_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from prudentia.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -115,6 +124,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_piece_spans": op5_piece_spans,
     "op6_source_mix": op6_source_mix,
+    "op8_wordpiece_counts": op8_wordpiece_counts,
 }
 
 
