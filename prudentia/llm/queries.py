@@ -74,6 +74,13 @@ def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None)
     return digest(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.perplexity import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs, keep_text=False)
+
+
 def op8_wordpiece_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -124,6 +131,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_piece_spans": op5_piece_spans,
     "op6_source_mix": op6_source_mix,
+    "op7_perplexity_bands": op7_perplexity_bands,
     "op8_wordpiece_counts": op8_wordpiece_counts,
 }
 
