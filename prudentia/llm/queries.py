@@ -90,6 +90,12 @@ def op8_wordpiece_counts(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     return count_tokens(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op10_chosen_path_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -133,6 +139,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_perplexity_bands": op7_perplexity_bands,
     "op8_wordpiece_counts": op8_wordpiece_counts,
+    "op10_chosen_path_dups": op10_chosen_path_dups,
 }
 
 

@@ -118,5 +118,7 @@ def in_group(counts: np.ndarray) -> np.ndarray:
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of ``values[first[i]:first[i + 1]]`` for each i."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    added = np.cumsum(values)
+    total = np.zeros(len(added) + 1, dtype=added.dtype)
+    total[1:] = added
     return total[first[1:]] - total[first[:-1]]
