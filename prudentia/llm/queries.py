@@ -37,6 +37,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
 
 
+def op1_merged_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.suffix_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_text=False).drop("removed")
+
+
 def op2_elias_fano_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -132,6 +139,7 @@ SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS take
 """
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merged_bwt_dedup": op1_merged_bwt_dedup,
     "op2_elias_fano_store": op2_elias_fano_store,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_stratified_shards": op4_stratified_shards,
