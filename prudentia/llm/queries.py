@@ -97,6 +97,13 @@ def op8_wordpiece_counts(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     return count_tokens(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.permutation_index import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_chosen_path_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prudentia.llm.near_dup import near_duplicates
 
@@ -147,6 +154,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_perplexity_bands": op7_perplexity_bands,
     "op8_wordpiece_counts": op8_wordpiece_counts,
+    "op9_permutation_index": op9_permutation_index,
     "op10_chosen_path_dups": op10_chosen_path_dups,
 }
 
