@@ -15,7 +15,9 @@ SHA-256 of the payload and of the block.
 
 from __future__ import annotations
 
+import gzip
 import uuid
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -36,8 +38,6 @@ NAMESPACE = uuid.UUID("6f1a2f5e-3d57-5b0e-9a51-6c7d7f0c2b11")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
-#: Payload bytes that an archive is planned to hold.
-ARCHIVE_BYTES = 32 << 20
 
 
 # ---- ARC ------------------------------------------------------------------
@@ -149,20 +149,37 @@ _STAMP = pa.schema([("folder", pa.string()), ("path", pa.string()), ("records",
 def _new_file(folder: str, kind: str):
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    name = f"{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{kind}"
-    return name, fs.open_output_stream(f"{root}/{name}")
+    name = f"{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{kind}.gz"
+    return name, fs.open_output_stream(f"{root}/{name}", compression=None)
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, as archives keep them."""
+    return gzip.compress(record, compresslevel=1, mtime=0)
 
 
 class _Lines:
-    """readline and exact read over a buffered Arrow stream."""
+    """readline and exact read over the members of a compressed archive."""
 
     def __init__(self, folder: str, path: str):
         fs, root = pafs.FileSystem.from_uri(folder)
-        self._stream, self._held = fs.open_input_stream(f"{root}/{path}"), b""
+        self._stream, self._held = fs.open_input_stream(f"{root}/{path}", compression=None), b""
+        self._inflate, self._rest = zlib.decompressobj(31), b""
+
+    def _more(self) -> bytes:
+        while True:
+            if self._inflate.eof:
+                self._rest, self._inflate = self._inflate.unused_data, zlib.decompressobj(31)
+            raw = self._rest or self._stream.read(1 << 16)
+            self._rest = b""
+            if not raw:
+                return b""
+            if out := self._inflate.decompress(raw):
+                return out
 
     def readline(self) -> bytes:
         while (end := self._held.find(b"\n")) < 0:
-            more = self._stream.read(1 << 16)
+            more = self._more()
             if not more:
                 line, self._held = self._held, b""
                 return line
@@ -171,16 +188,18 @@ class _Lines:
         return line
 
     def read(self, n: int) -> bytes:
-        if n <= len(self._held):
-            block, self._held = self._held[:n], self._held[n:]
-            return block
-        block = self._held + self._stream.read(n - len(self._held))
-        self._held = b""
-        return block
+        parts, size = [self._held], len(self._held)
+        while size < n and (more := self._more()):
+            parts.append(more)
+            size += len(more)
+        whole = b"".join(parts)
+        self._held = whole[n:]
+        return whole[:n]
 
 
-def write_arcs(pages: DataFrame, version: Column | int = 1, archives: int | None = None) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as ARC files in shared storage.
+def write_arcs(pages: DataFrame, version: Column | int = 1) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as ARC files in shared storage, at
+    most one of each version for each partition that is read.
 
     Null html is an empty payload, null url ``about:blank``; blanks in an
     address are escaped, as a record line is cut at blanks.  The page_id stands
@@ -188,9 +207,6 @@ def write_arcs(pages: DataFrame, version: Column | int = 1, archives: int | None
     never see.  Returns (folder, path, records), a row per file.
     """
     folder = new_dir(pages.sparkSession, "arc")
-    if archives is None:
-        total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-        archives = max(1, -(-total // ARCHIVE_BYTES))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), (F.lit(version) if isinstance(version, int) else version).cast("int").alias("version"))
 
     def write(batches) -> Iterator[pa.RecordBatch]:
@@ -203,13 +219,13 @@ def write_arcs(pages: DataFrame, version: Column | int = 1, archives: int | None
                     if kind not in files:
                         name, out = _new_file(folder, "arc")
                         head = arc_head(kind, name, when)
-                        out.write(head)
+                        out.write(_member(head))
                         files[kind] = [name, out, len(head), 0]
                     own = files[kind]
                     mark = "" if r["page_id"] is None else r["page_id"]
                     url = "%20".join((r["url"] or "about:blank").split()) or "about:blank"
                     record = arc_record(kind, f"{url}#page={mark}", when, "text/html", own[0], own[2], (r["html"] or "").encode())
-                    own[1].write(record)
+                    own[1].write(_member(record))
                     own[2] += len(record)
                     own[3] += 1
         for own in files.values():
@@ -217,7 +233,7 @@ def write_arcs(pages: DataFrame, version: Column | int = 1, archives: int | None
         if files:
             yield pa.RecordBatch.from_pylist([{"folder": folder, "path": f[0], "records": f[3]} for f in files.values()], schema=_STAMP)
 
-    return written(rows.repartition(archives).mapInArrow(write, "folder string, path string, records long"), "arcs")
+    return written(rows.mapInArrow(write, "folder string, path string, records long"), "arcs")
 
 
 def _each_file(files: DataFrame) -> DataFrame:
@@ -288,7 +304,7 @@ def convert(files: DataFrame) -> DataFrame:
                 name, out = _new_file(folder, "warc")
                 with out:
                     info = f"software: prudentia\r\nformat: WARC File Format 1.1\r\nconverted-from: {f['path']}\r\n".encode()
-                    out.write(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f["path"], -1)), ("WARC-Date", iso_time("")), ("Content-Type", "application/warc-fields")], info))
+                    out.write(_member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f["path"], -1)), ("WARC-Date", iso_time("")), ("Content-Type", "application/warc-fields")], info)))
                     n = 0
                     for offset, line, block in read_arc(_Lines(f["folder"], f["path"])):
                         body = payload_of(line, block)
@@ -302,7 +318,7 @@ def convert(files: DataFrame) -> DataFrame:
                                 headers.append(("X-Refers-To-Page", str(to["page_id"])))
                             block = head
                         headers += [("WARC-Block-Digest", f"sha256:{sha256(block).hexdigest()}"), ("Content-Type", "application/http;msgtype=response" if head else line["Content-type"])]
-                        out.write(warc_record(headers, block))
+                        out.write(_member(warc_record(headers, block)))
                         n += 1
                 yield pa.RecordBatch.from_pylist([{"folder": folder, "path": name, "records": n}], schema=_STAMP)
 

@@ -299,3 +299,33 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_bytes_covered", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, n_bytes_covered long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """Add ``ids`` (array of int, with begin and end ids), ``n_tokens`` and
+    ``decoded_sha256`` (of the text that the ids decode to) to ``docs``.
+
+    A null or empty text has begin and end ids only.  Other columns and repeated
+    rows pass unchanged; columns with the added names are refused.
+    """
+    names = ["ids", "n_tokens", "decoded_sha256"]
+    if set(names) & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(set(names) & set(docs.columns))}")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def encode(batches) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model)
+        bos, eos = encoder.library.bos_id(), encoder.library.eos_id()
+        for part in chunks(batches, text):
+            ids, first = encoder.ids(part.column(text))
+            bounds = first + 2 * np.arange(len(first))
+            flat = np.empty(int(bounds[-1]), dtype=np.int32)
+            inner = np.ones(len(flat), dtype=bool)
+            inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+            flat[bounds[:-1]], flat[bounds[1:] - 1] = bos, eos
+            flat[inner] = ids
+            texts = [sha256(encoder.library.decode(flat[a:b].tolist()).encode()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)), pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
+
+    return docs.mapInArrow(encode, schema)

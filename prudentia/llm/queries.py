@@ -73,12 +73,17 @@ FROM m
 """
 
 
-def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+def piece_model() -> str:
+    """Where the installed tokenizers keep the piece model."""
     import public_tokenizers
 
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     from prudentia.llm.pieces import digest
 
-    return digest(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
+    return digest(table(spark, sf_dir, "documents"), model or piece_model())
 
 
 def op7_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
