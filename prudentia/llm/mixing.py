@@ -52,7 +52,8 @@ def water_fill(sources: DataFrame, size: str, max_epochs: float, share: float =
     s = s.withColumn("_open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
     # the level if exactly the sources before this one were clamped
     s = s.withColumn("_level", (F.col("_total") - F.col("_clamped")) / F.col("_open"))
-    found = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
+    # levels fall from the first source on that is not clamped
+    found = F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
     s = s.withColumn("_found", found)
     target = F.when(F.col("_found").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_found") * F.col("weight")))
     return s.withColumn("target", target).drop("_cap", "_ratio", "_total", "_clamped", "_open", "_level", "_found")

@@ -134,7 +134,7 @@ l AS (
             / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0.0::DOUBLE)) AS level
   FROM w
   WINDOW below AS (ORDER BY cap / weight, source_size, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT min(level) AS level FROM l WHERE level <= cap / weight),
+f AS (SELECT max(level) AS level FROM l WHERE level <= cap / weight),
 t AS (SELECT l.source, l.source_size,
              CASE WHEN f.level IS NULL THEN l.cap ELSE least(l.cap, f.level * l.weight) END AS target
       FROM l, f),
