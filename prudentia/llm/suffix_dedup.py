@@ -42,7 +42,7 @@ LEVELS = (16, 4, 1)
 #: Bytes that are merged at once, and bytes of one shard.
 BATCH_BYTES, SHARD_BYTES = 1 << 20, 1 << 17
 #: Bytes of a text that are scanned at once.
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 1 << 20
 _SALT = U64(0x5851F42D4C957F2D)
 
 
