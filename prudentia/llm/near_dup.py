@@ -7,12 +7,14 @@ more coordinate of the minwise signature.  Nodes small enough are compared
 exhaustively, on full sets; independent trees repeat this until a pair at the
 threshold is missed with probability ``1 - recall`` at most.
 
-A large node is first compared with one pivot.  Members linked to it are
-connected, need no links among each other and leave the node; only members
-close to the pivot but not linked to it (by the triangle inequality of the
-Jaccard distance nobody else can) are still compared with those that left, in
-blocks.  The rest branches on.  So a group of thousands of near copies costs
-one comparison a member, and no link between components is lost.
+A large root node, and one that is still large at the deepest level, is compared
+with one pivot.  Members linked to it are connected, need no links among each
+other and leave the node; only members close to the pivot but not linked to it
+(by the triangle inequality of the Jaccard distance nobody else can) are still
+compared with those that left, in blocks.  The rest branches on, on more
+coordinates at once from level to level, so that texts which share a common
+passage only fall apart.  A group of thousands of near copies costs one
+comparison a member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,16 +33,17 @@ from prudentia.llm.textscan import LOWER, SubstringHash, chunks, column_bytes, i
 
 U64 = np.uint64
 WIDTH = 5
-#: Coordinates of a signature; each tree branches on one of its own first.
-COORDINATES = 64
+#: Coordinates of a sketch (a byte each) and, the first of them, of a path.
+COORDINATES, PATH = 128, 40
 #: Members up to which a node is compared exhaustively.
 LEAF = 48
 #: Members of a block where large sets of members are compared.
 BLOCK = 256
-#: Coordinates on which each large node branches again, and how often.
-BRANCHES, DEPTH = 3, 5
-#: Standard deviations that a signature's estimate may fall short by chance.
-SIGMAS = 5.0
+#: How often a large node branches at each level, on so many coordinates each.
+LEVELS = ((2, 2), (3, 3), (3, 3))
+#: Standard deviations that a sketch's estimate may fall short by chance; for
+#: members that are at best near the pivot, where other trees follow, fewer.
+SIGMAS, BORDER_SIGMAS = 5.0, 2.0
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -76,11 +79,12 @@ def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature): ``set_a`` and ``set_b``
-    together identify the set, ``signature`` has its minwise coordinates."""
+    """(doc_id, n_shingles, set_a, set_b, path, sketch): ``set_a`` and ``set_b``
+    together identify the set, ``path`` has its first minwise coordinates and
+    ``sketch`` a byte of each."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, 1 << 20):
             hashes, first = distinct(*shingles(*column_bytes(part.column(text))))
             n = np.diff(first)
             signature = np.zeros((part.num_rows, COORDINATES), dtype=np.int32)
@@ -91,12 +95,13 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
                     own = ((hashes * _FACTORS[k] + _SHIFTS[k]) >> U64(33)).astype(np.int32)
                     signature[filled, k] = np.minimum.reduceat(own, begins)
             a, b = (sums(mix(hashes ^ salt), first).astype(np.int64) for salt in (U64(0x1234567), U64(0x89ABCDEF)))
-            bounds = np.arange(0, (part.num_rows + 1) * COORDINATES, COORDINATES, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signature.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(ident), pa.array(n, pa.int64()), pa.array(a), pa.array(b), lists], ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+            bounds = np.arange(0, (part.num_rows + 1) * PATH, PATH, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.ascontiguousarray(signature[:, :PATH]).ravel()))
+            bytes_ = pa.array([x.tobytes() for x in (signature & 255).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(ident), pa.array(n, pa.int64()), pa.array(a), pa.array(b), lists, bytes_], ["doc_id", "n_shingles", "set_a", "set_b", "path", "sketch"])
 
     rows = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias(text))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, path array<int>, sketch binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, ident: str, text: str) -> DataFrame:
@@ -161,11 +166,10 @@ def _groups(batches, key: str) -> Iterator[pa.Table]:
         yield held[0]
 
 
-def _promising(leaves: DataFrame, floor: float) -> DataFrame:
-    """(list, class): from (node, class, signature), the members of each leaf
-    that the signatures say may be linked to another one in it, leaves with
-    equal lists once."""
-    need = math.ceil(floor * COORDINATES)
+def _promising(leaves: DataFrame, need: int) -> DataFrame:
+    """(list, class): from (node, class, sketch), the members of each leaf that
+    the sketches say may be linked to another one in it, leaves with equal
+    lists once."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         lists: dict[bytes, np.ndarray] = {}
@@ -177,7 +181,7 @@ def _promising(leaves: DataFrame, floor: float) -> DataFrame:
 
         for group in _groups(batches, "node"):
             ids = group.column("class").to_numpy()
-            flat = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
+            flat = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
             close = np.zeros(len(ids), dtype=bool)
             for i in range(len(ids) - 1):
                 near = np.flatnonzero((flat[i + 1 :] == flat[i]).sum(axis=1) >= need) + i + 1
@@ -263,64 +267,97 @@ def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: in
     return _blocks(left, sets, "left").join(_blocks(right, sets, "right"), "node").select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def _matches(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+def _close(pairs: DataFrame, least: int) -> DataFrame:
+    """(pivot, class) of the pairs whose sketches agree in ``least`` bytes."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+                near = np.flatnonzero((own == other).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near)) for c in ("pivot", "class")], ["pivot", "class"])
+
+    return pairs.select("pivot", "class", "sketch", "pivot_sketch").mapInArrow(run, "pivot long, class long")
+
+
+class _Join:
+    """The join of one set of documents: what its levels have in common."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, ident: str, text: str, percent: int):
+        self._docs, self._classes, self._ident, self._text, self._percent = docs, classes, ident, text, percent
+        self._threshold = percent / 100
+        self._border = max(0.0, 2 * self._threshold - 1)  # nobody further from the pivot has a link to its members
+        self.links: list[DataFrame] = []
+
+    def _floor(self, similarity: float, sigmas: float) -> int:
+        return math.ceil(COORDINATES * max(0.0, similarity - sigmas * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
+
+    def without_star(self, large: DataFrame) -> DataFrame:
+        """(node, class) of large nodes (node, class, pivot) without what is
+        linked to their pivots; the links that settle the others are noted."""
+        pairs = large.where("class <> pivot").select("pivot", "class").distinct()
+        sketched = self._classes.select("class", "sketch")
+        both = pairs.join(sketched, "class").join(sketched.select(F.col("class").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        near = written(_close(both, min(self._floor(self._threshold, SIGMAS), self._floor(self._border, BORDER_SIGMAS))), "near")
+        sets = sets_of(self._docs, near.select("class").union(near.select(F.col("pivot").alias("class"))), self._ident, self._text)
+        measured = written(_with_pivot(near.withColumn("percent", F.lit(self._percent)), sets), "measured")
+        self.links.append(measured.where("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+        # those near the pivot against those linked to it
+        between = measured.where(f"NOT linked AND similarity >= {self._border}").select(F.col("pivot").alias("node"), "class")
+        if not between.isEmpty():
+            members = measured.where("linked").select(F.col("pivot").alias("node"), "class").join(between.select("node").distinct(), "node", "left_semi")
+            self.links.append(written(_block_links(between, members, sets, self._percent), "between"))
+        linked_pairs = measured.where("linked").select("pivot", "class")
+        return written(large.where("class <> pivot").select("node", "class", "pivot").join(linked_pairs, ["pivot", "class"], "left_anti").select("node", "class"), "rest")
+
+    def branched(self, rows: DataFrame, level: int) -> DataFrame:
+        """The children of nodes (node, class)."""
+        branches, width = LEVELS[level]
+        places = [[F.pmod(F.xxhash64("node", F.lit(f"{level}/{k}/{i}")), F.lit(PATH)).cast("int") for i in range(width)] for k in range(branches)]
+        keys = [F.xxhash64("node", F.lit(k), *[F.element_at("path", p + 1) for p in own]) for k, own in enumerate(places)]
+        return rows.join(self._classes.select("class", "path"), "class").select(F.explode(F.array(*keys)).alias("node"), "class").distinct()
+
+    def sized(self, nodes: DataFrame) -> DataFrame:
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).where("n > 1")
+        return written(nodes.join(sizes, "node"), "nodes")
+
+    def run(self, recall: float) -> DataFrame:
+        trees = min(PATH, math.ceil(math.log(1 - recall) / math.log(1 - self._threshold)))
+        roots = F.posexplode(F.slice("path", 1, trees)).alias("tree", "token")
+        nodes = self.sized(self._classes.select("class", roots).select(F.xxhash64("tree", "token").alias("node"), "class").distinct())
+        leaves = [nodes.where(F.col("n") <= LEAF).select("node", "class")]
+        large = nodes.where(F.col("n") > LEAF)
+        for level in range(len(LEVELS) + 1):
+            if large.isEmpty():
+                break
+            last = level == len(LEVELS)
+            if level == 0 or last:  # what is left may be small now
+                nodes = self.sized(self.without_star(large).withColumn("node", F.xxhash64("node", F.lit("rest"))))
+                leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "class"))
+                large = nodes.where(F.col("n") > LEAF)
+            if last:
+                again = large.select("node", "class")
+                if not again.isEmpty():
+                    own = sets_of(self._docs, again, self._ident, self._text)
+                    self.links.append(written(_block_links(again, again, own, self._percent), "blocks"))
+                break
+            nodes = self.sized(self.branched(large.select("node", "class"), level))
+            leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "class"))
+            large = nodes.where(F.col("n") > LEAF)
+        every = leaves[0]
+        for more in leaves[1:]:
+            every = every.union(more)
+        lists = written(_promising(every.join(self._classes.select("class", "sketch"), "class"), self._floor(self._threshold, SIGMAS)), "lists")
+        out = written(_leaf_links(lists, sets_of(self._docs, lists, self._ident, self._text), self._percent), "links")
+        for more in self.links:
+            out = out.union(more)
+        return out
 
 
 def class_links(docs: DataFrame, classes: DataFrame, ident: str, text: str, percent: int, recall: float) -> DataFrame:
-    """(a, b): links between classes (class, signature) that connect all that
+    """(a, b): links between classes (class, path, sketch) that connect all that
     are linked by chains of similar pairs."""
-    threshold = percent / 100
-    trees = min(COORDINATES // 2, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    sigma = math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    floor = max(0.0, threshold - SIGMAS * sigma)
-    border = max(0.0, 2 * threshold - 1)  # nobody further from the pivot has a link to its members
-    border_floor = max(0.0, border - SIGMAS * math.sqrt(border * (1 - border) / COORDINATES))
-    roots = F.posexplode(F.slice("signature", 1, trees)).alias("tree", "token")
-    nodes = classes.select("class", roots).select(F.xxhash64("tree", "token").alias("node"), "class").distinct()
-    leaves: list[DataFrame] = []
-    links: list[DataFrame] = []
-    for depth in range(DEPTH + 1):
-        sized = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).where("n > 1")
-        kept = written(nodes.join(sized, "node"), "nodes")
-        leaves.append(kept.where(F.col("n") <= LEAF).select("node", "class"))
-        large = kept.where(F.col("n") > LEAF)
-        if large.isEmpty():
-            break
-        signed = large.join(classes, "class")
-        pivots = large.select("pivot").distinct().join(classes.select(F.col("class").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot")
-        near = signed.where("class <> pivot").select("class", "pivot", "signature").join(pivots, "pivot").where(_matches("signature", "pivot_signature") >= math.ceil(border_floor * COORDINATES))
-        pairs = written(near.select("pivot", "class").distinct(), "pivots")
-        sets = sets_of(docs, pairs.select("class").union(pairs.select(F.col("pivot").alias("class"))), ident, text)
-        measured = written(_with_pivot(pairs.withColumn("percent", F.lit(percent)), sets), "measured")
-        links.append(measured.where("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        standing = large.where("class <> pivot").join(measured, ["pivot", "class"], "left")
-        rest = written(standing.where("NOT coalesce(linked, false)").select("node", "class", "pivot", "similarity"), "rest")
-        between = rest.where(F.col("similarity") >= border).select(F.col("pivot").alias("node"), "class").distinct()
-        if not between.isEmpty():
-            members = measured.where("linked").select(F.col("pivot").alias("node"), "class").join(between.select("node").distinct(), "node", "left_semi")
-            links.append(written(_block_links(between, members, sets, percent), "between"))
-        if depth == DEPTH:
-            again = rest.select("node", "class")
-            own = sets_of(docs, again, ident, text)
-            links.append(written(_block_links(again, again, own, percent), "blocks"))
-            break
-        # what is left branches on more coordinates; small remainders are leaves as they are
-        sizes = rest.groupBy("node").agg(F.count("*").alias("n"))
-        left = rest.select("node", "class").join(sizes, "node")
-        leaves.append(left.where(f"n BETWEEN 2 AND {LEAF}").select(F.xxhash64("node", F.lit("rest")).alias("node"), "class"))
-        chosen = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(f"{depth}/{k}")), F.lit(COORDINATES)) for k in range(BRANCHES)])).alias("at")
-        branched = left.where(F.col("n") > LEAF).join(classes, "class").select("node", "class", "signature", chosen)
-        nodes = branched.select(F.xxhash64("node", "at", F.element_at("signature", (F.col("at") + 1).cast("int"))).alias("node"), "class").distinct()
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.union(more)
-    lists = written(_promising(every.join(classes, "class"), floor), "lists")
-    leaf_sets = sets_of(docs, lists, ident, text)
-    out = written(_leaf_links(lists, leaf_sets, percent), "links")
-    for more in links:
-        out = out.union(more)
-    return out
+    return _Join(docs, classes, ident, text, percent).run(recall)
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 85, recall: float = 1 - 1e-7) -> DataFrame:
@@ -335,9 +372,9 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     info = written(summaries(docs, ident, text), "summaries")
     usable = info.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    grouped = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"), F.min("signature").alias("signature"))
+    grouped = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = written(grouped, "classes")
-    links = class_links(docs, classes.select("class", "signature").distinct(), ident, text, percent, recall)
+    links = class_links(docs, classes.select("class", "path", "sketch"), ident, text, percent, recall)
     found = components(links, "a", "b")
     of_class = classes.select("set_a", "set_b", "class").join(found, F.col("class") == F.col("vertex"), "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
     joined = info.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
