@@ -8,7 +8,8 @@ sources are a prefix, so running sums find the level without a loop.
 
 Then each source is taken whole ``floor(target / size)`` times, and the rest
 of its target is a seeded sample without replacement: documents in a seeded
-order, as long as half of a document still fits.
+order as long as they fit, and of the others the one that comes nearest to the
+gap that is left, if that makes it smaller.
 """
 
 from __future__ import annotations
@@ -78,8 +79,15 @@ def mix(df: DataFrame, source: str, size: str, ident: str, weights: list[float],
     dice = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("_dice", dice).withColumn("_block", F.substring("_dice", 1, digits))
     ordered = running(rows, [source], "_block", [F.col("_dice"), F.col(ident), F.col("_size")], "_size", "_before")
-    joined = ordered.join(targets, F.col(source).eqNullSafe(F.col("_source")))
+    joined = ordered.join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source", "_rows", "_block", "_dice")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - whole * F.col("source_size")
-    again = (F.col("_before") + F.col("_size") / 2.0 <= rest) & (F.col("_size") > 0)
-    return joined.withColumn("repeats", whole + again.cast("long")).select(*df.columns, "source_size", "target", "repeats")
+    joined = written(joined.withColumn("_whole", whole).withColumn("_rest", F.col("target") - whole * F.col("source_size")), "ordered")
+    # documents in order while they fit, then the one that fits the gap best
+    fits = (F.col("_before") + F.col("_size") <= F.col("_rest")) & (F.col("_size") > 0)
+    gaps = joined.groupBy(F.col(source).alias("_source")).agg((F.max("_rest") - F.sum(F.when(fits, F.col("_size")).otherwise(F.lit(0)))).alias("_gap"))
+    same = F.col(source).eqNullSafe(F.col("_source"))
+    off = F.abs(F.col("_size") - F.col("_gap"))
+    best = joined.join(gaps, same).where(~fits & (F.col("_size") > 0) & (off < F.col("_gap"))).groupBy("_source").agg(F.min(F.struct(off.alias("off"), F.col("_before").alias("at"))).alias("_best"))
+    taken = joined.join(best.select("_source", F.col("_best.at").alias("_filler")), same, "left")
+    again = fits | F.coalesce((F.col("_before") == F.col("_filler")) & (F.col("_size") > 0), F.lit(False))
+    return taken.withColumn("repeats", F.col("_whole") + again.cast("long")).select(*df.columns, "source_size", "target", "repeats")

@@ -3,7 +3,7 @@
 Every vector is represented by its nearest pivots, in order.  Pivots post the
 vectors that list them, with the place they have there; a query reads the
 posting lists of its own nearest pivots and sums, per vector, the differences
-of places (the footrule; a pivot that isn't listed counts as placed last).  The
+of places (the footrule; a pivot that isn't listed counts as placed last); here every entry lists all pivots.  The
 vectors of smallest footrule are candidates, and exact inner products rank them.
 
 Largest inner product becomes nearest direction by one more component: vectors
@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prudentia.llm.storage import written
-from prudentia.llm.textscan import in_group
 
 #: Pivots, fitted on a sample of that many vectors of each dimension.
-PIVOTS = 128
+PIVOTS = 96
 #: Nearest pivots that are kept of each vector and used of each query.
-LISTED = 64
+LISTED = 96
 #: The share of a shard's entries that exact products rank; the least number.
-RERANKED, LEAST = 0.3, 400
+RERANKED, LEAST = 0.2, 400
 #: Entries of a shard and queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 
@@ -47,10 +46,10 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     """(class, dim, v, ids): each different vector once, with its k + 1 smallest
     ids, which are all that can be among the k nearest of anything."""
     keyed = rows.select("id", "v", F.xxhash64("v").alias("ha"), F.xxhash64(F.lit(1), "v").alias("hb"))
-    place = F.row_number().over(W.partitionBy("ha", "hb").orderBy("id"))
+    place = F.dense_rank().over(W.partitionBy("ha", "hb").orderBy("id"))
     few = keyed.withColumn("_place", place).where(F.col("_place") <= k + 1)
     lead = F.max(F.when(F.col("_place") == 1, F.col("v")))
-    grouped = few.groupBy("ha", "hb").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("class"), lead.alias("v"))
+    grouped = few.groupBy("ha", "hb").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min("id").alias("class"), lead.alias("v"))
     return grouped.select("ha", "hb", "class", F.size("v").alias("dim"), "v", "ids")
 
 
@@ -133,31 +132,29 @@ def _packed(rows: DataFrame, pivots: dict[int, Pivots], size: int, queries: bool
 
 
 class Shard:
-    """The inverted files of a shard's entries."""
+    """The inverted files of a shard's entries.
+
+    As entries list all pivots, or a large part of them, a posting list holds a
+    byte for each entry: its place for the pivot, or ``LISTED`` if it has none.
+    """
 
     def __init__(self, near: np.ndarray, pivots: int):
         self.n, self.listed = near.shape
-        flat = near.ravel()
-        order = np.argsort(flat, kind="stable")
-        self._row = (order // self.listed).astype(np.int32)
-        self._place = (order % self.listed).astype(np.int16)
-        self._first = np.searchsorted(flat[order], np.arange(pivots + 1))
+        self._places = np.full((pivots, self.n), self.listed, dtype=np.int8)
+        self._places[near.ravel(), np.repeat(np.arange(self.n), self.listed)] = np.tile(np.arange(self.listed, dtype=np.int8), self.n)
 
     def footrule(self, near: np.ndarray) -> np.ndarray:
         """The footrule distance of every entry to one query's list."""
-        begin, end = self._first[near], self._first[near + 1]
-        size = end - begin
-        at = np.repeat(begin, size) + in_group(size)
-        apart = np.abs(self._place[at] - np.repeat(np.arange(len(near), dtype=np.int16), size))
-        # a pivot that isn't listed counts as placed last
-        saved = np.bincount(self._row[at], self.listed - apart, minlength=self.n)
-        return len(near) * self.listed - saved.astype(np.int64)
+        apart = self._places[near]
+        apart -= np.arange(len(near), dtype=np.int8)[:, None]
+        np.abs(apart, out=apart)
+        return np.add.reduce(apart, axis=0, dtype=np.int16)  # LISTED ** 2 at most
 
     def candidates(self, near: np.ndarray) -> np.ndarray:
         most = max(LEAST, int(RERANKED * self.n))
         if most >= self.n:
             return np.arange(self.n)
-        key = self.footrule(near) * self.n + np.arange(self.n)
+        key = self.footrule(near).astype(np.int64) * self.n + np.arange(self.n)
         return np.sort(np.argpartition(key, most)[:most])
 
 

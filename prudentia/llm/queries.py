@@ -31,9 +31,10 @@ def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prudentia.llm.mixing import mix, word_count
+    from prudentia.llm.storage import written
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix(docs, "source", "size", "doc_id", SOURCE_WEIGHTS)
+    mixed = mix(written(docs, "sizes"), "source", "size", "doc_id", SOURCE_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
 
 
@@ -144,9 +145,13 @@ r AS (
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.dice, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (
-  SELECT *, CAST(whole + CASE WHEN size > 0 AND before + size / 2.0::DOUBLE <= target - whole * source_size
-                              THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM r)
+q AS (SELECT *, target - whole * source_size AS rest, size > 0 AND before + size <= target - whole * source_size AS fits FROM r),
+g AS (SELECT source, max(rest) - sum(CASE WHEN fits THEN size ELSE 0 END) AS gap FROM q GROUP BY source),
+b AS (SELECT q.source, min({'off': abs(size - gap), 'at': before}) AS best
+      FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
+      WHERE NOT fits AND size > 0 AND abs(size - gap) < gap GROUP BY q.source),
+k AS (SELECT q.*, CAST(whole + CASE WHEN fits OR (size > 0 AND coalesce(before = b.best.at, false)) THEN 1 ELSE 0 END AS BIGINT) AS repeats
+      FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS taken, source, repeats FROM k
 """
 

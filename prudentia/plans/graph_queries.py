@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prudentia.operators import listing, signals, trace, upserts
-from prudentia.plans.derived import GRAPH_SQL, citation_log, citations, rulings
+from prudentia.plans.derived import GRAPH_SQL, citation_log, citations, ruling_id, rulings, table
 
 #: The ruling that the single-ruling queries ask about.
 ASKED = "fallos:307:1"
@@ -109,6 +109,41 @@ def upsert_citations(spark, sf_dir):
     return upserts.fold_citations(citation_log(spark, sf_dir), ["seq_date", "seq_price", "sumario_id"])
 
 
+def _order_log(spark, sf_dir):
+    """Orders as writes: each says something of one ruling."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        ruling_id(F.col("o_custkey")).alias("id"),
+        (300 + F.col("o_custkey") % 50).cast("int").alias("volume"),
+        (1 + F.floor(F.col("o_custkey") / F.lit(50.0))).cast("int").alias("page"),
+        F.col("o_orderpriority").alias("caption"),
+        F.year("o_orderdate").alias("decided_year"),
+        F.lit("u").alias("source_url"),
+        F.when(F.col("o_orderstatus") == "F", "extracted").otherwise("unavailable").alias("text_status"),
+        F.when(key % 2 == 0, (key % 100) / F.lit(100.0)).alias("text_quality"),
+        F.when(key % 3 == 0, F.concat(F.lit("N"), key.cast("string"))).alias("short_name"),
+        F.when(key % 5 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("decided_on"),
+        F.when(key % 7 == 0, key).alias("csjn_doc_id"),
+        key.alias("seq"),
+    )
+
+
+def upsert_rulings(spark, sf_dir):
+    return upserts.fold_rulings(_order_log(spark, sf_dir), ["seq"])
+
+
+def upsert_aliases(spark, sf_dir):
+    key = F.col("seq")
+    log = _order_log(spark, sf_dir).select(
+        F.when(key % 11 == 0, "  ").otherwise(F.concat(F.lit("ALIAS "), (key % 97).cast("string"))).alias("raw"),
+        F.col("id").alias("ruling_id"),
+        F.when(key % 2 == 0, "caption").otherwise("short_name").alias("form"),
+        F.when(key % 3 == 0, "csjn").otherwise("manual").alias("source"),
+        "seq",
+    )
+    return upserts.fold_aliases(log, ["seq"])
+
+
 def stub_nodes(spark, sf_dir):
     known = rulings(spark, sf_dir).where("volume < 340")
     return upserts.stub_rulings(citations(spark, sf_dir), known).select("id", "volume", "page", "caption", "decided_year", "text_status")
@@ -228,6 +263,18 @@ WHERE edges > 0""",
     "upsert_citations": GRAPH_SQL
     + """SELECT citing_id, cited_id, quote, arg_max(treatment, k) AS treatment, arg_max(opinion, k) AS opinion, arg_max(confidence, k) AS confidence, arg_max(method, k) AS method, arg_min(sumario_id, k) AS sumario_id
 FROM (SELECT *, row_number() OVER (ORDER BY seq_date, seq_price, sumario_id) AS k FROM citation_log) GROUP BY 1, 2, 3""",
+    "upsert_rulings": """WITH log AS (
+  SELECT 'fallos:' || (300 + o_custkey % 50) || ':' || (1 + CAST(floor(o_custkey / 50.0) AS INT)) AS id, CAST(300 + o_custkey % 50 AS INT) AS volume, CAST(1 + floor(o_custkey / 50.0) AS INT) AS page,
+         o_orderpriority AS caption, CAST(year(o_orderdate) AS INT) AS decided_year, CASE WHEN o_orderstatus = 'F' THEN 'extracted' ELSE 'unavailable' END AS text_status, o_orderkey AS seq,
+         CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 100) / 100.0::DOUBLE END AS text_quality, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey END AS short_name,
+         CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS decided_on, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey END AS csjn_doc_id FROM orders),
+last AS (SELECT id, max(seq) AS seq, min(volume) AS volume, min(page) AS page, arg_max(short_name, seq) FILTER (short_name IS NOT NULL) AS short_name,
+                arg_max(decided_on, seq) FILTER (decided_on IS NOT NULL) AS decided_on, arg_max(csjn_doc_id, seq) FILTER (csjn_doc_id IS NOT NULL) AS csjn_doc_id FROM log GROUP BY id)
+SELECT a.id, a.volume, a.page, l.caption, l.decided_year, 'u' AS source_url, l.text_status, l.text_quality, a.short_name, a.decided_on, a.csjn_doc_id FROM last a JOIN log l USING (id, seq)""",
+    "upsert_aliases": """SELECT raw, arg_max(ruling_id, seq) AS ruling_id, arg_min(form, seq) AS form, arg_min(source, seq) AS source FROM (
+  SELECT 'ALIAS ' || (o_orderkey % 97) AS raw, 'fallos:' || (300 + o_custkey % 50) || ':' || (1 + CAST(floor(o_custkey / 50.0) AS INT)) AS ruling_id,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'caption' ELSE 'short_name' END AS form, CASE WHEN o_orderkey % 3 = 0 THEN 'csjn' ELSE 'manual' END AS source, o_orderkey AS seq
+  FROM orders WHERE o_orderkey % 11 <> 0) GROUP BY 1""",
     "stub_nodes": GRAPH_SQL
     + """SELECT id, CAST(split_part(id, ':', 2) AS INT) AS volume, CAST(split_part(id, ':', 3) AS INT) AS page, replace(id, 'fallos:', 'Fallos: ') AS caption, 0 AS decided_year, 'unavailable' AS text_status
 FROM (SELECT citing_id AS id FROM citations UNION SELECT cited_id FROM citations) WHERE id NOT IN (SELECT id FROM rulings WHERE volume < 340)""",

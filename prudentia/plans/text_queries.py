@@ -140,6 +140,14 @@ def find_citations(spark, sf_dir):
     return spans.extract_edges(docs).select("citing_id", "cited_id", "opinion", "treatment", "confidence", "rule")
 
 
+def quotes(spark, sf_dir):
+    """Passages around the citations of the made documents, with their length."""
+    key = F.col("p_partkey")
+    body = F.concat(F.repeat(F.concat(F.col("p_name"), F.lit(" ")), 40), F.lit(". Que Fallos: "), F.format_string("%d:%d", 300 + key % 50, 1 + key % 999), F.lit(" rige. "), F.repeat(F.lit("y mas "), 60))
+    docs = table(spark, sf_dir, "part").select(F.format_string("fallos:999:%d", key).alias("id"), body.alias("text"))
+    return spans.extract_edges(docs).select("citing_id", "cited_id", "quote")
+
+
 def opinion_spans(spark, sf_dir):
     return find_citations(spark, sf_dir).groupBy("opinion").agg(F.count("*").alias("n"), F.countDistinct("cited_id").alias("n_cited"))
 
@@ -234,10 +242,25 @@ FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS f FROM
     SELECT {_by_template(1, 'VARCHAR')} AS t, {_by_template(2, 'DOUBLE')} AS c, CASE WHEN p_partkey % 7 = 0 THEN 'manual' ELSE 'rule' END AS m, p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 AS due FROM part)) GROUP BY 1, 2""",
     "confusion_matrix": f"SELECT t AS expected, t AS got, count(*) AS n FROM (SELECT {_by_template(1, 'VARCHAR')} AS t FROM part) GROUP BY 1, 2",
     "find_citations": "WITH " + _FOUND + " SELECT citing_id, c.cited_id, c.opinion, c.treatment, c.confidence, c.rule FROM f",
+    "quotes": """SELECT 'fallos:999:' || p_partkey AS citing_id, 'fallos:' || (300 + p_partkey % 50) || ':' || (1 + p_partkey % 999) AS cited_id,
+  trim(regexp_replace(substr(body, instr(body, raw) - 320, 520 + length(raw)), ' +', ' ', 'g'), ' ') AS quote
+FROM (SELECT *, repeat(p_name || ' ', 40) || '. Que Fallos: ' || raw || ' rige. ' || repeat('y mas ', 60) AS body
+      FROM (SELECT p_partkey, p_name, (300 + p_partkey % 50) || ':' || (1 + p_partkey % 999) AS raw FROM part))""",
     "opinion_spans": "WITH " + _FOUND + " SELECT c.opinion AS opinion, count(*) AS n, count(DISTINCT c.cited_id) AS n_cited FROM f GROUP BY 1",
     "llm_ground_cap": "SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'followed' END AS treatment, CASE WHEN p_partkey % 2 = 0 THEN least((p_partkey % 11) / 10.0::DOUBLE, 0.7::DOUBLE) END AS confidence, CASE WHEN p_partkey % 2 = 0 THEN 'llm' END AS method FROM part",
     "resolve_batch": GRAPH_SQL + """SELECT p_partkey AS query, CASE p_partkey % 3 WHEN 0 THEN 'fallos:' || (300 + p_partkey % 50) || ':' || (1 + CAST(floor(p_partkey / 50.0) AS INT))
   WHEN 1 THEN (SELECT id FROM rulings WHERE id = 'fallos:' || (300 + p_partkey % 60) || ':' || (1 + CAST(floor(p_partkey / 50.0) AS INT))) END AS resolved FROM part""",
+    "fts_prefix_bm25": GRAPH_SQL
+    + """,
+words AS (SELECT id, string_split(trim(regexp_replace(regexp_replace(upper(caption), '[^A-Z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS ws FROM rulings),
+terms AS (SELECT id, len(ws) AS size, unnest(ws) AS term FROM words),
+stats AS (SELECT count(*)::DOUBLE AS docs, avg(len(ws)) AS mean FROM words),
+asked AS (SELECT p_partkey AS query, unnest(string_split(trim(upper(substr(p_name, 1, 8)) || 'X'), ' ')) AS w FROM part WHERE p_partkey % 100 = 0),
+pre AS (SELECT DISTINCT query, substr(w, 1, greatest(4, CAST(floor(length(w) * 0.7) AS INT))) AS prefix FROM asked WHERE length(w) > 2),
+hit AS (SELECT query, prefix, id, size, count(*) AS tf FROM pre JOIN terms ON starts_with(term, prefix) GROUP BY ALL),
+scored AS (SELECT *, count(*) OVER (PARTITION BY query, prefix) AS df FROM hit),
+total AS (SELECT query, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM scored, stats GROUP BY 1, 2)
+SELECT query, CAST(place AS INT) AS place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM total) WHERE place <= 5""",
     "suggest_nearest": GRAPH_SQL + """SELECT query, CAST(place AS INT) AS place, id FROM (
   SELECT q.query, r.id, row_number() OVER (PARTITION BY q.query ORDER BY abs(r.page - q.page), r.page) AS place
   FROM (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part WHERE p_partkey % 40 = 0) q JOIN rulings r USING (volume)) WHERE place <= 5""",
@@ -252,5 +275,5 @@ t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(gram, list_min(kept), l
 SELECT gram, count(*) AS n FROM t WHERE regexp_matches(gram, 'the|ing') GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50""",
 }
 
-NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest"]
+NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest"]
 QUERIES = {name: globals()[name] for name in NAMES}
