@@ -155,6 +155,47 @@ k AS (SELECT q.*, CAST(whole + CASE WHEN fits OR (size > 0 AND coalesce(before =
 SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS taken, source, repeats FROM k
 """
 
+OP4_SQL = f"""
+WITH tab AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (
+  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+d AS (
+  SELECT doc_id, source, size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+           lambda c, x: xor(xor(xor(c, x) >> 4, t[(xor(c, x) & 15) + 1]) >> 4, t[(xor(xor(c, x) >> 4, t[(xor(c, x) & 15) + 1]) & 15) + 1]))) AS BIGINT) AS text_crc32
+  FROM b, tab),
+h AS (SELECT *, ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size), 1, 15))::BIGINT AS dice FROM d),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY dice, doc_id NULLS FIRST, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM h),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY part, source NULLS LAST, dice, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {SHARDS} // total AS INT) AS shard,
+       CAST(place - (place * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source
+FROM p
+"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS grams FROM w),
+k AS (SELECT min(doc_id) AS class, grams FROM s WHERE len(grams) > 0 GROUP BY grams),
+e AS (SELECT class, len(grams) AS n, unnest(grams) AS gram FROM k),
+p AS (
+  SELECT a.class AS a, b.class AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM e a JOIN e b ON a.gram = b.gram AND a.class < b.class GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (na + nb - common)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT class AS a, class AS b FROM k UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a),
+c AS (SELECT a AS class, min(b) AS component FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id, s.doc_id = coalesce(c.component, s.doc_id) AS kept
+FROM s LEFT JOIN k ON s.grams = k.grams LEFT JOIN c ON c.class = k.class
+"""
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merged_bwt_dedup": op1_merged_bwt_dedup,
     "op2_elias_fano_store": op2_elias_fano_store,
@@ -174,4 +215,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_arc_to_warc": OP3_SQL, "op6_source_mix": OP6_SQL}
+    return {"op3_arc_to_warc": OP3_SQL, "op4_stratified_shards": OP4_SQL, "op6_source_mix": OP6_SQL, "op10_chosen_path_dups": OP10_SQL}

@@ -33,10 +33,12 @@ def interleave(df: DataFrame, shards: int, source: str, ident: list[str], seed:
         raise ValueError("shards must be positive")
     total = df.count()
     cut = blocks(total)
-    dice: Column = F.xxhash64(F.lit(seed), *ident)
+    # 60 bits that any SQL engine computes alike
+    named = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident])
+    dice: Column = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
     # the top 40 bits, as a number in 0 .. 2**40 - 1: cuts evenly into blocks
-    top = F.shiftright(dice, 24) + F.lit(1 << 39)
-    rows = df.select("*", dice.alias("_dice"), F.floor(top * F.lit(cut) / F.lit(float(1 << 40))).alias("_block"), F.lit(1).cast("long").alias("_one"))
+    top = F.shiftright(F.col("_dice"), 20)
+    rows = df.select("*", dice.alias("_dice")).select("*", F.floor(top * F.lit(cut) / F.lit(float(1 << 40))).alias("_block"), F.lit(1).cast("long").alias("_one"))
     order = [F.col("_dice").asc(), *[F.col(c).asc() for c in ident]]
     sized = rows.groupBy(source).agg(F.sum("_one").alias("_n")).withColumnRenamed(source, "_source")
     ranked = running(rows, [source], "_block", [F.col("_block").asc(), *order], "_one", "_rank")
