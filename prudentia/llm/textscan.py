@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than space and TAB..CR (0x09-0x0D).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what
+    one stage has freed counts against the executor in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, so that
     working arrays stay small; one longer text is a slice of its own."""
@@ -85,6 +95,7 @@ def chunks(batches, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

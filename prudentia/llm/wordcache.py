@@ -16,7 +16,7 @@ import pyarrow as pa
 from prudentia.llm.textscan import SPACE, column_bytes, in_group
 
 #: Distinct segments that a worker remembers before it starts afresh.
-MOST_KEPT = 800_000
+MOST_KEPT = 200_000
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
