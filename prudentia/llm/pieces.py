@@ -23,6 +23,8 @@ from prudentia.llm.textscan import chunks, column_bytes
 from prudentia.llm.wordcache import SegmentEncoder
 
 MARK = "▁".encode()
+#: Distinct segments that a worker remembers; the pipeline shares its workers.
+MOST_KEPT = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -150,7 +152,7 @@ class SpanEncoder:
         inside = any("▁" in s.lstrip("▁") for s in names)
         # a cut at single spaces is exact only if nothing reaches over one
         self._free = not self.normalize.map and not self.normalize.squeeze and self.normalize.escape and self.normalize.prefix and not inside
-        self.ids = SegmentEncoder(self._encode, cut=self._free, drop=self._free)
+        self.ids = SegmentEncoder(self._encode, cut=self._free, drop=self._free, most=MOST_KEPT)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)

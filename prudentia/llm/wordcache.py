@@ -16,7 +16,7 @@ import pyarrow as pa
 from prudentia.llm.textscan import SPACE, column_bytes, in_group
 
 #: Distinct segments that a worker remembers before it starts afresh.
-MOST_KEPT = 200_000
+MOST_KEPT = 800_000
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -46,8 +46,8 @@ class SegmentEncoder:
     every text by themselves.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype=np.int32, cut: bool = True, drop: bool = False):
-        self._encode, self._dtype, self._cut, self._drop = encode, dtype, cut, drop
+    def __init__(self, encode: Callable[[list[str]], list], dtype=np.int32, cut: bool = True, drop: bool = False, most: int = MOST_KEPT):
+        self._encode, self._dtype, self._cut, self._drop, self._most = encode, dtype, cut, drop, most
         self._forget()
 
     def _forget(self) -> None:
@@ -109,7 +109,7 @@ class SegmentEncoder:
             return np.zeros(0, self._dtype), np.zeros(0, np.int64)
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self._known) + len(distinct) > MOST_KEPT:
+        if len(self._known) + len(distinct) > self._most:
             self._forget()
         known = self._known
         fresh = [s for s in distinct if s not in known]
