@@ -337,6 +337,27 @@ def test_judge_bands(spark):
     assert judge(odd.limit(0)).count() == 0
 
 
+def test_words_in_wrong_order_are_not_kept(spark):
+    from prudentia.llm.perplexity import judge
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    follows = {w: rng.sample(vocabulary, 5) for w in vocabulary}
+    rows = []
+    for i in range(400):
+        text = [rng.choice(vocabulary)]
+        while len(text) < 150:
+            text.append(rng.choice(follows[text[-1]]))
+        if i >= 390:  # the same words, out of order
+            rng.shuffle(text)
+        rows.append((i, " ".join(text), "en"))
+    out = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    fair = [i for i in range(390) if not out[i].base_failed]
+    assert len(out) == 400 and len(fair) > 300 and all(out[i].kept for i in fair)
+    assert not any(out[i].kept for i in range(390, 400))
+    assert min(out[i].word_bits for i in range(390, 400)) > max(out[i].word_bits for i in range(390))
+
+
 # ---- 8: token counts -------------------------------------------------------
 
 
