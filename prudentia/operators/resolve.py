@@ -52,10 +52,22 @@ def suggest_typos(asked: DataFrame, rulings: DataFrame) -> DataFrame:
 
 
 def suggest_nearest(asked: DataFrame, rulings: DataFrame, most: int = 5) -> DataFrame:
-    """(query, place, id): the nearest pages of the same volume."""
-    near = asked.select("query", "volume", F.col("page").alias("_page")).join(rulings.select("id", "volume", "page"), "volume")
-    order = W.partitionBy("query").orderBy(F.abs(F.col("page") - F.col("_page")), "page")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query", "place", "id")
+    """(query, place, id): the nearest pages of the same volume.
+
+    Each different page asked for is ranked once among the rulings of its
+    volume; only ``most`` rulings on either side of it are compared.
+    """
+    by_page = W.partitionBy("volume").orderBy("page", "id")
+    known = rulings.select("id", "volume", "page").where("page IS NOT NULL").withColumn("_rank", F.row_number().over(by_page))
+    pages = asked.select("volume", "page").where("page IS NOT NULL").distinct()
+    both = known.select("volume", "page", "_rank").union(pages.select("volume", "page", F.lit(None).cast("int")))
+    below = W.partitionBy("volume").orderBy("page", F.col("_rank").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = both.withColumn("_below", F.coalesce(F.max("_rank").over(below), F.lit(0))).where("_rank IS NULL")
+    around = placed.select("volume", F.col("page").alias("_page"), F.explode(F.sequence(F.col("_below") - (most - 1), F.col("_below") + most)).alias("_rank"))
+    near = around.join(known, ["volume", "_rank"])
+    order = W.partitionBy("volume", "_page").orderBy(F.abs(F.col("page") - F.col("_page")), "page", "id")
+    best = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return asked.select("query", "volume", F.col("page").alias("_page")).join(best.select("volume", "_page", "place", "id"), ["volume", "_page"]).select("query", "place", "id")
 
 
 def caption_terms(rulings: DataFrame) -> DataFrame:
@@ -77,17 +89,21 @@ def suggest_captions(asked: DataFrame, raw: str, rulings: DataFrame, most: int =
     the fragment's, by BM25 (a beginning counts as one term)."""
     terms = caption_terms(rulings)
     size = terms.select("id", "size").distinct().agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    wanted = asked.select("query", F.explode(prefixes(F.col(raw))).alias("prefix"))
-    # four letters of the prefix make it an equi-join
-    hits = wanted.withColumn("_head", F.substring("prefix", 1, 3)).join(terms.withColumn("_head", F.substring("term", 1, 3)), "_head").where(F.expr("startswith(term, prefix)"))
-    found = hits.groupBy("query", "prefix", "id", "size").agg(F.sum("tf").alias("tf"))
-    spread = W.partitionBy("query", "prefix")
-    scored = found.withColumn("df", F.count("*").over(spread)).join(F.broadcast(size))  # one row
+    # every different fragment is searched for once, and every beginning
+    fragments = asked.select(prefixes(F.col(raw)).alias("_prefixes")).where(F.size("_prefixes") > 0).distinct()
+    wanted = fragments.select("_prefixes", F.explode("_prefixes").alias("prefix"))
+    # three letters of the prefix make it an equi-join
+    heads = wanted.select("prefix").distinct().withColumn("_head", F.substring("prefix", 1, 3))
+    hits = heads.join(terms.withColumn("_head", F.substring("term", 1, 3)), "_head").where(F.expr("startswith(term, prefix)"))
+    found = hits.groupBy("prefix", "id", "size").agg(F.sum("tf").alias("tf"))
+    scored = found.join(found.groupBy("prefix").agg(F.count("*").alias("df")), "prefix").join(F.broadcast(size))  # one row
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    total = scored.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    return total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query", "place", "id", "score")
+    parts = scored.select("prefix", "id", part.alias("part"))
+    total = wanted.join(parts, "prefix").groupBy("_prefixes", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    order = W.partitionBy("_prefixes").orderBy(F.desc("score"), "id")
+    best = total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return asked.select("query", prefixes(F.col(raw)).alias("_prefixes")).join(best, "_prefixes").select("query", "place", "id", "score")
 
 
 def suggest(asked: DataFrame, raw: str, rulings: DataFrame, most: int = 5) -> DataFrame:

@@ -174,9 +174,15 @@ def resolve_batch(spark, sf_dir):
     return resolve.resolve(asked, "raw", nodes, aliases).select("query", "resolved")
 
 
-def _asked(spark, sf_dir):
+def _asked_all(spark, sf_dir):
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(key.alias("query"), (300 + key % 50).cast("int").alias("volume"), (key % 60 + 1).cast("int").alias("page"))
+    return table(spark, sf_dir, "part").select(key.alias("query"), (300 + key % 50).cast("int").alias("volume"), (key % 60 + 1).cast("int").alias("page"))
+
+
+def _asked(spark, sf_dir):
+    """The rows that the SQL of the queries asks for; the queries named _all
+    ask every part."""
+    return _asked_all(spark, sf_dir).where("query % 40 = 0")
 
 
 def suggest_typo(spark, sf_dir):
@@ -192,8 +198,21 @@ def fts_prefix_bm25(spark, sf_dir):
     return resolve.suggest_captions(asked, "raw", rulings(spark, sf_dir))
 
 
+def suggest_typo_all(spark, sf_dir):
+    return resolve.suggest_typos(_asked_all(spark, sf_dir), rulings(spark, sf_dir)).select("query", "id")
+
+
+def suggest_nearest_all(spark, sf_dir):
+    return resolve.suggest_nearest(_asked_all(spark, sf_dir), rulings(spark, sf_dir))
+
+
+def fts_prefix_bm25_all(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.concat(F.substring("p_name", 1, 8), F.lit("x")).alias("raw"))
+    return resolve.suggest_captions(asked, "raw", rulings(spark, sf_dir))
+
+
 def suggest(spark, sf_dir):
-    asked = _asked(spark, sf_dir).select("query", F.format_string("Fallos: %d:%d", "volume", "page").alias("raw"))
+    asked = _asked_all(spark, sf_dir).select("query", F.format_string("Fallos: %d:%d", "volume", "page").alias("raw"))
     return resolve.suggest(asked, "raw", rulings(spark, sf_dir))
 
 
@@ -275,5 +294,5 @@ t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(gram, list_min(kept), l
 SELECT gram, count(*) AS n FROM t WHERE regexp_matches(gram, 'the|ing') GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50""",
 }
 
-NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest"]
+NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest", "suggest_typo_all", "suggest_nearest_all", "fts_prefix_bm25_all"]
 QUERIES = {name: globals()[name] for name in NAMES}

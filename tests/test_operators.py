@@ -9,6 +9,7 @@ from prudentia.api import CitationGraph, NotFound, Page, parse_treatment
 from prudentia.functions import spans, text
 from prudentia.functions.treatment import read_passage
 from prudentia.operators import resolve, signals, trace, upserts
+from prudentia.plans import text_queries
 
 A, B, C, D = "fallos:300:254", "fallos:308:1392", "fallos:313:1333", "fallos:332:1963"
 
@@ -179,3 +180,26 @@ def test_streaming_is_idempotent(spark, tmp_path):
     rulings, citations = folded(spark, f"{tmp_path}/log")
     assert {(r.id, r.caption) for r in rulings.collect()} == {("fallos:308:1392", "B"), ("fallos:332:1963", "Fallos: 332:1963")}
     assert citations.count() == 1
+
+
+def test_every_part_is_asked(spark):
+    folder = "/root/testdata/sf0.001"
+    parts = {r.p_partkey for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey").collect()}
+    pages = {}
+    for r in text_queries.rulings(spark, folder).select("id", "volume", "page").collect():
+        pages.setdefault(r.volume, []).append((r.page, r.id))
+    asked = {(k, 300 + k % 50, k % 60 + 1) for k in parts}
+    nearest, slips = set(), set()
+    for k, volume, page in asked:
+        best = sorted(pages.get(volume, []), key=lambda x: (abs(x[0] - page), x[0]))[:5]
+        nearest |= {(k, i + 1, x[1]) for i, x in enumerate(best)}
+        d = str(page)
+        tried = {int(d[:i] + d[i + 1] + d[i] + d[i + 2 :]) for i in range(len(d) - 1)} | {int(d[:i] + c + d[i + 1 :]) for i in range(len(d)) for c in "0123456789"}
+        slips |= {(k, x) for p, x in pages.get(volume, []) if p in tried - {page}}
+    got = text_queries.suggest_nearest_all(spark, folder).collect()
+    assert {tuple(r) for r in got} == nearest and len(got) == len(nearest)
+    assert {tuple(r) for r in text_queries.suggest_typo_all(spark, folder).collect()} == slips
+    assert {r.query for r in text_queries.suggest(spark, folder).collect()} >= {k for k, *_ in nearest}
+    some = {tuple(r) for r in text_queries.fts_prefix_bm25(spark, folder).collect()}
+    every = {tuple(r) for r in text_queries.fts_prefix_bm25_all(spark, folder).collect()}
+    assert some <= every and {q for q, *_ in every} == parts
