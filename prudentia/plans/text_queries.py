@@ -28,6 +28,13 @@ def page_breaks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.join_page_breaks(raw).alias("joined"))
 
 
+def page_breaks_all(spark, sf_dir):
+    """A page's end within a word after every 300 characters of the whole text,
+    and a page number after 500 more."""
+    raw = F.regexp_replace("text", r"(?s)(.{300})(.{1,500})", "$1-//- pie de pagina 12 -//-$2 -17- ")
+    return table(spark, sf_dir, "documents").select("doc_id", text.join_page_breaks(raw).alias("joined"))
+
+
 def strip_html(spark, sf_dir):
     stripped = text.strip_html(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(stripped.cast("binary")).alias("digest"), F.length(stripped).cast("long").alias("n"))
@@ -165,6 +172,12 @@ def ngram_mining(spark, sf_dir):
     return mining.mine(docs.select("doc_id", folded.alias("words")), "words", 2, 50, stems=["the", "ing"])
 
 
+def ngram_mining_all(spark, sf_dir):
+    """All phrases of all words of all documents, whatever stem they have."""
+    folded = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    return mining.mine(table(spark, sf_dir, "documents").select("doc_id", folded.alias("words")), "words", 2, 50, stems=[""])
+
+
 def resolve_batch(spark, sf_dir):
     nodes = rulings(spark, sf_dir)
     key = F.col("p_partkey")
@@ -294,5 +307,5 @@ t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(gram, list_min(kept), l
 SELECT gram, count(*) AS n FROM t WHERE regexp_matches(gram, 'the|ing') GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50""",
 }
 
-NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest", "suggest_typo_all", "suggest_nearest_all", "fts_prefix_bm25_all"]
+NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest", "suggest_typo_all", "suggest_nearest_all", "fts_prefix_bm25_all", "page_breaks_all", "ngram_mining_all"]
 QUERIES = {name: globals()[name] for name in NAMES}

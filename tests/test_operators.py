@@ -1,6 +1,8 @@
 """Single operators on hand-written cases."""
 
 import json
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from prudentia.api import CitationGraph, NotFound, Page, parse_treatment
 from prudentia.functions import spans, text
 from prudentia.functions.treatment import read_passage
-from prudentia.operators import resolve, signals, trace, upserts
+from prudentia.operators import mining, resolve, signals, trace, upserts
 from prudentia.plans import text_queries
 
 A, B, C, D = "fallos:300:254", "fallos:308:1392", "fallos:313:1333", "fallos:332:1963"
@@ -203,3 +205,25 @@ def test_every_part_is_asked(spark):
     some = {tuple(r) for r in text_queries.fts_prefix_bm25(spark, folder).collect()}
     every = {tuple(r) for r in text_queries.fts_prefix_bm25_all(spark, folder).collect()}
     assert some <= every and {q for q, *_ in every} == parts
+
+
+def test_whole_texts_are_mined_and_joined(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    edge, count = set(mining.EDGE_WORDS), Counter()
+    for body in texts.values():
+        w = re.findall(r"[^\W\d_]+", body.lower())
+        grams = set()
+        for n in range(2, 7):
+            for i in range(len(w) - n + 1):
+                inner = [j for j in range(i, i + n) if w[j] not in edge]
+                if inner and inner[-1] > inner[0]:
+                    grams.add(" ".join(w[inner[0] : inner[-1] + 1]))
+        count.update(grams)
+    best = sorted(((g, n) for g, n in count.items() if n >= 2), key=lambda x: (-x[1], x[0]))[:50]
+    assert [tuple(r) for r in text_queries.ngram_mining_all(spark, folder).collect()] == best
+    made = {r.doc_id: r.joined for r in text_queries.page_breaks_all(spark, folder).collect()}
+    assert any(len(t) > 2000 for t in texts.values())
+    for d, t in texts.items():
+        put = re.sub(r"(?s)(.{300})(.{1,500})", r"\1\2 ", t)  # only the page numbers leave a blank
+        assert made[d] == re.sub(r"[ \t]{2,}", " ", put)
