@@ -113,7 +113,7 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chosen_path_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prudentia.llm.near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP6_SQL = r"""

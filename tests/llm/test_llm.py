@@ -443,6 +443,16 @@ def test_near_duplicates(spark, monkeypatch, leaf):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def test_pipeline_drops_near_duplicates_from_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    other = words[:94] + [f"x{i}" for i in range(10)]  # 90 common shingles of 110
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, other, [f"y{i}" for i in range(50)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()} == {0, 2}
+
+
 def test_near_duplicates_without_rows_or_ids(spark):
     from prudentia.llm.near_dup import near_duplicates
 
