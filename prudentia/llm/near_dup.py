@@ -5,7 +5,8 @@ form a class; a class is joined by its smallest doc_id.  Trees branch classes by
 selected minwise tokens: a node's children are the classes that agree on one
 more coordinate of the minwise signature.  Nodes small enough are compared
 exhaustively, on full sets; independent trees repeat this until a pair at the
-threshold is missed with probability ``1 - recall`` at most.
+threshold is missed with probability ``1 - recall`` at most, its paths through
+all levels counted.
 
 A large root node, and one that is still large at the deepest level, is compared
 with one pivot.  Members linked to it are connected, need no links among each
@@ -41,9 +42,8 @@ LEAF = 48
 BLOCK = 256
 #: How often a large node branches at each level, on so many coordinates each.
 LEVELS = ((2, 2), (3, 3), (3, 3))
-#: Standard deviations that a sketch's estimate may fall short by chance; for
-#: members that are at best near the pivot, where other trees follow, fewer.
-SIGMAS, BORDER_SIGMAS = 5.0, 2.0
+#: Standard deviations that a sketch's estimate may fall short by chance.
+SIGMAS = 5.0
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -280,6 +280,15 @@ def _close(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("pivot", "class", "sketch", "pivot_sketch").mapInArrow(run, "pivot long, class long")
 
 
+def trees_for(similarity: float, recall: float) -> int:
+    """How many trees find a pair of this similarity with this probability,
+    if its nodes are large on all levels."""
+    below = 1.0
+    for branches, width in reversed(LEVELS):
+        below = 1 - (1 - similarity**width * below) ** branches
+    return min(PATH, math.ceil(math.log(1 - recall) / math.log(1 - similarity * below)))
+
+
 class _Join:
     """The join of one set of documents: what its levels have in common."""
 
@@ -292,13 +301,18 @@ class _Join:
     def _floor(self, similarity: float, sigmas: float) -> int:
         return math.ceil(COORDINATES * max(0.0, similarity - sigmas * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
 
+    def _border_floor(self) -> int:
+        """Bytes in which a sketch agrees with the pivot's, if its class can
+        have a link to one that is linked to the pivot."""
+        return self._floor(self._border, SIGMAS)
+
     def without_star(self, large: DataFrame) -> DataFrame:
         """(node, class) of large nodes (node, class, pivot) without what is
         linked to their pivots; the links that settle the others are noted."""
         pairs = large.where("class <> pivot").select("pivot", "class").distinct()
         sketched = self._classes.select("class", "sketch")
         both = pairs.join(sketched, "class").join(sketched.select(F.col("class").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        near = written(_close(both, min(self._floor(self._threshold, SIGMAS), self._floor(self._border, BORDER_SIGMAS))), "near")
+        near = written(_close(both, self._border_floor()), "near")
         sets = sets_of(self._docs, near.select("class").union(near.select(F.col("pivot").alias("class"))), self._ident, self._text)
         measured = written(_with_pivot(near.withColumn("percent", F.lit(self._percent)), sets), "measured")
         self.links.append(measured.where("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
@@ -322,7 +336,7 @@ class _Join:
         return written(nodes.join(sizes, "node"), "nodes")
 
     def run(self, recall: float) -> DataFrame:
-        trees = min(PATH, math.ceil(math.log(1 - recall) / math.log(1 - self._threshold)))
+        trees = trees_for(self._threshold, recall)
         roots = F.posexplode(F.slice("path", 1, trees)).alias("tree", "token")
         nodes = self.sized(self._classes.select("class", roots).select(F.xxhash64("tree", "token").alias("node"), "class").distinct())
         leaves = [nodes.where(F.col("n") <= LEAF).select("node", "class")]

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
 import io
+import math
 import random
 from hashlib import sha256
 from zlib import crc32
@@ -453,6 +454,29 @@ def test_pipeline_drops_near_duplicates_from_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()} == {0, 2}
 
 
+def test_border_of_a_pivot_and_number_of_trees():
+    from prudentia.llm import near_dup
+
+    # a member at 0.70 to the pivot may be linked at 0.85 to one that left
+    least = near_dup._Join(None, None, "", "", 85)._border_floor()
+    n = near_dup.COORDINATES
+    missed = sum(math.comb(n, k) * 0.7**k * 0.3 ** (n - k) for k in range(least))
+    assert missed < 1e-5
+    rng = random.Random(3)
+    for similarity in (0.8, 0.85):
+        trees, found = near_dup.trees_for(similarity, 1 - 1e-7), 0
+
+        def meet(level):
+            if level == len(near_dup.LEVELS):
+                return True
+            branches, width = near_dup.LEVELS[level]
+            return any(all(rng.random() < similarity for _ in range(width)) and meet(level + 1) for _ in range(branches))
+
+        for _ in range(20_000):
+            found += rng.random() < similarity and meet(0)
+        assert (1 - found / 20_000) ** trees < 2e-7
+
+
 def test_near_duplicates_without_rows_or_ids(spark):
     from prudentia.llm.near_dup import near_duplicates
 
