@@ -23,30 +23,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's perplexity band."""
-    return judge(docs).where("kept").select(COLUMNS)
+    return judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group; documents
     without a doc_id aren't judged and stay."""
-    gone = near_duplicates(docs, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = near_duplicates(docs.select(COLUMNS), percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that occur more than once."""
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return remove_repeats(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, as repeated rows."""
-    mixed = mix(docs.select("*", word_count(F.col("text")).alias("size")), "source", "size", "doc_id", SOURCE_WEIGHTS)
+    mixed = mix(docs.select(*COLUMNS, word_count(F.col("text")).alias("size")), "source", "size", "doc_id", SOURCE_WEIGHTS)
     return mixed.where("repeats > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its ids, and a digest of what they decode to."""
-    return encode_and_decode(docs, piece_model())
+    return encode_and_decode(docs.select(COLUMNS), piece_model())
 
 
 STAGES = [

@@ -454,6 +454,16 @@ def test_pipeline_drops_near_duplicates_from_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()} == {0, 2}
 
 
+def test_pipeline_stages_take_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = small_docs(spark, 20)
+    for name in ("kept", "bits", "removed", "n_bytes", "size", "ids"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for stage in (corpus_pipeline.quality, corpus_pipeline.passage_dedup, corpus_pipeline.mix_sources, corpus_pipeline.encode):
+        assert set(corpus_pipeline.COLUMNS) <= set(stage(spark, docs, FOLDER).columns)
+
+
 def test_border_of_a_pivot_and_number_of_trees():
     from prudentia.llm import near_dup
 
