@@ -50,6 +50,10 @@ def arc_head(version: int, name: str, when: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {when} text/plain{rest} {len(body)}\n".encode() + body + b"\n"
 
 
+#: The head before the html of every page that is written.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+
 def arc_record(version: int, url: str, when: str, kind: str, name: str, at: int, block: bytes) -> bytes:
     """One record, whose line takes the form of the version."""
     rest = "" if version == 1 else f" 200 - - {at} {name}"
@@ -199,7 +203,8 @@ class _Lines:
 
 def write_arcs(pages: DataFrame, version: Column | int = 1) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as ARC files in shared storage, at
-    most one of each version for each partition that is read.
+    most one of each version for each partition that is read.  Every block has
+    an HTTP head of its own, so a page that begins like one stays whole.
 
     Null html is an empty payload, null url ``about:blank``; blanks in an
     address are escaped, as a record line is cut at blanks.  The page_id stands
@@ -224,7 +229,7 @@ def write_arcs(pages: DataFrame, version: Column | int = 1) -> DataFrame:
                     own = files[kind]
                     mark = "" if r["page_id"] is None else r["page_id"]
                     url = "%20".join((r["url"] or "about:blank").split()) or "about:blank"
-                    record = arc_record(kind, f"{url}#page={mark}", when, "text/html", own[0], own[2], (r["html"] or "").encode())
+                    record = arc_record(kind, f"{url}#page={mark}", when, "text/html", own[0], own[2], HTTP_HEAD + (r["html"] or "").encode())
                     own[1].write(_member(record))
                     own[2] += len(record)
                     own[3] += 1

@@ -162,6 +162,15 @@ def test_arc_lines(version):
         list(a.read_arc(io.BytesIO(b"http://x 1 2 3 4\n")))
 
 
+def test_page_that_begins_like_an_http_head(spark):
+    from prudentia.llm.archives import convert, page_of, warc_index, write_arcs
+
+    html = "HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>saved response</html>"
+    pages = spark.createDataFrame([(1, "http://a/", html), (2, "http://b/", None)], "page_id long, url string, html string")
+    got = {r.page: (r.payload_bytes, r.payload_digest) for r in warc_index(convert(write_arcs(pages))).withColumn("page", page_of(F.col("url"))).collect()}
+    assert got == {1: (len(html), sha256(html.encode()).hexdigest()), 2: (0, sha256(b"").hexdigest())}
+
+
 def test_archives(spark):
     from prudentia.llm.archives import convert, page_of, warc_index, write_arcs
 
