@@ -13,7 +13,7 @@ QUERIES = graph_queries.QUERIES | text_queries.QUERIES
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("part", "lineitem", "customer", "documents", "pages"):
+    for name in ("part", "lineitem", "customer", "orders", "documents", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return con
 
