@@ -14,8 +14,9 @@ other and leave the node; only members close to the pivot but not linked to it
 (by the triangle inequality of the Jaccard distance nobody else can) are still
 compared with those that left, in blocks.  The rest branches on, on more
 coordinates at once from level to level, so that texts which share a common
-passage only fall apart.  A group of thousands of near copies costs one
-comparison a member, and no link between components is lost.
+passage only fall apart.  A leaf compares sketches first, of 128 bytes a class;
+pairs that may be linked are confirmed on full sets of 64-bit shingle hashes,
+the most alike first, until their members are connected.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ U64 = np.uint64
 WIDTH = 5
 #: Coordinates of a sketch (a byte each) and, the first of them, of a path.
 COORDINATES, PATH = 128, 40
-#: Members up to which a node is compared exhaustively.
-LEAF = 48
+#: Members up to which a node is compared exhaustively, by sketches first.
+LEAF = 1024
 #: Members of a block where large sets of members are compared.
 BLOCK = 256
 #: How often a large node branches at each level, on so many coordinates each.
@@ -57,7 +58,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     data = LOWER[data]
     starts, ends, first_word = words(data, offsets)
-    word = np.append(SubstringHash(data)(starts, ends), np.zeros(WIDTH, np.uint64))
+    word = np.append(SubstringHash(data).strings(starts, ends), np.zeros(WIDTH, np.uint64))
     count = np.diff(first_word)
     n = np.where(count > 0, np.maximum(count - (WIDTH - 1), 1), 0)
     at = np.repeat(first_word[:-1], n) + in_group(n)
@@ -166,10 +167,24 @@ def _groups(batches, key: str) -> Iterator[pa.Table]:
         yield held[0]
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def _close_pairs(sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bytes in common) of all pairs of rows that share ``need`` bytes."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for i in range(len(sketch) - 1):
+        same = np.count_nonzero(sketch[i + 1 :] == sketch[i], axis=1)
+        near = np.flatnonzero(same >= need)
+        if len(near):
+            found.append((np.full(len(near), i), near + i + 1, same[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _promising(leaves: DataFrame, need: int) -> DataFrame:
     """(list, class): from (node, class, sketch), the members of each leaf that
-    the sketches say may be linked to another one in it, leaves with equal
-    lists once."""
+    chains of alike sketches connect, a list for each chain; equal lists once."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         lists: dict[bytes, np.ndarray] = {}
@@ -181,14 +196,15 @@ def _promising(leaves: DataFrame, need: int) -> DataFrame:
 
         for group in _groups(batches, "node"):
             ids = group.column("class").to_numpy()
-            flat = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-            close = np.zeros(len(ids), dtype=bool)
-            for i in range(len(ids) - 1):
-                near = np.flatnonzero((flat[i + 1 :] == flat[i]).sum(axis=1) >= need) + i + 1
-                if len(near):
-                    close[i] = close[near] = True
-            kept = np.unique(ids[close])
-            if len(kept) > 1:
+            left, right, _ = _close_pairs(_sketches(group.column("sketch")), need)
+            forest = _Forest()
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                forest.join(i, j)
+            chains: dict[int, list[int]] = {}
+            for i in np.unique(np.concatenate([left, right])).tolist():
+                chains.setdefault(forest.root(i), []).append(i)
+            for own in chains.values():
+                kept = np.sort(ids[own])
                 lists[kept.tobytes()] = kept
             if len(lists) >= 20_000:
                 yield out()
@@ -202,20 +218,21 @@ def _promising(leaves: DataFrame, need: int) -> DataFrame:
     return named.select("classes").distinct().select(F.xxhash64("classes").alias("list"), F.explode("classes").alias("class"))
 
 
-def _leaf_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is linked in each leaf, compared on full sets."""
+def _leaf_links(lists: DataFrame, sets: DataFrame, percent: int, need: int) -> DataFrame:
+    """Links that connect what is linked in each list (list, class, sketch),
+    compared on full sets, the most alike sketches first."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "list"):
-            ids = group.column("class").to_numpy()
+            ids = group.column("class").to_pylist()
             own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("members")]
+            left, right, same = _close_pairs(_sketches(group.column("sketch")), need)
+            order = np.argsort(-same, kind="stable")
             forest, found = _Forest(), []
-            for i in range(len(ids)):
-                for j in range(i + 1, len(ids)):
-                    a, b = int(ids[i]), int(ids[j])
-                    if forest.root(a) != forest.root(b) and linked(own[i], own[j], percent):
-                        forest.join(a, b)
-                        found.append((a, b))
+            for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+                if forest.root(i) != forest.root(j) and linked(own[i], own[j], percent):
+                    forest.join(i, j)
+                    found.append((ids[i], ids[j]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -243,9 +260,10 @@ def _blocks(rows: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return dealt.join(sets, "class").groupBy("node", "_block").agg(F.collect_list(F.struct("class", "members")).alias(side)).drop("_block")
 
 
-def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, joined: bool) -> DataFrame:
     """For each left member of a node, a link to one right member of every
-    block with a linked one, compared on full sets."""
+    block with a linked one, compared on full sets.  ``joined``: the right
+    members of a node are connected already."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +274,8 @@ def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: in
                     members = items.field("members")
                     sides.append([(c, np.frombuffer(members[i].as_buffer(), np.uint64)) for i, c in enumerate(items.field("class").to_pylist())])
                 found, forest = [], _Forest()
+                for b, _ in sides[1] if joined else []:
+                    forest.join(b, sides[1][0][0])
                 for a, own in sides[0]:
                     for b, other in sides[1]:
                         if forest.root(a) != forest.root(b) and linked(own, other, percent):
@@ -273,7 +293,7 @@ def _close(pairs: DataFrame, least: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+                own, other = (_sketches(batch.column(c)) for c in ("sketch", "pivot_sketch"))
                 near = np.flatnonzero((own == other).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near)) for c in ("pivot", "class")], ["pivot", "class"])
 
@@ -320,7 +340,7 @@ class _Join:
         between = measured.where(f"NOT linked AND similarity >= {self._border}").select(F.col("pivot").alias("node"), "class")
         if not between.isEmpty():
             members = measured.where("linked").select(F.col("pivot").alias("node"), "class").join(between.select("node").distinct(), "node", "left_semi")
-            self.links.append(written(_block_links(between, members, sets, self._percent), "between"))
+            self.links.append(written(_block_links(between, members, sets, self._percent, True), "between"))
         linked_pairs = measured.where("linked").select("pivot", "class")
         return written(large.where("class <> pivot").select("node", "class", "pivot").join(linked_pairs, ["pivot", "class"], "left_anti").select("node", "class"), "rest")
 
@@ -353,7 +373,7 @@ class _Join:
                 again = large.select("node", "class")
                 if not again.isEmpty():
                     own = sets_of(self._docs, again, self._ident, self._text)
-                    self.links.append(written(_block_links(again, again, own, self._percent), "blocks"))
+                    self.links.append(written(_block_links(again, again, own, self._percent, False), "blocks"))
                 break
             nodes = self.sized(self.branched(large.select("node", "class"), level))
             leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "class"))
@@ -361,8 +381,10 @@ class _Join:
         every = leaves[0]
         for more in leaves[1:]:
             every = every.union(more)
-        lists = written(_promising(every.join(self._classes.select("class", "sketch"), "class"), self._floor(self._threshold, SIGMAS)), "lists")
-        out = written(_leaf_links(lists, sets_of(self._docs, lists, self._ident, self._text), self._percent), "links")
+        need, sketched = self._floor(self._threshold, SIGMAS), self._classes.select("class", "sketch")
+        lists = written(_promising(every.join(sketched, "class"), need), "lists")
+        sets = sets_of(self._docs, lists, self._ident, self._text)
+        out = written(_leaf_links(lists.join(sketched, "class"), sets, self._percent, need), "links")
         for more in self.links:
             out = out.union(more)
         return out

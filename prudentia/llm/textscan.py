@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+#: Bytes up to which the polynomial hash tells strings apart; from about 1,000
+#: on, strings can be made that it confuses.
+SHORT = 256
+
+
 class SubstringHash:
     """Hashes of any substrings of ``data`` in O(1) each, equal for equal bytes
     wherever they start."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self._data = data
         up, self._down = _power_table(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUE[data] * up[:n], out=self._sums[1:])
@@ -60,6 +67,13 @@ class SubstringHash:
         raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
         return mix(raw + (ends - starts).astype(np.uint64))
 
+    def strings(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As a call, for strings of any length: long ones are digested."""
+        out = self(starts, ends)
+        for i in np.flatnonzero(ends - starts > SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(self._data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
+
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, offsets from 0; null is empty."""
