@@ -7,6 +7,7 @@ a laptop) is a temporary folder chosen.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The application's own folder in the storage all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="prudentia-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -34,3 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does when the
+    driver collects its garbage, which may be long after the next job began."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def aside(df: DataFrame, added: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns whose names, in any case, an operator adds moved out
+    of the way: they come back with ``_input`` behind their names, as often as it
+    takes.  Columns in ``keep`` are an operator's arguments and stay."""
+    taken = {c.lower() for c in added}
+    names = {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while new.lower() in taken or (new != c and new.lower() in names):
+            new += "_input"
+        if c in keep and new != c:
+            raise ValueError(f"{c} is a column that this operator adds")
+        names.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)

@@ -1,5 +1,6 @@
 """Brute-force versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -99,3 +100,46 @@ def greedy(symbols, tokens):
             return -1
         at, n = end, n + 1
     return n
+
+
+def kneser_ney_bits(docs, turn_of, spell, most=40.0):
+    """{doc: mean bits per word} of {doc: (language, words)}, each under the
+    counts of all other documents: interpolated modified Kneser-Ney of order 3
+    over the spelling, with discounts for each language and turn of middle words."""
+    grams = {d: [((("<", "<", *w)[i : i + 3]), lang) for i in range(len(w))] for d, (lang, w) in docs.items()}
+    count = Counter((lang, g) for x in grams.values() for g, lang in x)
+    kinds = Counter((lang, g[1:]) for lang, g in count)
+
+    def cuts(values):
+        n1, n2, n3, n4 = (sum(v == k for v in values) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return [0, 0.5, 1, 1.5]
+        y = n1 / (n1 + 2 * n2)
+        return [0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]))]
+
+    def cut_of(table, middle):
+        groups = defaultdict(list)
+        for (lang, g), n in table.items():
+            groups[lang, turn_of(lang, g[middle])].append(n)
+        return {k: cuts(v) for k, v in groups.items()}
+
+    cut_3, cut_2 = cut_of(count, 1), cut_of(kinds, 0)
+    out = {}
+    for d, own_grams in grams.items():
+        own = Counter(own_grams)
+        bits = 0.0
+        for (g, lang), n in own.items():
+            turn = lang, turn_of(lang, g[1])
+            alone = int(count[lang, g] == n)
+            p = 2.0 ** -spell(g[2])
+            for table, gram, less, cut in (({k[1]: v for k, v in kinds.items() if k[0] == lang}, g[1:], {g[1:]: alone}, cut_2[turn]), ({k[1]: v for k, v in count.items() if k[0] == lang}, g, {k[0]: v for k, v in own.items()}, cut_3[turn])):
+                peers = {k: v for k, v in table.items() if k[:-1] == gram[:-1]}
+                rest = {k: v - less.get(k, 0) for k, v in peers.items()}
+                total = sum(rest.values())
+                if total > 0:
+                    mass = sum(cut[min(v, 3)] for k, v in peers.items() if k != gram) + cut[min(max(rest[gram], 0), 3)]
+                    p = min((rest[gram] - cut[min(rest[gram], 3)]) / total + min(mass / total, 1) * p, 1)
+            bits += n * min(-math.log2(max(p, 1e-30)), most)
+        if own:
+            out[d] = bits / sum(own.values())
+    return out

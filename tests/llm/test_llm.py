@@ -368,6 +368,62 @@ def test_words_in_wrong_order_are_not_kept(spark):
     assert min(out[i].word_bits for i in range(390, 400)) > max(out[i].word_bits for i in range(390))
 
 
+def flat_spelling(data, offsets, languages):
+    return np.full(len(data), 1.5, dtype=np.float32)
+
+
+@pytest.mark.parametrize("heavy", [1_000_000, 300])
+def test_word_bits_equal_brute_force(spark, monkeypatch, heavy):
+    from prudentia.llm import word_model
+    from prudentia.llm.textscan import column_bytes, mix
+
+    rng = random.Random(11)
+    docs = {}
+    for i in range(60):
+        words = [rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 25))]
+        docs[i] = (rng.choice(["en", "fr", None]), words)
+    docs[60] = docs[3]
+    rows = [(i, lang, " ".join(w)) for i, (lang, w) in docs.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+
+    def hashed(lang, word):
+        w, of, _, _ = word_model._word_hashes(*column_bytes(pa.array([word.replace("<", "x")])), [lang])
+        return mix(of + np.uint64(1))[0] if word == "<" else w[0]
+
+    def turn_of(lang, word):
+        return int((mix(np.array([hashed(lang, word)])) >> np.uint64(64 - word_model.MIDDLE_BITS))[0]) % word_model.ROUNDS
+
+    total = sum(len(r[2]) for r in rows)
+    if heavy < total:  # which words are told apart; what becomes of them is another test's
+        monkeypatch.setattr(word_model, "HEAVY", 60)
+        hashes, parts = word_model.heavy_words(frame, "text", "lang", total)
+        often = brute.Counter((lang, w) for lang, words in docs.values() for w in words)
+        assert {int(hashed(*k)) for k, n in often.items() if n > 60} <= set(hashes.tolist()) and all(parts > 1)
+        return
+    want = brute.kneser_ney_bits(docs, turn_of, lambda w: 1.5 * (len(w) + 1))
+    whole = [(i, lang, t + " ") for i, lang, t in rows]  # the byte after a word ends its spelling
+    data, offsets = column_bytes(pa.array([r[2] for r in whole]))
+    keys = word_model.doc_keys(data, offsets, [r[1] for r in whole]).tolist()
+    got = {r.doc: r.word_bits for r in word_model.word_bits(spark.createDataFrame(whole, "doc_id long, lang string, text string"), flat_spelling, total).collect()}
+    assert len(got) == len({k for i, k in enumerate(keys) if docs[i][1]})
+    assert all(abs(got[k] - want[i]) < 1e-5 for i, k in enumerate(keys) if docs[i][1])
+
+
+def test_buckets_of_words_pack_and_tell_heavy_words_apart():
+    from prudentia.llm import word_model
+
+    rng = np.random.default_rng(3)
+    entries = {c: np.sort(rng.integers(0, 1 << min(8 * k, 60), 500).astype(np.uint64)) if c == "g" else rng.integers(0, 1 << min(8 * k, 60), 500).astype(np.uint64) for c, k in word_model.ENTRY.items()}
+    again = word_model.unpack(word_model.pack(entries), 500)
+    assert all(np.array_equal(again[c], entries[c]) for c in entries)
+    part = pa.RecordBatch.from_arrays([pa.array(["a x b a x c", "d x b", "e x b"]), pa.array(["en"] * 3)], ["text", "lang"])
+    x = word_model._word_hashes(*(lambda d: (d[0], d[1]))(__import__("prudentia.llm.textscan", fromlist=["x"]).column_bytes(pa.array(["x"]))), ["en"])[0]
+    alone = [word_model._entries(part, "text", "lang", flat_spelling, (x[:0], np.zeros(0, np.int64)), t)[0] for t in range(word_model.ROUNDS)]
+    apart = [word_model._entries(part, "text", "lang", flat_spelling, (x, np.array([1000])), t)[0] for t in range(word_model.ROUNDS)]
+    size = lambda many: (sum(len(e["g"]) for e in many), len({int(v) for e in many for v in e["g"]}))
+    assert size(alone)[0] == size(apart)[0] == 12 and size(apart)[1] == size(alone)[1] + 2
+
+
 # ---- 8: token counts -------------------------------------------------------
 
 
