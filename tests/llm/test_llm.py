@@ -368,8 +368,8 @@ def test_words_in_wrong_order_are_not_kept(spark):
     assert min(out[i].word_bits for i in range(390, 400)) > max(out[i].word_bits for i in range(390))
 
 
-def flat_spelling(data, offsets, languages):
-    return np.full(len(data), 1.5, dtype=np.float32)
+def flat_spelling(data, offsets, languages, begin, end, doc):
+    return (end - begin) * 1.5
 
 
 @pytest.mark.parametrize("heavy", [1_000_000, 300])
@@ -391,7 +391,7 @@ def test_word_bits_equal_brute_force(spark, monkeypatch, heavy):
         return mix(of + np.uint64(1))[0] if word == "<" else w[0]
 
     def turn_of(lang, word):
-        return int((mix(np.array([hashed(lang, word)])) >> np.uint64(64 - word_model.MIDDLE_BITS))[0]) % word_model.ROUNDS
+        return int(hashed(lang, word)) % word_model.ROUNDS
 
     total = sum(len(r[2]) for r in rows)
     if heavy < total:  # which words are told apart; what becomes of them is another test's
@@ -409,11 +409,29 @@ def test_word_bits_equal_brute_force(spark, monkeypatch, heavy):
     assert all(abs(got[k] - want[i]) < 1e-5 for i, k in enumerate(keys) if docs[i][1])
 
 
+def test_spelling_of_stretches_equals_that_of_bytes(monkeypatch):
+    from prudentia.llm import perplexity
+    from prudentia.llm.textscan import column_bytes
+
+    texts, languages = ["ab cd é", "", "cd", "ab ab"], ["en", None, "fr", "en"]
+    data, offsets = column_bytes(pa.array(texts))
+    model = {}
+    for x in ("en", "fr", None):
+        own = [t for t, k in zip(texts, languages, strict=True) if k == x]
+        model[x] = perplexity.Model.fit(*np.unique(perplexity.trigrams(*column_bytes(pa.array(own))), return_counts=True)).table()
+    monkeypatch.setattr(perplexity, "_table", lambda folder, language: model[language])
+    cost = perplexity.byte_costs("", data, offsets, languages)
+    begin, end, doc = np.array([0, 3, 6, 8, 9, 13]), np.array([3, 6, 8, 10, 10, 15]), np.array([0, 0, 0, 2, 2, 3])
+    got = perplexity.spelling_of("")(data, offsets, languages, begin, end, doc)
+    assert np.allclose(got, [cost[a:b].sum() for a, b in zip(begin, end, strict=True)])
+
+
 def test_buckets_of_words_pack_and_tell_heavy_words_apart():
     from prudentia.llm import word_model
 
     rng = np.random.default_rng(3)
-    entries = {c: np.sort(rng.integers(0, 1 << min(8 * k, 60), 500).astype(np.uint64)) if c == "g" else rng.integers(0, 1 << min(8 * k, 60), 500).astype(np.uint64) for c, k in word_model.ENTRY.items()}
+    entries = {c: rng.integers(0, min(np.iinfo(k).max, 1 << 60), 500).astype(k) for c, k in word_model.ENTRY.items()}
+    entries["g"] = np.sort(entries["g"])
     again = word_model.unpack(word_model.pack(entries), 500)
     assert all(np.array_equal(again[c], entries[c]) for c in entries)
     part = pa.RecordBatch.from_arrays([pa.array(["a x b a x c", "d x b", "e x b"]), pa.array(["en"] * 3)], ["text", "lang"])
