@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prudentia.llm.ranking import blocks, running
-from prudentia.llm.storage import written
+from prudentia.llm.ranking import RANKING, blocks, running
+from prudentia.llm.storage import aside, written
 
+#: Columns that ``mix`` works with.
+WORKING = ["_size", "_rows", "_source", "_dice", "_block", "_before", "_whole", "_rest", "_gap", "_best", "_filler"]
 #: What counts as one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,8 +71,10 @@ def mix(df: DataFrame, source: str, size: str, ident: str, weights: list[float],
     source, null sizes count as 0; rows of size 0 are taken as often as their
     source is taken whole.  No row is taken more than ``ceil(max_epochs)``
     times, nor any past ``max_epochs`` for a whole number.  Reruns agree.  An
-    empty table gives an empty result.
+    empty table gives an empty result.  Columns of ``df`` with an added name, or
+    that of a working column, come back with ``_input`` behind it.
     """
+    df = aside(df, ["source_size", "target", "repeats", "weight", *RANKING, *WORKING], (source, size, ident))
     rows = df.select("*", F.coalesce(F.col(size).cast("long"), F.lit(0)).cast("long").alias("_size"))
     sized = rows.groupBy(source).agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows"))
     targets = water_fill(cyclic_weights(sized, source, weights), "source_size", max_epochs)

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from prudentia.llm.textscan import chunks, column_bytes
+from prudentia.llm.storage import aside
+from prudentia.llm.textscan import chunks, column_bytes, task_cache
 from prudentia.llm.wordcache import SegmentEncoder
 
 MARK = "▁".encode()
@@ -243,7 +244,7 @@ class SpanEncoder:
         return np.stack([at[spans[:, 0]], leads[np.searchsorted(leads, spans[:, 1])]], axis=1)
 
 
-_encoders: dict[str, SpanEncoder] = {}
+_encoders: dict[str, SpanEncoder] = task_cache()
 
 
 def _encoder(path: str) -> SpanEncoder:
@@ -257,10 +258,10 @@ def encode_with_spans(docs: DataFrame, model: str, text: str = "text") -> DataFr
     (array of struct(begin, end): byte spans in the UTF-8 text) to ``docs``.
 
     A null or empty text has empty arrays.  Other columns and repeated rows
-    pass unchanged; a column named ``ids`` or ``spans`` is refused.
+    pass unchanged; a column named ``ids`` or ``spans`` comes back with
+    ``_input`` behind its name.  An empty table gives an empty result.
     """
-    if {"ids", "spans"} & set(docs.columns):
-        raise ValueError("columns named ids or spans are in the way")
+    docs = aside(docs, ["ids", "spans"], (text,))
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("spans", T.ArrayType(span))])
 
@@ -276,12 +277,21 @@ def encode_with_spans(docs: DataFrame, model: str, text: str = "text") -> DataFr
     return docs.mapInArrow(encode, schema)
 
 
+def _covered(spans: np.ndarray) -> int:
+    """Distinct bytes in a text's spans."""
+    reach = np.maximum.accumulate(np.concatenate([[0], spans[:, 1]]))
+    return int(np.maximum(0, spans[:, 1] - np.maximum(spans[:, 0], reach[:-1])).sum())
+
+
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, n_bytes_covered, ids_sha256, decoded_sha256) of each
     whole text, with begin and end ids, decoded again from the ids.
 
     ``n_bytes_covered`` sums the lengths of the pieces' spans over the distinct
     bytes they cover; it is the length of the text whenever pieces tile it.
+    A null or empty text has begin and end ids only.  Rows are taken one by one,
+    repeated ones and null doc_ids too; other columns are left out.  An empty
+    table gives an empty result.
     """
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
@@ -295,8 +305,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
                 sizes.append(len(own))
                 hashes.append(sha256(own).hexdigest())
                 texts.append(sha256(encoder.library.decode(own.tolist()).encode()).hexdigest())
-                reach = np.maximum.accumulate(np.concatenate([[0], spans[a:b, 1]]))
-                covered.append(int(np.maximum(0, spans[a:b, 1] - np.maximum(spans[a:b, 0], reach[:-1])).sum()))
+                covered.append(_covered(spans[a:b]))
             columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(covered, pa.int64()), pa.array(hashes), pa.array(texts)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_bytes_covered", "ids_sha256", "decoded_sha256"])
 
@@ -304,22 +313,24 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array of int, with begin and end ids), ``n_tokens`` and
+    """Add ``ids`` (array of int, with begin and end ids), ``n_tokens``,
+    ``n_bytes_covered`` (distinct bytes of the text in the pieces' spans) and
     ``decoded_sha256`` (of the text that the ids decode to) to ``docs``.
 
     A null or empty text has begin and end ids only.  Other columns and repeated
-    rows pass unchanged; columns with the added names are refused.
+    rows pass unchanged; columns with an added name come back with ``_input``
+    behind it.  An empty table gives an empty result.
     """
-    names = ["ids", "n_tokens", "decoded_sha256"]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns in the way: {sorted(set(names) & set(docs.columns))}")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
+    names = ["ids", "n_tokens", "n_bytes_covered", "decoded_sha256"]
+    docs = aside(docs, names, (text,))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes_covered", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         bos, eos = encoder.library.bos_id(), encoder.library.eos_id()
         for part in chunks(batches, text):
-            ids, first = encoder.ids(part.column(text))
+            ids, spans, first = encoder(part.column(text))
+            covered = [_covered(spans[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             bounds = first + 2 * np.arange(len(first))
             flat = np.empty(int(bounds[-1]), dtype=np.int32)
             inner = np.ones(len(flat), dtype=bool)
@@ -327,7 +338,7 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text") -> DataFr
             flat[bounds[:-1]], flat[bounds[1:] - 1] = bos, eos
             flat[inner] = ids
             texts = [sha256(encoder.library.decode(flat[a:b].tolist()).encode()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)), pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.string())]
+            made = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)), pa.array(np.diff(bounds), pa.int64()), pa.array(covered, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
 
     return docs.mapInArrow(encode, schema)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Columns that ``running`` works with.
+RANKING = ["_total", "_earlier", "_inner", "_k0", "_k1"]
 #: Rows that a block holds at about.
 BLOCK_ROWS = 20_000
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prudentia.llm.ranking import blocks, running
-from prudentia.llm.storage import written
+from prudentia.llm.ranking import RANKING, blocks, running
+from prudentia.llm.storage import aside, written
 
 
 def interleave(df: DataFrame, shards: int, source: str, ident: list[str], seed: int = 0) -> DataFrame:
@@ -23,12 +23,10 @@ def interleave(df: DataFrame, shards: int, source: str, ident: list[str], seed:
     ``ident`` are the columns that fix a row's place in the seeded order; rows
     equal in them are interchangeable repeats and all kept.  Null sources form
     a source of their own.  An empty table gives an empty result; with fewer
-    rows than shards some shards are empty.  Columns of ``df`` named ``shard``,
-    ``slot`` or starting with an underscore are refused rather than replaced.
+    rows than shards some shards are empty.  Columns of ``df`` named ``shard`` or
+    ``slot``, or as a working column, come back with ``_input`` behind their names.
     """
-    taken = [c for c in df.columns if c in ("shard", "slot") or c.startswith("_")]
-    if taken:
-        raise ValueError(f"columns in the way: {taken}")
+    df = aside(df, ["shard", "slot", *RANKING, "_dice", "_block", "_one", "_source", "_n", "_rank", "_part", "_at"], (source, *ident))
     if shards < 1:
         raise ValueError("shards must be positive")
     total = df.count()

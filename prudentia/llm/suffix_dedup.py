@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from prudentia.llm import bwt
-from prudentia.llm.storage import written
+from prudentia.llm.storage import aside, written
 from prudentia.llm.textscan import SubstringHash, chunks, column_bytes, in_group
 
 U64 = np.uint64
@@ -282,11 +282,10 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
     stays, characters that were cut apart left out, else it isn't returned.
     A null text counts as empty and stays null.  All rows are kept; rows with
     equal texts lose all of them that is long enough.  Other columns pass; ones
-    with the added names are refused.  An empty table gives an empty result.
+    with an added name come back with ``_input`` behind it.  An empty table
+    gives an empty result.
     """
-    added = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "_row", "_spans"}
-    if added & set(docs.columns):
-        raise ValueError(f"columns in the way: {sorted(added & set(docs.columns))}")
+    docs = aside(docs, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "_row", "_spans"], (ident, text))
     keyed = docs.withColumn("_row", F.xxhash64(F.col(ident), F.col(text)))
     spans = repeated_spans(keyed.select(F.col("_row").alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH))
     joined = keyed.join(spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left").drop("_row")

@@ -88,16 +88,31 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: What a worker drops at the end of a task: (a dictionary, the bytes up to which
+#: its arrays may stay, or None to clear it).
+_caches: list[tuple[dict, int | None]] = [(_powers, 64 << 20)]
+
+
+def task_cache(most: int | None = None) -> dict:
+    """A dictionary for what a task's batches share."""
+    _caches.append(({}, most))
+    return _caches[-1][0]
+
+
 def give_back() -> None:
-    """Return freed memory to the system: workers outlive their tasks, and what
-    one stage has freed counts against the executor in the next."""
+    """Drop what tasks have kept and return freed memory to the system: workers
+    outlive their tasks, and what one stage holds counts against the executor in
+    the next."""
+    for cache, most in _caches:
+        if most is None or sum(x.nbytes for x in cache.values()) > most:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def chunks(batches, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, so that
     working arrays stay small; one longer text is a slice of its own."""
     for batch in batches:

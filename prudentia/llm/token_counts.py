@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from prudentia.llm.storage import aside
 from prudentia.llm.textscan import LOWER, chunks, column_bytes, sums, words
 
 END = 256
@@ -142,11 +143,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     (words without a spelling; they count as one token), all long.
 
     A null or empty text has 0 of each.  Other columns and repeated rows pass
-    unchanged; columns of these names are refused.
+    unchanged; columns of these names come back with ``_input`` behind them.
+    An empty table gives an empty result.
     """
     names = ["n_words", "n_tokens", "longest_word_tokens", "n_unknown"]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns in the way: {sorted(set(names) & set(docs.columns))}")
+    docs = aside(docs, names, (text,))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def count(batches) -> Iterator[pa.RecordBatch]:

@@ -35,8 +35,10 @@ from prudentia.llm.storage import new_dir, written
 from prudentia.llm.textscan import chunks
 from prudentia.llm.wordcache import SegmentEncoder
 
-MAGIC = b"EFTOK1\0\0"
-HEAD = "<8sQQQQq"
+MAGIC = b"EFTOK2\0\0"
+#: Mark, bytes of an id, ids, bytes of both sequences, first doc_id, documents
+#: without a doc_id, which come first.
+HEAD = "<8sQQQQqQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Bytes of text that a part file is planned to hold.
 PART_BYTES = 32 << 20
@@ -58,11 +60,9 @@ def _encoder(path: str) -> SegmentEncoder:
 
 
 def _encoded(batches, tokenizer: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, sizes, ids) of each slice of the batches, end ids included."""
+    """(doc_ids (Arrow), sizes, ids) of each slice of the batches, end ids included."""
     encoder = _encoder(tokenizer)
     for part in chunks(batches, "text"):
-        if part.column("doc_id").null_count:
-            raise ValueError("doc_id is null")
         ids, first = encoder(part.column("text"))
         n = part.num_rows
         flat = np.empty(len(ids) + n, dtype=np.uint32)
@@ -71,7 +71,7 @@ def _encoded(batches, tokenizer: str, end_id: int) -> Iterator[tuple[np.ndarray,
         keep[bounds[1:] - 1] = False
         flat[keep] = ids
         flat[~keep] = end_id
-        yield part.column("doc_id").to_numpy(), np.diff(bounds), flat
+        yield part.column("doc_id"), np.diff(bounds), flat
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
@@ -82,15 +82,14 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, parts: int | N
     The manifest has a row per part: ``part`` (its order), ``path``, ``n_docs``,
     ``n_ids``, ``folder``.  A file is named anew by each attempt to write it and
     only whole files enter the manifest, so a task run twice does no harm.
-    Documents with equal doc_id are all kept, ordered by text; a null doc_id
-    is refused, as it has no place in the order.  An empty table gives an empty
-    manifest.
+    Documents with equal doc_id are all kept, ordered by text; those without a
+    doc_id come first.  An empty table gives an empty manifest.
     """
     folder = new_dir(docs.sparkSession, "tokens")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts or parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches) -> Iterator[pa.RecordBatch]:
-        names: list[np.ndarray] = []
+        names: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         bodies: list[np.ndarray] = []
         most = end_id
@@ -102,16 +101,20 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, parts: int | N
         if not names:
             return
         width = 2 if most < 1 << 16 else 4
-        doc_ids, counts = np.concatenate(names), np.concatenate(sizes)
+        named, counts = pa.chunked_array(names, pa.int64()), np.concatenate(sizes)
+        nameless = named.null_count  # at the front
+        doc_ids = named.slice(nameless).to_numpy()
+        base = int(doc_ids[0]) if len(doc_ids) else 0
+        doc_ids = np.concatenate([np.full(nameless, base), doc_ids])
         bounds = np.concatenate([[0], np.cumsum(counts)])
         edge = elias_fano.encode(bounds, int(bounds[-1]))
-        name = elias_fano.encode((doc_ids - doc_ids[0]).astype(np.uint64), int(doc_ids[-1] - doc_ids[0]))
+        name = elias_fano.encode((doc_ids - base).astype(np.uint64), int(doc_ids[-1] - base))
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         number = TaskContext.get().partitionId()
         path = f"part-{number:06d}-{uuid.uuid4().hex}.tok"
         with fs.open_output_stream(f"{root}/{path}") as out:
-            out.write(struct.pack(HEAD, MAGIC, width, int(bounds[-1]), len(edge), len(name), int(doc_ids[0])))
+            out.write(struct.pack(HEAD, MAGIC, width, int(bounds[-1]), len(edge), len(name), base, nameless))
             out.write(edge)
             out.write(name)
             for body in bodies:
@@ -128,7 +131,7 @@ class Part:
     def __init__(self, folder: str, name: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         self._file = fs.open_input_file(f"{root}/{name}")
-        magic, self._width, self.n_ids, edge, names, self.base = struct.unpack(HEAD, self._file.read_at(HEAD_BYTES, 0))
+        magic, self._width, self.n_ids, edge, names, self.base, self.nameless = struct.unpack(HEAD, self._file.read_at(HEAD_BYTES, 0))
         if magic != MAGIC:
             raise ValueError(f"not a token part: {name}")
         head = self._file.read_at(edge + names, HEAD_BYTES)
@@ -144,12 +147,12 @@ class Part:
     def _read(self, at: int, to: int) -> np.ndarray:
         return np.frombuffer(self._file.read_at(self._width * (to - at), self._body + self._width * at), f"<u{self._width}")
 
-    def scan(self, docs: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def scan(self, docs: int = 1024) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """(doc_ids, bounds, ids) of so many documents after another."""
         for at in range(0, self.n_docs, docs):
             to = min(at + docs, self.n_docs)
             bounds = self.bounds.values(at, to + 1)
-            yield self.names.values(at, to) + self.base, bounds, self._read(int(bounds[0]), int(bounds[-1]))
+            yield pa.array(self.names.values(at, to) + self.base, pa.int64(), mask=np.arange(at, to) < self.nameless), bounds, self._read(int(bounds[0]), int(bounds[-1]))
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -174,8 +177,8 @@ def read_store(manifest: DataFrame) -> DataFrame:
                     rel = bounds - bounds[0]
                     body = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                     sums = [crc32(body[4 * a : 4 * b]) for a, b in zip(rel[:-1].tolist(), rel[1:].tolist(), strict=True)]
-                    columns = [names, bounds[:-1] + r["before"], np.diff(bounds), np.array(sums, np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    columns = [bounds[:-1] + r["before"], np.diff(bounds), np.array(sums, np.int64)]
+                    yield pa.RecordBatch.from_arrays([names, *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
