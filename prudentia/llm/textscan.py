@@ -149,6 +149,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def met_again(keys: np.ndarray) -> np.ndarray:
+    """True for keys that come twice or more.  Sorting values is much cheaper
+    than sorting places, and few keys come again."""
+    ranked = np.sort(keys)
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(again):
+        return np.zeros(len(keys), dtype=bool)
+    again = again[np.concatenate([[True], again[1:] != again[:-1]])]
+    return again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys
+
+
 def in_group(counts: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... within each of the consecutive groups of these sizes."""
     total = int(counts.sum())
