@@ -1,10 +1,12 @@
 """Nearest neighbours by inner product through a permutation index.
 
-Every vector is represented by its nearest pivots, in order.  Pivots post the
-vectors that list them, with the place they have there; a query reads the
-posting lists of its own nearest pivots and sums, per vector, the differences
-of places (the footrule; a pivot that isn't listed counts as placed last); here every entry lists all pivots.  The
-vectors of smallest footrule are candidates, and exact inner products rank them.
+Every vector is represented by its pivots, nearest first.  Each pivot's inverted
+file posts the vectors by the place that the pivot has with them.  A query reads
+the files of the nearer half of its own pivots, and of each only the stretch of
+places within ``WINDOW`` of its own place, and sums, per vector met there, how
+much nearer than ``WINDOW`` the places are; vectors not met count as that far
+off.  That is the footrule distance with differences cut at the window.  The
+vectors nearest by it are candidates, and exact inner products rank them.
 
 Largest inner product becomes nearest direction by one more component: vectors
 are scaled into the unit ball and lifted onto the sphere, queries get 0 there.
@@ -25,11 +27,11 @@ from pyspark.sql import Window as W
 from prudentia.llm.storage import written
 
 #: Pivots, fitted on a sample of that many vectors of each dimension.
-PIVOTS = 96
-#: Nearest pivots that are kept of each vector and used of each query.
-LISTED = 96
+PIVOTS = 192
+#: Nearest pivots whose files a query reads, and how far from its own places.
+READ, WINDOW = 96, 48
 #: The share of a shard's entries that exact products rank; the least number.
-RERANKED, LEAST = 0.2, 400
+RERANKED, LEAST = 0.3, 300
 #: Entries of a shard and queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 
@@ -68,7 +70,7 @@ class Pivots:
     def nearest(self, lifted: np.ndarray) -> np.ndarray:
         """The nearest pivots in order, ties by number."""
         near = lifted @ self.lifted.T
-        return np.argsort(-near, axis=1, kind="stable")[:, : min(LISTED, near.shape[1])].astype(np.int32)
+        return np.argsort(-near, axis=1, kind="stable").astype(np.uint8)
 
     def of_vectors(self, vectors: np.ndarray) -> np.ndarray:
         return self.nearest(self.lift(vectors))
@@ -132,29 +134,38 @@ def _packed(rows: DataFrame, pivots: dict[int, Pivots], size: int, queries: bool
 
 
 class Shard:
-    """The inverted files of a shard's entries.
-
-    As entries list all pivots, or a large part of them, a posting list holds a
-    byte for each entry: its place for the pivot, or ``LISTED`` if it has none.
-    """
-
-    def __init__(self, near: np.ndarray, pivots: int):
-        self.n, self.listed = near.shape
-        self._places = np.full((pivots, self.n), self.listed, dtype=np.int8)
-        self._places[near.ravel(), np.repeat(np.arange(self.n), self.listed)] = np.tile(np.arange(self.listed, dtype=np.int8), self.n)
-
-    def footrule(self, near: np.ndarray) -> np.ndarray:
-        """The footrule distance of every entry to one query's list."""
-        apart = self._places[near]
-        apart -= np.arange(len(near), dtype=np.int8)[:, None]
-        np.abs(apart, out=apart)
-        return np.add.reduce(apart, axis=0, dtype=np.int16)  # LISTED ** 2 at most
+    """The inverted files of a shard's entries: for each pivot the entries in
+    order of the place it has with them, and where each place begins."""
+
+    def __init__(self, near: np.ndarray):
+        self.n, self.pivots = near.shape
+        place = np.empty((self.pivots, self.n), dtype=np.uint8)
+        place[near.ravel(), np.repeat(np.arange(self.n), self.pivots)] = np.tile(np.arange(self.pivots, dtype=np.uint8), self.n)
+        self._posted = np.argsort(place, axis=1, kind="stable").astype(np.int32)
+        self._places = np.take_along_axis(place, self._posted, axis=1)
+        self._begin = np.stack([np.searchsorted(row, np.arange(self.pivots + 1)) for row in self._places])
+
+    def stretches(self, near: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(pivot, the query's place of it, begin, end) of what a query reads."""
+        out = []
+        for j, p in enumerate(near[:READ].tolist()):
+            a, b = self._begin[p, max(0, j - WINDOW)], self._begin[p, min(self.pivots, j + WINDOW + 1)]
+            out.append((p, j, int(a), int(b)))
+        return out
+
+    def nearness(self, near: np.ndarray) -> np.ndarray:
+        """For every entry, the sum over what the query reads of how much less
+        than ``WINDOW`` + 1 the places differ."""
+        total = np.zeros(self.n, dtype=np.int32)
+        for p, j, a, b in self.stretches(near):  # an entry comes once in a file
+            total[self._posted[p, a:b]] += WINDOW + 1 - np.abs(self._places[p, a:b].astype(np.int32) - j)
+        return total
 
     def candidates(self, near: np.ndarray) -> np.ndarray:
         most = max(LEAST, int(RERANKED * self.n))
         if most >= self.n:
             return np.arange(self.n)
-        key = self.footrule(near).astype(np.int64) * self.n + np.arange(self.n)
+        key = -self.nearness(near).astype(np.int64) * self.n + np.arange(self.n)
         return np.sort(np.argpartition(key, most)[:most])
 
 
@@ -178,7 +189,6 @@ def search(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector
     blocks = _packed(wanted, pivots, BLOCK_ROWS, True, ("block", "q"))
     visits = blocks.join(F.broadcast(shards.select("dim", "shards").distinct()), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")  # a row per dimension
     pairs = visits.join(shards.drop("shards"), ["dim", "shard"]).repartition("dim", "shard", "block")
-    count = {dim: len(p.lifted) for dim, p in pivots.items()}
 
     def visit(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +196,9 @@ def search(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector
                 dim = batch.column("dim")[i].as_py()
                 read = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
                 ids, own = read("s_ids", np.int64), read("s_v", np.float64).reshape(-1, dim)
-                shard = Shard(read("s_near", np.int32).reshape(len(ids), -1), count[dim])
+                shard = Shard(read("s_near", np.uint8).reshape(len(ids), -1))
                 who, ask = read("q_ids", np.int64), read("q_v", np.float64).reshape(-1, dim)
-                near = read("q_near", np.int32).reshape(len(who), -1)
+                near = read("q_near", np.uint8).reshape(len(who), -1)
                 found = []
                 for q in range(len(who)):
                     at = shard.candidates(near[q])

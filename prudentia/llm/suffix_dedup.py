@@ -40,9 +40,9 @@ HOT = 2000
 #: Windows of the runs that hot groups are cut into, from level to level.
 LEVELS = (16, 4, 1)
 #: Bytes that are merged at once, and bytes of one shard.
-BATCH_BYTES, SHARD_BYTES = 1 << 20, 1 << 17
+BATCH_BYTES, SHARD_BYTES = 1 << 19, 1 << 17
 #: Bytes of a text that are scanned at once.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 _SALT = U64(0x5851F42D4C957F2D)
 
 

@@ -112,7 +112,7 @@ def give_back() -> None:
         trim(0)
 
 
-def chunks(batches, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, so that
     working arrays stay small; one longer text is a slice of its own."""
     for batch in batches:

@@ -506,6 +506,21 @@ def test_search_recall_and_order(spark):
     assert len(found) == sum(1 for i in rows if i % 20 == 0) and np.mean(right) >= 0.9
 
 
+def test_inverted_files_hold_each_entry_once_and_are_read_in_part():
+    from prudentia.llm import permutation_index as index
+
+    rng = np.random.default_rng(5)
+    near = np.stack([rng.permutation(index.PIVOTS) for _ in range(300)]).astype(np.uint8)
+    shard = index.Shard(near)
+    assert all(np.array_equal(np.sort(row), np.arange(300)) for row in shard._posted)
+    query = rng.permutation(index.PIVOTS).astype(np.uint8)
+    place = np.argsort(near, axis=1)
+    off = np.minimum(np.abs(place[:, query[: index.READ]] - np.arange(index.READ)), index.WINDOW + 1)
+    assert np.array_equal(shard.nearness(query), (index.WINDOW + 1 - off).sum(axis=1))
+    read = sum(b - a for _, _, a, b in shard.stretches(query))
+    assert read < 0.3 * 300 * index.PIVOTS
+
+
 def test_search_odd_vectors(spark):
     from prudentia.llm.permutation_index import search
 
