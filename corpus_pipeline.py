@@ -65,9 +65,13 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, as repeated rows.  Null sources
     are one source; null and empty texts have no size and come as often as their
-    source is taken whole."""
-    mixed = mix(docs.select(*COLUMNS, word_count(F.col("text")).alias("size")), "source", "size", "doc_id", SOURCE_WEIGHTS)
-    return mixed.where("repeats > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(COLUMNS)
+    source is taken whole.  Rows that agree in doc_id and text count once."""
+    docs = once(docs.select(COLUMNS))
+    key = F.xxhash64("text")
+    sized = written(docs.select("doc_id", "source", key.alias("_text"), word_count(F.col("text")).alias("size")), "sizes")
+    mixed = mix(sized, "source", "size", "doc_id", SOURCE_WEIGHTS).where("repeats > 0").select(F.col("doc_id").alias("_doc"), "_text", "repeats")
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_text")))  # texts move once
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
