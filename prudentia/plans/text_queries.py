@@ -24,7 +24,7 @@ def clean_text(spark, sf_dir):
 
 
 def page_breaks(spark, sf_dir):
-    raw = F.concat(F.substring("text", 1, 40), F.lit("-//- pie de pagina 12 -//-"), F.substring("text", 41, 60), F.lit(" -17- "), F.substring("text", 101, 50), F.lit("-//-"))
+    raw = F.concat(F.substring("text", 1, 40), F.lit("-//- pie de pagina 12 -//-"), F.substring("text", 41, 60), F.lit(" -17- "), F.expr("substring(text, 101)"), F.lit("-//-"))
     return table(spark, sf_dir, "documents").select("doc_id", text.join_page_breaks(raw).alias("joined"))
 
 
@@ -167,9 +167,9 @@ def llm_ground_cap(spark, sf_dir):
 
 
 def ngram_mining(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    folded = F.slice(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), 2, 8)
-    return mining.mine(docs.select("doc_id", folded.alias("words")), "words", 2, 50, stems=["the", "ing"])
+    """Phrases of all documents with one of two stems."""
+    folded = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
+    return mining.mine(table(spark, sf_dir, "documents").select("doc_id", folded.alias("words")), "words", 2, 50, stems=["the", "ing"])
 
 
 def ngram_mining_all(spark, sf_dir):
@@ -192,25 +192,6 @@ def _asked_all(spark, sf_dir):
     return table(spark, sf_dir, "part").select(key.alias("query"), (300 + key % 50).cast("int").alias("volume"), (key % 60 + 1).cast("int").alias("page"))
 
 
-def _asked(spark, sf_dir):
-    """The rows that the SQL of the queries asks for; the queries named _all
-    ask every part."""
-    return _asked_all(spark, sf_dir).where("query % 40 = 0")
-
-
-def suggest_typo(spark, sf_dir):
-    return resolve.suggest_typos(_asked(spark, sf_dir), rulings(spark, sf_dir)).select("query", "id")
-
-
-def suggest_nearest(spark, sf_dir):
-    return resolve.suggest_nearest(_asked(spark, sf_dir), rulings(spark, sf_dir))
-
-
-def fts_prefix_bm25(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), F.concat(F.substring("p_name", 1, 8), F.lit("x")).alias("raw"))
-    return resolve.suggest_captions(asked, "raw", rulings(spark, sf_dir))
-
-
 def suggest_typo_all(spark, sf_dir):
     return resolve.suggest_typos(_asked_all(spark, sf_dir), rulings(spark, sf_dir)).select("query", "id")
 
@@ -224,6 +205,10 @@ def fts_prefix_bm25_all(spark, sf_dir):
     return resolve.suggest_captions(asked, "raw", rulings(spark, sf_dir))
 
 
+#: The same under the names that the SQL has.
+suggest_typo, suggest_nearest, fts_prefix_bm25 = suggest_typo_all, suggest_nearest_all, fts_prefix_bm25_all
+
+
 def suggest(spark, sf_dir):
     asked = _asked_all(spark, sf_dir).select("query", F.format_string("Fallos: %d:%d", "volume", "page").alias("raw"))
     return resolve.suggest(asked, "raw", rulings(spark, sf_dir))
@@ -254,7 +239,7 @@ FROM (SELECT doc_id, text, CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE len(list_f
     "clean_text": """SELECT doc_id, md5(c) AS digest, length(c) AS n FROM (
   SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(replace(replace(replace(r, chr(65534), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), chr(10)), lambda l: trim(l, ' ')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS c
   FROM (SELECT doc_id, ' ' || chr(9) || replace(text, '. ', '.' || chr(13) || chr(10) || ' ' || chr(9) || chr(13) || chr(10) || chr(10) || ' ') || chr(65534) || ' ' || chr(10) AS r FROM documents))""",
-    "page_breaks": "SELECT doc_id, regexp_replace(substr(text, 1, 100) || ' ' || substr(text, 101, 50), '[ \\t]{2,}', ' ', 'g') AS joined FROM (SELECT doc_id, text FROM documents)",
+    "page_breaks": "SELECT doc_id, regexp_replace(substr(text, 1, 100) || ' ' || substr(text, 101), '[ \\t]{2,}', ' ', 'g') AS joined FROM (SELECT doc_id, text FROM documents)",
     "strip_html": "SELECT page_id, md5(s) AS digest, length(s) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS s FROM pages)",
     "normalize_caption": "SELECT c_custkey, 'NANDU ' || upper(replace(c_name, '#', ' ')) AS key, upper(c_mktsegment) AS short FROM customer",
     "normalize_docket": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'CSJ.' || (c_custkey + 1) || '/' || (2013 + c_custkey % 9) || '/CS001' WHEN 1 THEN 'A.' || (c_custkey % 9999 + 1) || '.XLIV' END AS docket FROM customer",
@@ -287,7 +272,7 @@ FROM (SELECT *, repeat(p_name || ' ', 40) || '. Que Fallos: ' || raw || ' rige.
 words AS (SELECT id, string_split(trim(regexp_replace(regexp_replace(upper(caption), '[^A-Z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS ws FROM rulings),
 terms AS (SELECT id, len(ws) AS size, unnest(ws) AS term FROM words),
 stats AS (SELECT count(*)::DOUBLE AS docs, avg(len(ws)) AS mean FROM words),
-asked AS (SELECT p_partkey AS query, unnest(string_split(trim(upper(substr(p_name, 1, 8)) || 'X'), ' ')) AS w FROM part WHERE p_partkey % 100 = 0),
+asked AS (SELECT p_partkey AS query, unnest(string_split(trim(upper(substr(p_name, 1, 8)) || 'X'), ' ')) AS w FROM part),
 pre AS (SELECT DISTINCT query, substr(w, 1, greatest(4, CAST(floor(length(w) * 0.7) AS INT))) AS prefix FROM asked WHERE length(w) > 2),
 hit AS (SELECT query, prefix, id, size, count(*) AS tf FROM pre JOIN terms ON starts_with(term, prefix) GROUP BY ALL),
 scored AS (SELECT *, count(*) OVER (PARTITION BY query, prefix) AS df FROM hit),
@@ -295,13 +280,14 @@ total AS (SELECT query, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * t
 SELECT query, CAST(place AS INT) AS place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM total) WHERE place <= 5""",
     "suggest_nearest": GRAPH_SQL + """SELECT query, CAST(place AS INT) AS place, id FROM (
   SELECT q.query, r.id, row_number() OVER (PARTITION BY q.query ORDER BY abs(r.page - q.page), r.page) AS place
-  FROM (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part WHERE p_partkey % 40 = 0) q JOIN rulings r USING (volume)) WHERE place <= 5""",
-    "suggest_typo": GRAPH_SQL + """SELECT DISTINCT q.query, r.id FROM (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part WHERE p_partkey % 40 = 0) q
+  FROM (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part) q JOIN rulings r USING (volume)) WHERE place <= 5""",
+    "suggest_typo": GRAPH_SQL + """SELECT DISTINCT q.query, r.id FROM (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part) q
 JOIN rulings r ON r.volume = q.volume AND r.page <> q.page AND r.page > 0 AND (
   (q.page < 10 AND r.page < 10)
   OR (q.page >= 10 AND (r.page = (q.page % 10) * 10 + q.page // 10 OR (r.page < 100 AND (r.page // 10 = q.page // 10 OR r.page % 10 = q.page % 10)))))""",
-    "ngram_mining": """WITH w AS (SELECT doc_id, list_slice(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), 2, 9) AS ws FROM documents WHERE lang = 'en'),
-g AS (SELECT doc_id, ws[i:i + n - 1] AS gram FROM w, range(2, 7) AS a(n), range(1, 9) AS b(i) WHERE i + n - 1 <= len(ws)),
+    "ngram_mining": """WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, range(2, 7) AS a(n)),
+g AS (SELECT doc_id, ws[i:i + n - 1] AS gram FROM s),
 e AS (SELECT doc_id, gram, list_filter(range(1, len(gram) + 1), lambda j: NOT list_contains(string_split('de del la el los las y e o u a al en que por con un una su sus se lo es', ' '), list_extract(gram, j))) AS kept FROM g),
 t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(gram, list_min(kept), list_max(kept)), ' ') AS gram FROM e WHERE len(kept) > 0 AND list_max(kept) - list_min(kept) >= 1)
 SELECT gram, count(*) AS n FROM t WHERE regexp_matches(gram, 'the|ing') GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50""",
