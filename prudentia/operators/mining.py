@@ -16,24 +16,21 @@ STEMS = (
 LEAST_WORDS, MOST_WORDS = 2, 6
 
 
-def _trimmed(gram: Column) -> Column:
-    """A phrase (array of words) without edge words at either end."""
-    edge = F.array(*map(F.lit, EDGE_WORDS))
-    inner = F.transform(gram, lambda w, i: F.when(~F.array_contains(edge, w), i))
-    first, last = F.array_min(inner), F.array_max(inner)
-    return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(gram, first + 1, last - first + 1))
-
-
-def _of_length(words: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.slice(words, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+def ngrams(words: Column, stems: list[str] | None = None) -> Column:
+    """The different phrases of 2 to 6 words in an array of words that neither
+    begin nor end with an edge word, of those the ones with a stem.
 
-
-def ngrams(words: Column) -> Column:
-    """The different phrases of 2 to 6 words in an array of words."""
-    grams = [_of_length(words, n) for n in range(LEAST_WORDS, MOST_WORDS + 1)]
-    kept = F.filter(F.transform(F.flatten(F.array(*grams)), _trimmed), lambda g: F.size(g) >= LEAST_WORDS)
-    return F.array_distinct(F.transform(kept, lambda g: F.array_join(g, " ")))
+    An n-gram without the edge words at its ends is a shorter n-gram that begins
+    and ends with other words, so these are all that n-grams give.
+    """
+    edge = F.array(*map(F.lit, EDGE_WORDS))
+    size = F.size(words)
+    ends = lambda i: ~F.array_contains(edge, F.element_at(words, i))
+    starts = F.filter(F.sequence(F.lit(1), size - 1), ends)
+    stops = lambda i: F.filter(F.sequence(i + 1, F.least(i + (MOST_WORDS - 1), size)), ends)
+    phrases = F.flatten(F.transform(starts, lambda i: F.transform(stops(i), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
+    found = F.array_distinct(F.filter(phrases, lambda g: carries_a_stem(g, stems)))
+    return F.when(size >= LEAST_WORDS, found).otherwise(F.array().cast("array<string>"))
 
 
 def carries_a_stem(gram: Column, stems: list[str] | None = None) -> Column:
@@ -42,5 +39,5 @@ def carries_a_stem(gram: Column, stems: list[str] | None = None) -> Column:
 
 def mine(passages: DataFrame, words: str, least: int, top: int, stems: list[str] | None = None) -> DataFrame:
     """(gram, n): in how many passages a phrase occurs, the most frequent."""
-    found = passages.select(F.explode(ngrams(F.col(words))).alias("gram")).where(carries_a_stem(F.col("gram"), stems))
+    found = passages.select(F.explode(ngrams(F.col(words), stems)).alias("gram"))
     return found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(top)
