@@ -635,7 +635,7 @@ def test_pipeline_stage_by_stage(spark):
         kept[name] = docs.collect()
     first = kept["quality rules"]
     assert all(b[0] >= 10 and 100 * b[4] <= 20 * b[0] for b in (brute.statistics(r.text) for r in first))
-    groups = brute.near_groups([(r.doc_id, r.text) for r in first])
+    groups = brute.near_groups([(r.doc_id, r.text) for r in first], 80)  # as the stage asks
     second = kept["near-duplicates"]
     assert {r.doc_id for r in second} == {d for d, g in groups.items() if g[2]}
     third = {r.doc_id: sha256(r.text.encode()).hexdigest() for r in kept["repeated passages"]}
