@@ -141,6 +141,7 @@ class Shard:
         self.n, self.pivots = near.shape
         place = np.empty((self.pivots, self.n), dtype=np.uint8)
         place[near.ravel(), np.repeat(np.arange(self.n), self.pivots)] = np.tile(np.arange(self.pivots, dtype=np.uint8), self.n)
+        self._of_entries = place
         self._posted = np.argsort(place, axis=1, kind="stable").astype(np.int32)
         self._places = np.take_along_axis(place, self._posted, axis=1)
         self._begin = np.stack([np.searchsorted(row, np.arange(self.pivots + 1)) for row in self._places])
@@ -156,10 +157,11 @@ class Shard:
     def nearness(self, near: np.ndarray) -> np.ndarray:
         """For every entry, the sum over what the query reads of how much less
         than ``WINDOW`` + 1 the places differ."""
-        total = np.zeros(self.n, dtype=np.int32)
-        for p, j, a, b in self.stretches(near):  # an entry comes once in a file
-            total[self._posted[p, a:b]] += WINDOW + 1 - np.abs(self._places[p, a:b].astype(np.int32) - j)
-        return total
+        # all places of the files read, a byte each: cheaper than gathering stretches
+        own = np.arange(min(READ, self.pivots), dtype=np.uint8)[:, None]
+        places = self._of_entries[near[:READ]]
+        apart = np.minimum(np.maximum(places, own) - np.minimum(places, own), np.uint8(WINDOW + 1))
+        return len(own) * (WINDOW + 1) - np.add.reduce(apart, axis=0, dtype=np.int32)
 
     def candidates(self, near: np.ndarray) -> np.ndarray:
         most = max(LEAST, int(RERANKED * self.n))
