@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from prudentia.operators import listing, resolve, signals, trace
 from prudentia.schema import MAX_DEPTH, MAX_QUERY, MAX_STEPS, SIGNALS, TREATMENTS
 
+#: Characters of a passage that a chain shows.
+TRACE_QUOTE = 320
+
 
 class NotFound(LookupError):
     """A form that no ruling answers to; the message says what might be meant."""
@@ -33,6 +36,12 @@ class Page:
         return {"total": self.total, "count": len(self.items), "offset": self.offset, "has_more": more, "next_offset": after if more else None, "items": self.items}
 
 
+def trimmed(quote: str) -> str:
+    """A passage as a chain shows it, marked where it was shortened."""
+    passage = " ".join(quote.split())
+    return passage if len(passage) <= TRACE_QUOTE else passage[:TRACE_QUOTE].rstrip() + "… [pasaje recortado]"
+
+
 def parse_treatment(raw: str | None) -> str | None:
     name = (raw or "").strip().lower()
     if name and name not in TREATMENTS:
@@ -72,8 +81,9 @@ class CitationGraph:
         report = signals.caveats(signals.signals(self.rulings, edges).where(F.col("id") == ident)).first().asDict(recursive=True)
         passages = signals.evidence(self.rulings, edges).orderBy("rank").select("rank", "citing_id", "treatment", "opinion", "confidence", "method", "year", "quote").collect()
         counts = signals.treatment_counts(edges).collect()
+        others = signals.nonbinding_by_opinion(edges).collect()
         shown = {k: v for k, v in report.items() if k != "newest"}
-        return one.first().asDict() | shown | {"label": SIGNALS[report["signal"]], "by_treatment": {r.treatment: r.n for r in counts}, "binding_by_treatment": {r.treatment: r.n_binding for r in counts if r.n_binding}, "evidence": [r.asDict() for r in passages]}
+        return one.first().asDict() | shown | {"label": SIGNALS[report["signal"]], "by_treatment": {r.treatment: r.n for r in counts}, "nonbinding_by_opinion": {r.opinion: r.n for r in others}, "corpus": self.corpus(), "binding_by_treatment": {r.treatment: r.n_binding for r in counts if r.n_binding}, "evidence": [r.asDict() for r in passages]}
 
     def citing(self, query: str, treatment: str | None = None, offset: int = 0, limit: int | None = None) -> dict[str, Any]:
         ident, kind = self._id(query), parse_treatment(treatment)
@@ -98,7 +108,15 @@ class CitationGraph:
         shown = first[:MAX_STEPS]
         named = sorted({ident, *(r.from_id for r in shown), *(r.to_id for r in shown)})
         lights = signals.signals(self.rulings, self.citations.where(F.col("cited_id").isin(named))).where(F.col("id").isin(named)).select("id", "signal").collect()
-        return {"start": ident, "max_depth": depth, "steps": [r.asDict() for r in shown], "omitted": omitted, "signals": {r.id: r.signal for r in lights}}
+        return {"start": ident, "max_depth": depth, "steps": [r.asDict() | {"quote": trimmed(r.quote)} for r in shown], "omitted": omitted, "signals": {r.id: r.signal for r in lights}}
+
+    def trace_signals(self, query: str, max_depth: int = 3) -> DataFrame:
+        """(id, signal) of every ruling that a trace reaches, not only of those in
+        the shown steps: as many as the graph has, so they stay a DataFrame."""
+        ident, depth = self._id(query), min(max(max_depth, 1), MAX_DEPTH)
+        seen = trace.reached(trace.moving(self.citations, self.rulings), ident, depth).select("id")
+        edges = self.citations.join(seen.withColumnRenamed("id", "cited_id"), "cited_id", "left_semi")
+        return signals.signals(self.rulings, edges).join(seen, "id", "left_semi").select("id", "signal")
 
     def corpus(self) -> dict[str, Any]:
         states = {r.text_status: r.n for r in listing.status_counts(self.rulings).collect()}

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 # Words that no phrase begins or ends with, and stems of which a
 # reported phrase has one.
-EDGE_WORDS = "de del la el los las y e o u a al en que por con un una su sus se lo es".split()
-STEMS = (
-    "aplic segu sigu remit apart abandon reiter sostuv sostien resolv resuelt decid declar confirm revoc compart coincid "
-    "invoc recuerd senal expres establec sento sentad distingu difier limit restring critic objet analog doctrin criteri "
-    "precedent jurisprud conform arregl corresponde cabe procede"
-).split()
+EDGE_WORDS = [
+    "de", "del", "la", "el", "los", "las", "y", "e", "o", "u", "a", "al", "en", "que", "por", "con", "un",
+    "una", "su", "sus", "se", "lo", "es",
+]
+STEMS = [
+    "aplic", "segu", "sigu", "remit", "apart", "abandon", "reiter", "sostuv", "sostien", "resolv", "resuelt",
+    "decid", "declar", "confirm", "revoc", "compart", "coincid", "invoc", "recuerd", "senal", "expres",
+    "establec", "sento", "sentad", "distingu", "difier", "limit", "restring", "critic", "objet", "analog",
+    "doctrin", "criteri", "precedent", "jurisprud", "conform", "arregl", "corresponde", "cabe", "procede",
+]
 LEAST_WORDS, MOST_WORDS = 2, 6
 
 

@@ -19,18 +19,18 @@ def flagged(edges: DataFrame, floor: float = NEGATIVE_FLOOR) -> DataFrame:
     """Edges with what each says: negative, weak, caution, positive, restores.
 
     A positive edge restores if every negative one of the same cited ruling has
-    a known year and its own is later than all of them.  One exchange on
-    ``cited_id`` serves this window and the aggregation after it.
+    a known year and its own is later than all of them.  The two values that
+    takes are summed up in each task before they are exchanged and then joined,
+    so a leading case's edges are never one task's: the join can split them.
     """
-    own = W.partitionBy("cited_id")
     e = edges.withColumn("binding", binding()).withColumn("polarity", polarity()).withColumn("severity", severity())
     e = e.withColumn("negative", F.col("binding") & (F.col("polarity") == "negative") & (F.col("confidence") >= floor))
     e = e.withColumn("weak", F.col("binding") & (F.col("polarity") == "negative") & (F.col("confidence") < floor))
     e = e.withColumn("caution", F.col("binding") & (F.col("polarity") == "cautionary"))
     e = e.withColumn("positive", F.col("binding") & (F.col("polarity") == "positive"))
-    e = e.withColumn("last_negative", F.max(F.when(F.col("negative"), F.col("year"))).over(own))
-    e = e.withColumn("unknown_negative", F.max(F.when(F.col("negative") & (F.col("year") <= 0), 1).otherwise(0)).over(own))
-    restores = F.col("positive") & (F.col("unknown_negative") == 0) & (F.col("year") > 0) & (F.col("year") > F.col("last_negative"))
+    late = e.where("negative").groupBy("cited_id").agg(F.max("year").alias("last_negative"), F.min("year").alias("first_negative"))
+    e = e.join(late, "cited_id", "left")
+    restores = F.col("positive") & (F.col("first_negative") > 0) & (F.col("year") > 0) & (F.col("year") > F.col("last_negative"))
     return e.withColumn("restores", F.coalesce(restores, F.lit(False)))
 
 

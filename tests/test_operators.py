@@ -7,10 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from prudentia.api import CitationGraph, NotFound, Page, parse_treatment
+from prudentia.api import CitationGraph, NotFound, Page, parse_treatment, trimmed
 from prudentia.functions import spans, text
 from prudentia.functions.treatment import read_passage
-from prudentia.operators import mining, resolve, signals, trace, upserts
+from prudentia.operators import batches, mining, resolve, signals, trace, upserts
 from prudentia.plans import text_queries
 
 A, B, C, D = "fallos:300:254", "fallos:308:1392", "fallos:313:1333", "fallos:332:1963"
@@ -227,3 +227,33 @@ def test_whole_texts_are_mined_and_joined(spark):
     for d, t in texts.items():
         put = re.sub(r"(?s)(.{300})(.{1,500})", r"\1\2 ", t)  # only the page numbers leave a blank
         assert made[d] == re.sub(r"[ \t]{2,}", " ", put)
+
+
+def test_trace_names_all_signals_and_trims(golden):
+    graph = CitationGraph(*golden)
+    lights = {r.id: r.signal for r in graph.trace_signals(B).collect()}
+    every = {r.id: r.signal for r in signals.signals(*golden[:2]).collect()}
+    assert lights == {i: every[i] for i in (B, C, D)}
+    assert trimmed("a  b") == "a b" and trimmed("x" * 321) == "x" * 320 + "… [pasaje recortado]"
+    assert graph.status(A)["corpus"]["rulings"] == 4 and graph.status(A)["nonbinding_by_opinion"] == {}
+
+
+def test_batch_arguments(spark):
+    assert list(batches.parse_volumes("330-332")) == [330, 331, 332] and list(batches.parse_volumes("5")) == [5]
+    assert batches.parse_ruling("332:1963") == (332, 1963)
+    with pytest.raises(ValueError):
+        batches.parse_ruling("332")
+    found = column(spark, batches.crawled_range, "332, 330,x,,340", "", "no", None)
+    assert [r and tuple(r) for r in found] == [(330, 340), None, None, None]
+    assert column(spark, batches.status_label, "ocr", "new") == ["recuperado por OCR", "new"]
+
+
+def test_ingest_isolates_and_resumes(spark):
+    good = "Que la doctrina del precedente rige en este caso por las razones dadas. Fallos: 301:2. "
+    docs = spark.createDataFrame([("a", good), ("a", good), ("b", None), ("c", " \n"), ("d", "q7 8%% zz9 1x " * 20 + "Fallos: 301:2."), ("e", good), ("f", "Sin citas, pero con palabras claras.")], "id string, text string")
+    report, edges = batches.ingest(docs, spark.createDataFrame([("e",)], "id string"))
+    rows = {r.id: (r.text_status, r.n_edges, r.error) for r in report.collect()}
+    assert rows == {"a": ("extracted", 1, None), "b": ("unavailable", 0, "no text"), "c": ("unavailable", 0, "no text"), "d": ("garbled", 0, "text below the quality floor"), "f": ("extracted", 0, None)}
+    assert [(r.citing_id, r.cited_id) for r in edges.collect()] == [("a", "fallos:301:2")]
+    none, no_edges = batches.ingest(docs.limit(0))
+    assert none.count() == 0 and no_edges.count() == 0

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from prudentia.plans import graph_queries, text_queries
+from prudentia.plans import batch_queries, graph_queries, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = graph_queries.SQL | text_queries.SQL
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES
+SQL = graph_queries.SQL | text_queries.SQL | batch_queries.SQL
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | batch_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
