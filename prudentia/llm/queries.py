@@ -7,6 +7,7 @@ subpackage and derives the columns asked for.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,44 @@ def op10_chosen_path_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op13's contract: every tenth checksum's text ends in a period
+    of its own words.  Without a doc_id nothing is planted."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prudentia.llm.periodic_runs import periodic_runs
+
+    docs = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, rewrite=planted)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("inverse"))))
+    shown = docs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return shown.select(
+        "doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.inverse")).alias("period"),
+        F.expr("best.length * 1000 div -best.inverse").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -207,6 +246,9 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wordpiece_counts": op8_wordpiece_counts,
     "op9_permutation_index": op9_permutation_index,
     "op10_chosen_path_dups": op10_chosen_path_dups,
+    "op11_vantage_simhash": op11_vantage_simhash,
+    "op12_svd_whitening": op12_svd_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
