@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prudentia.functions.text import normalize_caption, normalize_docket
 from prudentia.schema import FORMS, MAX_PAGE, MAX_VOLUME, METHODS, OPINIONS, TEXT_STATUSES, TREATMENTS
 
 
@@ -109,12 +110,23 @@ def checked_aliases(log: DataFrame) -> DataFrame:
     return log.withColumn("reason", _first_of((F.length(F.trim("raw")) == 0, "blank"), (~F.col("form").isin(*FORMS), "form")))
 
 
-def edges_of_records(records: DataFrame) -> DataFrame:
+# The passage that stands for an edge which nobody has read yet.
+PLACEHOLDER_QUOTE = "Referencia publicada por la CSJN en el sumario %d de Fallos: %d:%d. Sin clasificar: falta el pasaje."
+
+
+def edges_of_records(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The edges that source records state: each ruling in ``citing`` cites the
     record's own; edges to itself are dropped and await a reading."""
-    quote = F.concat(F.lit("Referencia publicada por la CSJN (sumario "), F.col("sumario_id").cast("string"), F.lit(")"))
     return (
-        records.select("sumario_id", F.col("id").alias("cited_id"), F.explode("citing").alias("citing_id"))
+        records.select("sumario_id", F.col("id").alias("cited_id"), "volume", "page", F.explode("citing").alias("citing_id"), *keep)
         .where("citing_id <> cited_id")
-        .select("citing_id", "cited_id", F.lit("mentioned").alias("treatment"), F.lit("unknown").alias("opinion"), F.lit(0.2).alias("confidence"), quote.alias("quote"), F.lit("rule").alias("method"), "sumario_id")
+        .select("citing_id", "cited_id", F.lit("mentioned").alias("treatment"), F.lit("unknown").alias("opinion"), F.lit(0.2).alias("confidence"), F.format_string(PLACEHOLDER_QUOTE, "sumario_id", "volume", "page").alias("quote"), F.lit("rule").alias("method"), "sumario_id", *keep)
     )
+
+
+def aliases_of_records(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The forms under which source records' rulings are known: the id itself, the
+    caption and the docket as they are looked up."""
+    forms = (("fallos", F.col("id")), ("caption", normalize_caption(F.col("caption"))), ("expediente", normalize_docket(F.col("docket"))))
+    each = F.array(*[F.struct(raw.alias("raw"), F.lit(form).alias("form")) for form, raw in forms])
+    return records.select("id", F.explode(each).alias("a"), *keep).where("length(trim(a.raw)) > 0").select("a.raw", F.col("id").alias("ruling_id"), "a.form", F.lit("api").alias("source"), *keep)

@@ -51,10 +51,10 @@ def write_graph(rulings: DataFrame, citations: DataFrame, aliases: DataFrame, fo
     aliases.write.mode("overwrite").parquet(f"{folder}/aliases")
 
 
-def parse_records(raw: DataFrame, value: str) -> DataFrame:
-    """API records (JSON text) as typed rows; records without a position in
-    range are left out."""
-    r = raw.select(F.from_json(value, _RECORD).alias("r")).select("r.*")
+def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """API records (JSON text) as typed rows, with the columns ``keep`` of the
+    input; records without a position in range are left out."""
+    r = raw.select(*keep, F.from_json(value, _RECORD).alias("r")).select(*keep, "r.*")
     filled = lambda c: F.nullif(F.btrim(F.col(c)), F.lit(""))
     date = filled("fechaString")
     year = F.coalesce("anioFallo", F.nullif(F.regexp_extract(date, r"(\d{4})$", 1), F.lit("")).cast("int"), F.lit(0))
@@ -71,6 +71,7 @@ def parse_records(raw: DataFrame, value: str) -> DataFrame:
         strip_html(F.col("texto")).alias("text"),
         *[F.coalesce(F.btrim(F.col(c)), F.lit("")).alias(n) for c, n in (("voces", "voices"), ("stringVotosMayoria", "votes_majority"), ("stringVotosVoto", "votes_concurrence"), ("stringVotosDisidencia", "votes_dissent"), ("stringVotosDisidenciaParcial", "votes_partial_dissent"))],
         parse_citing(F.col("linksCitantes")).alias("citing"),
+        *keep,
     ).where("id IS NOT NULL AND sumario_id IS NOT NULL")
 
 
