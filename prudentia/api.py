@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from prudentia.operators import listing, resolve, signals, trace
 from prudentia.schema import MAX_DEPTH, MAX_QUERY, MAX_STEPS, SIGNALS, TREATMENTS
+from prudentia.sources.store import GraphStore
 
 #: Characters of a passage that a chain shows.
 TRACE_QUOTE = 320
@@ -56,6 +57,27 @@ class CitationGraph:
         self.rulings, self.citations, self.aliases = rulings, citations, aliases
         self._spark = rulings.sparkSession
 
+    # What the questions about one ruling read; a stored graph opens less for them.
+
+    def _ruling(self, ident: str) -> DataFrame:
+        return self.rulings.where(F.col("id") == ident)
+
+    def _edges_to(self, ident: str) -> DataFrame:
+        return self.citations.where(F.col("cited_id") == ident)
+
+    def _edges_from(self, ident: str) -> DataFrame:
+        return self.citations.where(F.col("citing_id") == ident)
+
+    def _names_of(self, ident: str) -> DataFrame:
+        return self.aliases.where(F.col("ruling_id") == ident)
+
+    def _among(self, edges: DataFrame, column: str, *more: str) -> DataFrame:
+        """Rulings, at least those that ``column`` of the edges and ``more`` name."""
+        return self.rulings
+
+    def _stamp(self) -> dict[str, str]:
+        return {}
+
     def _id(self, query: str) -> str:
         if not query or not query.strip():
             raise ValueError("an empty query")
@@ -70,16 +92,17 @@ class CitationGraph:
 
     def lookup(self, query: str) -> dict[str, Any]:
         ident = self._id(query)
-        row = self.rulings.where(F.col("id") == ident).first().asDict()
-        names = self.aliases.where(F.col("ruling_id") == ident).orderBy("form", "raw").limit(100).collect()
+        row = self._ruling(ident).first().asDict()
+        names = self._names_of(ident).orderBy("form", "raw").limit(100).collect()
         return row | {"aliases": [r.raw for r in names]}
 
     def status(self, query: str) -> dict[str, Any]:
         """The signal with its counts, caveats and gravest passages."""
         ident = self._id(query)
-        one, edges = self.rulings.where(F.col("id") == ident), self.citations.where(F.col("cited_id") == ident)
-        report = signals.caveats(signals.signals(self.rulings, edges).where(F.col("id") == ident)).first().asDict(recursive=True)
-        passages = signals.evidence(self.rulings, edges).orderBy("rank").select("rank", "citing_id", "treatment", "opinion", "confidence", "method", "year", "quote").collect()
+        one, edges = self._ruling(ident), self._edges_to(ident)
+        rulings = self._among(edges, "citing_id", ident)
+        report = signals.caveats(signals.signals(rulings, edges).where(F.col("id") == ident)).first().asDict(recursive=True)
+        passages = signals.evidence(rulings, edges).orderBy("rank").select("rank", "citing_id", "treatment", "opinion", "confidence", "method", "year", "quote").collect()
         counts = signals.treatment_counts(edges).collect()
         others = signals.nonbinding_by_opinion(edges).collect()
         shown = {k: v for k, v in report.items() if k != "newest"}
@@ -88,16 +111,17 @@ class CitationGraph:
     def citing(self, query: str, treatment: str | None = None, offset: int = 0, limit: int | None = None) -> dict[str, Any]:
         ident, kind = self._id(query), parse_treatment(treatment)
         limit, offset = listing.clamp(limit, offset)
-        edges = self.citations.where(F.col("cited_id") == ident)
+        edges = self._edges_to(ident)
         edges = edges if kind is None else edges.where(F.col("treatment") == kind)
         total = edges.agg(F.countDistinct("citing_id")).first()[0]
-        return Page(total, offset, [r.asDict() for r in listing.citing_page(self.citations, self.rulings, ident, kind, offset, limit).collect()]).as_dict()
+        return Page(total, offset, [r.asDict() for r in listing.citing_page(edges, self._among(edges, "citing_id"), ident, kind, offset, limit).collect()]).as_dict()
 
     def cited(self, query: str, offset: int = 0, limit: int | None = None) -> dict[str, Any]:
         ident = self._id(query)
         limit, offset = listing.clamp(limit, offset)
-        total = self.citations.where(F.col("citing_id") == ident).agg(F.countDistinct("cited_id")).first()[0]
-        return Page(total, offset, [r.asDict() for r in listing.cited_page(self.citations, self.rulings, ident, offset, limit).collect()]).as_dict()
+        edges = self._edges_from(ident)
+        total = edges.agg(F.countDistinct("cited_id")).first()[0]
+        return Page(total, offset, [r.asDict() for r in listing.cited_page(edges, self._among(edges, "cited_id"), ident, offset, limit).collect()]).as_dict()
 
     def trace(self, query: str, max_depth: int = 3) -> dict[str, Any]:
         """How later rulings treated a doctrine, step by step."""
@@ -120,7 +144,34 @@ class CitationGraph:
 
     def corpus(self) -> dict[str, Any]:
         states = {r.text_status: r.n for r in listing.status_counts(self.rulings).collect()}
-        return {"rulings": sum(states.values()), "citations": self.citations.count(), "by_status": states}
+        return {"rulings": sum(states.values()), "citations": self.citations.count(), "by_status": states} | self._stamp()
+
+
+class StoredGraph(CitationGraph):
+    """The graph of a store: questions about one ruling open the ranges of it and of
+    its neighbours."""
+
+    def __init__(self, store: GraphStore):
+        super().__init__(store.rulings, store.citations, store.aliases)
+        self.store = store
+
+    def _ruling(self, ident: str) -> DataFrame:
+        return self.store.lookup("rulings", ident)
+
+    def _edges_to(self, ident: str) -> DataFrame:
+        return self.store.lookup("citations", ident)
+
+    def _edges_from(self, ident: str) -> DataFrame:
+        return self.store.lookup("citing", ident)
+
+    def _among(self, edges: DataFrame, column: str, *more: str) -> DataFrame:
+        named = edges.select(F.col(column).alias("id"))
+        for ident in more:
+            named = named.union(self._spark.range(1).select(F.lit(ident).alias("id")))
+        return self.store.matching("rulings", named, "id")
+
+    def _stamp(self) -> dict[str, str]:
+        return {"commit": self.store.version} | self.store.meta
 
 
 def as_json(answer: dict[str, Any]) -> str:

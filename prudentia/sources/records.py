@@ -1,4 +1,4 @@
-"""Sources: stored graphs, fixture documents, API records, PDF files."""
+"""Sources: fixture documents, API records, PDF files."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudentia.functions.text import parse_citing, ruling_key, strip_html
-from prudentia.schema import ALIASES, CITATIONS, RULINGS
-
-
-class GraphUnavailable(RuntimeError):
-    """There is no graph where one was expected."""
 
 
 MAX_PDF_BYTES = 64 << 20
@@ -30,27 +25,6 @@ _RECORD = T.StructType(
 )
 
 
-def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rulings, citations, aliases) of a stored graph."""
-    tables = {"rulings": RULINGS, "citations": CITATIONS, "aliases": ALIASES}
-    out = []
-    for name, schema in tables.items():
-        try:
-            found = spark.read.schema(schema).parquet(f"{folder}/{name}")
-            found.schema  # noqa: B018  resolves the path
-            out.append(found)
-        except Exception as error:
-            raise GraphUnavailable(f"no {name} in {folder}: build the graph first") from error
-    return tuple(out)
-
-
-def write_graph(rulings: DataFrame, citations: DataFrame, aliases: DataFrame, folder: str) -> None:
-    """Store a graph; edges are kept by cited ruling, which queries ask for."""
-    rulings.write.mode("overwrite").parquet(f"{folder}/rulings")
-    citations.repartition("cited_id").sortWithinPartitions("cited_id").write.mode("overwrite").parquet(f"{folder}/citations")
-    aliases.write.mode("overwrite").parquet(f"{folder}/aliases")
-
-
 def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """API records (JSON text) as typed rows, with the columns ``keep`` of the
     input; records without a position in range are left out."""
