@@ -10,7 +10,7 @@ Unicode classes, which is why it is not a column expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prudentia.schema import FALLBACK_CONFIDENCE, MODEL_CEILING, TREATMENTS
+from prudentia.schema import FALLBACK_CONFIDENCE, MODEL_CEILING, TREATMENTS, is_placeholder
 
 # The formulas of the rule set, in order: treatment, name,
 # confidence, confidence when found outside the clause (0 where that never
@@ -134,14 +134,52 @@ def classify(quote: pd.Series, position: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=Reading._fields)
 
 
+def _loosened(pattern: str) -> str:
+    """A pattern that also matches whatever ``pattern`` matches in a part of a text:
+    without word bounds and negative conditions, which a cut can change."""
+    out, at = [], 0
+    while at < len(pattern):
+        if pattern.startswith("(?!", at):
+            depth = 0
+            while True:
+                depth += {"(": 1, ")": -1}.get(pattern[at], 0)
+                at += 1
+                if not depth:
+                    break
+        elif pattern.startswith(r"\b", at):
+            at += 2
+        else:
+            out.append(pattern[at])
+            at += 1
+    return "".join(out)
+
+
+#: One alternation of all rules, for Spark's own matcher.
+ANY_RULE = "(?iU)" + "|".join(f"(?:{_loosened(rule[4])})" for rule in RULES)
+
+
+def may_be_read(quote: Column) -> Column:
+    """False only for passages that no rule can read, wherever the citation stands."""
+    return F.coalesce(F.rlike(F.regexp_replace(quote, "(?U)" + SOFT_PERIOD, ","), F.lit(ANY_RULE)), F.lit(False))
+
+
+def read_passages(passages: DataFrame, quote: str, position: Column, name: str = "r") -> DataFrame:
+    """Add the readings of all passages.  Those that no rule can read, the most by
+    far, are told apart in the JVM; only the others reach Python."""
+    may = may_be_read(F.col(quote))
+    read = passages.where(may).withColumn(name, classify(F.col(quote), position.cast("int")))
+    fallback = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(UNREAD, READING, strict=True)])
+    return read.unionByName(passages.where(~may).withColumn(name, fallback))
+
+
 def reclassify(citations: DataFrame, position: Column, every: bool = False) -> DataFrame:
     """Edges read anew, with ``changed``: placeholder quotes and manual readings
     stay as they are, and so do readings above the floor unless ``every``."""
-    due = ~F.lower("quote").startswith("referencia publicada por la csjn") & (F.col("method") != "manual")
+    due = ~is_placeholder(F.col("quote")) & (F.col("method") != "manual")
     if not every:
         due = due & (F.col("confidence") <= 0.25)
     # split first: Python would otherwise see the rows that need no reading
-    again = citations.where(due).withColumn("_r", classify(F.col("quote"), position.cast("int")))
+    again = read_passages(citations.where(due), "quote", position, "_r")
     changed = (F.col("_r.treatment") != F.col("treatment")) | (F.col("_r.confidence") != F.col("confidence"))
     again = again.withColumn("changed", changed).withColumns({"treatment": F.col("_r.treatment"), "confidence": F.col("_r.confidence"), "method": F.lit("rule")}).drop("_r")
     return again.unionByName(citations.where(~F.coalesce(due, F.lit(False))).withColumn("changed", F.lit(False)))
@@ -154,20 +192,3 @@ def grounded(treatment: Column, confidence: Column, evidence: Column, passage: C
     stands = (F.length(F.btrim(evidence)) > 0) & F.contains(flat(passage), flat(evidence)) & treatment.isin(*TREATMENTS)
     capped = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(MODEL_CEILING))
     return F.when(stands, F.struct(treatment.alias("treatment"), capped.alias("confidence"), F.lit("llm").alias("method")))
-
-
-def with_model(passages: DataFrame, model: Callable[[str], tuple[str, float, str] | None], budget: int) -> DataFrame:
-    """(…, treatment, confidence, evidence) of at most ``budget`` passages of
-    each partition that a pluggable model is asked about."""
-    schema = T.StructType([*passages.schema.fields, T.StructField("treatment", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("evidence", T.StringType())])
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = budget
-        for batch in batches:
-            answers = []
-            for quote in batch["quote"]:
-                answers.append((model(quote) if left > 0 else None) or (None, None, None))
-                left -= 1
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(answers, columns=["treatment", "confidence", "evidence"])], axis=1)
-
-    return passages.mapInPandas(ask, schema)

@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 from prudentia.functions.spans import extract_edges
 from prudentia.functions.text import text_quality, text_status
 from prudentia.operators.listing import top_cited
-from prudentia.schema import UNREAD_CEILING
+from prudentia.schema import UNREAD_CEILING, is_placeholder
 
-# How answers name the states of a text, and how the quotes begin
-# that stand for an edge without a passage.
+# How answers name the states of a text.
 STATUS_LABELS = {
     "extracted": "texto extraído del PDF, utilizable",
     "ocr": "recuperado por OCR",
     "garbled": "**no utilizable**: el PDF trae capa de texto con fuente sin mapa Unicode. Este fallo no aporta aristas hasta pasar por OCR",
     "unavailable": "no disponible",
 }
-PLACEHOLDER = "Referencia publicada por la CSJN"
 
 
 def status_label(status: Column) -> Column:
@@ -57,7 +55,7 @@ def reclassify_selection(citations: DataFrame, n: int, ceiling: float = UNREAD_C
     """Edges to the ``n`` most cited rulings that no rule could read and that
     have a passage to read: what a second reading takes, by cited ruling."""
     top = F.broadcast(top_cited(citations, n).select("cited_id"))  # n rows
-    unread = citations.where((F.col("confidence") <= ceiling) & ~F.col("quote").startswith(PLACEHOLDER))
+    unread = citations.where((F.col("confidence") <= ceiling) & ~is_placeholder(F.col("quote")))
     return unread.join(top, "cited_id", "left_semi").select("citing_id", "cited_id", "quote")
 
 

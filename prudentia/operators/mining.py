@@ -1,9 +1,22 @@
-"""Mining recurrent phrases: n-grams around the words that carry a treatment."""
+"""Mining recurrent phrases: n-grams around the words that carry a treatment.
+
+Phrases are counted by 64-bit hashes first: a row of two numbers for each phrase of
+a passage, summed in every task before it moves.  Only phrases whose hash is among
+the most frequent are made as strings, and these are counted exactly.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from prudentia.functions.spans import citations_in
+from prudentia.functions.text import fold
+from prudentia.functions.treatment import clause_around
+from prudentia.schema import UNREAD_CEILING, is_placeholder
+from prudentia.sources.shared import new_dir
 
 # Words that no phrase begins or ends with, and stems of which a
 # reported phrase has one.
@@ -18,30 +31,84 @@ STEMS = [
     "doctrin", "criteri", "precedent", "jurisprud", "conform", "arregl", "corresponde", "cabe", "procede",
 ]
 LEAST_WORDS, MOST_WORDS = 2, 6
+#: Words before a citation that its phrases are taken from.
+WINDOW = 8
+
+
+@F.pandas_udf(T.StringType())
+def _before(quote: pd.Series, cited: pd.Series) -> pd.Series:
+    """What stands in the citation's own clause before it; null where the passage
+    doesn't hold the citation."""
+
+    def one(text: str | None, ident: str | None) -> str | None:
+        at = next((start for _, start, _, v, p in citations_in(text or "") if f"fallos:{v}:{p}" == ident), None)
+        if at is None:
+            return None
+        clause = clause_around(text, at)
+        stands = clause.find(text[at : at + 8])
+        return clause[:stands] if stands > 0 else clause
+
+    return pd.Series([one(q, c) for q, c in zip(quote, cited, strict=True)], dtype=object)
+
+
+def left_window(quote: Column, cited: Column) -> Column:
+    """The last eight words, folded, before a citation within its clause."""
+    words = F.filter(F.split(fold(_before(quote, cited)), " "), lambda w: w != "")
+    return F.slice(words, F.greatest(F.size(words) - (WINDOW - 1), F.lit(1)), WINDOW)
+
+
+def unread_windows(citations: DataFrame) -> DataFrame:
+    """(citing_id, cited_id, words): the windows of the passages that no rule could
+    read.  Passages that don't hold their citation have none."""
+    place = F.concat(F.lit("(?U)"), F.element_at(F.split("cited_id", ":"), 2), F.lit(r"\s*:\s*"), F.element_at(F.split("cited_id", ":"), 3))
+    due = (F.col("confidence") <= UNREAD_CEILING) & ~is_placeholder(F.col("quote")) & F.rlike("quote", place)
+    return citations.where(due).select("citing_id", "cited_id", left_window(F.col("quote"), F.col("cited_id")).alias("words")).where("words IS NOT NULL")
 
 
-def ngrams(words: Column, stems: list[str] | None = None) -> Column:
-    """The different phrases of 2 to 6 words in an array of words that neither
-    begin nor end with an edge word, of those the ones with a stem.
+def starts(passages: DataFrame, words: str, stems: list[str] | None) -> DataFrame:
+    """(passage, w1, ..., w6): each word that may begin a phrase with those behind
+    it, each marked as an edge word and as carrying a stem.
 
     An n-gram without the edge words at its ends is a shorter n-gram that begins
-    and ends with other words, so these are all that n-grams give.
+    and ends with other words, so phrases between words that are none are all that
+    n-grams give; a phrase has a stem if one of its words has.
     """
-    edge = F.array(*map(F.lit, EDGE_WORDS))
-    size = F.size(words)
-    ends = lambda i: ~F.array_contains(edge, F.element_at(words, i))
-    starts = F.filter(F.sequence(F.lit(1), size - 1), ends)
-    stops = lambda i: F.filter(F.sequence(i + 1, F.least(i + (MOST_WORDS - 1), size)), ends)
-    phrases = F.flatten(F.transform(starts, lambda i: F.transform(stops(i), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
-    found = F.array_distinct(F.filter(phrases, lambda g: carries_a_stem(g, stems)))
-    return F.when(size >= LEAST_WORDS, found).otherwise(F.array().cast("array<string>"))
+    carries = (lambda w: F.lit(True)) if stems == [""] else (lambda w: w.rlike("|".join(stems or STEMS)))
+    marked = F.transform(words, lambda w: F.struct(w.alias("w"), w.isin(EDGE_WORDS).alias("edge"), carries(w).alias("stem")))
+    numbered = passages.select(F.monotonically_increasing_id().alias("passage"), marked.alias("m")).where(F.size("m") >= LEAST_WORDS)
+    size = F.size("m")
+    behind = [F.slice("m", F.lit(k), F.greatest(size - (k - 1), F.lit(0))).alias(f"w{k}") for k in range(2, MOST_WORDS + 1)]
+    rows = numbered.select("passage", F.explode(F.arrays_zip(F.col("m").alias("w1"), *behind)).alias("s")).select("passage", "s.*")
+    return rows.where("NOT w1.edge")
 
 
-def carries_a_stem(gram: Column, stems: list[str] | None = None) -> Column:
-    return gram.rlike("|".join(stems or STEMS))
+def _phrases(made) -> Column:
+    """``made(columns)`` of each phrase that begins at w1."""
+    out = []
+    for k in range(LEAST_WORDS, MOST_WORDS + 1):
+        inside = [F.col(f"w{j}") for j in range(1, k + 1)]
+        stem = inside[0]["stem"]
+        for w in inside[1:]:
+            stem = stem | w["stem"]
+        out.append(F.when(inside[-1].isNotNull() & ~inside[-1]["edge"] & stem, made([w["w"] for w in inside])))
+    return F.array(*out)
 
 
 def mine(passages: DataFrame, words: str, least: int, top: int, stems: list[str] | None = None) -> DataFrame:
-    """(gram, n): in how many passages a phrase occurs, the most frequent."""
-    found = passages.select(F.explode(ngrams(F.col(words), stems)).alias("gram"))
-    return found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(top)
+    """(gram, n): in how many passages a phrase of 2 to 6 words occurs that neither
+    begins nor ends with an edge word and has a stem: the most frequent, of those
+    in ``least`` passages at least.  Ties by the phrase.  ``stems`` are patterns; an
+    empty one takes every phrase.  Null arrays and shorter ones have none."""
+    begun = starts(passages, words, stems)
+    hashed = begun.select("passage", F.explode(_phrases(lambda ws: F.xxhash64(*ws))).alias("h")).where("h IS NOT NULL").distinct()
+    spark, folder = passages.sparkSession, new_dir(passages.sparkSession, "phrases")
+    hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).write.parquet(folder)  # read twice, made once
+    counts = spark.read.schema("h long, n long").parquet(folder)
+    rank = counts.orderBy(F.desc("n")).limit(top).agg(F.min("n")).first()[0]
+    if rank is None:
+        return spark.createDataFrame([], "gram string, n long")
+    frequent = counts.where(F.col("n") >= rank).select("h")
+    each = begun.select("passage", F.explode(_phrases(lambda ws: F.struct(F.xxhash64(*ws).alias("h"), F.concat_ws(" ", *ws).alias("gram")))).alias("g")).where("g IS NOT NULL")
+    grams = each.select("passage", "g.*").join(frequent, "h", "left_semi").select("passage", "gram").distinct()
+    found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return found.orderBy(F.desc("n"), "gram").limit(top)

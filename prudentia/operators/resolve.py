@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,11 +27,10 @@ def keys_of(raw: Column) -> Column:
 def resolve(queries: DataFrame, raw: str, rulings: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``resolved`` to every row of ``queries``: the id that is written if
     such a ruling exists, else the ruling of the first key that is an alias."""
-    numbered = queries.withColumn("_q", F.monotonically_increasing_id())
-    keyed = numbered.select("_q", F.posexplode(F.concat(F.filter(F.array(parse_ruling_id(F.col(raw))), lambda x: x.isNotNull()), keys_of(F.col(raw)))).alias("place", "key"))
+    keyed = queries.select(F.col(raw).alias("_q")).distinct().select("_q", F.posexplode(F.concat(F.filter(F.array(parse_ruling_id(F.col("_q"))), lambda x: x.isNotNull()), keys_of(F.col("_q")))).alias("place", "key"))
     known = rulings.select(F.col("id").alias("key"), F.col("id").alias("found")).union(aliases.join(rulings.select(F.col("id").alias("ruling_id")), "ruling_id").select(F.col("raw").alias("key"), F.col("ruling_id").alias("found")))
     best = keyed.join(known, "key").groupBy("_q").agg(F.min_by("found", F.struct("place", "found")).alias("resolved"))
-    return numbered.join(best, "_q", "left").drop("_q")
+    return queries.join(best, queries[raw] == best["_q"], "left").drop("_q")
 
 
 def typo_pages(page: Column) -> Column:
@@ -106,11 +107,13 @@ def suggest_captions(asked: DataFrame, raw: str, rulings: DataFrame, most: int =
     return asked.select("query", prefixes(F.col(raw)).alias("_prefixes")).join(best, "_prefixes").select("query", "place", "id", "score")
 
 
-def suggest(asked: DataFrame, raw: str, rulings: DataFrame, most: int = 5) -> DataFrame:
-    """(query, rank, id): slips first, then near pages, then captions."""
+def suggest(asked: DataFrame, raw: str, rulings: DataFrame, most: int = 5, captions: Callable[[DataFrame, str, int], DataFrame] | None = None) -> DataFrame:
+    """(query, rank, id): slips first, then near pages, then captions, which a text
+    index's ``search`` may look up instead of a scan."""
+    named = captions(asked, raw, most) if captions else suggest_captions(asked, raw, rulings, most)
     ident = parse_ruling_id(F.col(raw))
     parsed = asked.select("query", F.split(ident, ":").alias("_p")).where("_p IS NOT NULL").select("query", F.element_at("_p", 2).cast("int").alias("volume"), F.element_at("_p", 3).cast("int").alias("page"))
-    staged = [suggest_typos(parsed, rulings).withColumn("stage", F.lit(1)), suggest_nearest(parsed, rulings, most).withColumn("stage", F.lit(2)), suggest_captions(asked, raw, rulings, most).drop("score").withColumn("stage", F.lit(3))]
+    staged = [suggest_typos(parsed, rulings).withColumn("stage", F.lit(1)), suggest_nearest(parsed, rulings, most).withColumn("stage", F.lit(2)), named.drop("score").withColumn("stage", F.lit(3))]
     every = staged[0].unionByName(staged[1]).unionByName(staged[2])
     first = every.groupBy("query", "id").agg(F.min(F.struct("stage", "place")).alias("at"))
     order = W.partitionBy("query").orderBy("at", "id")

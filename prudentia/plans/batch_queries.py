@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prudentia.operators import batches
+from prudentia.operators.model_reading import ModelReader
 from prudentia.plans import text_queries
 from prudentia.plans.derived import GRAPH_SQL, citations, rulings, table
+from prudentia.sources.shared import new_dir
 
 
 def pending_rulings(spark, sf_dir):
@@ -25,7 +28,8 @@ def crawled_range(spark, sf_dir):
 
 def _edges_with_placeholders(spark, sf_dir):
     """The citations, a third of them with a placeholder for a quote."""
-    quote = F.when(F.col("sumario_id") % 3 == 0, F.concat(F.lit("Referencia publicada por la CSJN, sumario "), F.col("sumario_id").cast("string"), F.lit(", "), F.col("quote"))).otherwise(F.col("quote"))
+    words = F.when(F.col("sumario_id") % 2 == 0, "REFERENCIA publicada por la csjn, sumario ").otherwise("Referencia publicada por la CSJN, sumario ")
+    quote = F.when(F.col("sumario_id") % 3 == 0, F.concat(words, F.col("sumario_id").cast("string"), F.lit(", "), F.col("quote"))).otherwise(F.col("quote"))
     return citations(spark, sf_dir).withColumn("quote", quote)
 
 
@@ -42,10 +46,53 @@ def ingest_documents(spark, sf_dir):
     return report.select("id", "text_status", F.round("text_quality", 6).alias("text_quality"), "n_edges", "error")
 
 
+#: What the made model's calls cost, and the budget of a run.
+CALL, LIMIT = 0.01, 4.0
+
+
+def made_model(quote: str, cited: str) -> dict:
+    """Stands for a model: sure of odd pages, and inventing its evidence for every
+    third."""
+    page = int(cited.rsplit(":", 1)[1])
+    evidence = "no dice esto" if page % 3 == 0 else quote[4:24]
+    return {"treatment": "followed", "confidence": 0.9 if page % 2 else 0.5, "evidence": evidence, "cost": CALL}
+
+
+def _questions(spark, sf_dir):
+    p = text_queries.passages(spark, sf_dir)
+    return p.select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("citing_id"), F.regexp_replace(F.lower("cited"), " ", "").alias("cited_id"), "quote")
+
+
+def _read(spark, sf_dir) -> tuple[ModelReader, DataFrame]:
+    edges = _questions(spark, sf_dir)
+    reader = ModelReader(spark, new_dir(spark, "model"), made_model)
+    reader.read(edges, LIMIT)
+    return reader, edges
+
+
+def model_readings(spark, sf_dir):
+    """What a model reads of all parts' passages for a budget of 400 calls."""
+    reader, edges = _read(spark, sf_dir)
+    return reader.readings(edges)
+
+
+def model_report(spark, sf_dir):
+    reader, edges = _read(spark, sf_dir)
+    return reader.report(edges)
+
+
 _WITH_CITATION = "SELECT * REPLACE (text || ' Fallos: ' || (300 + doc_id % 50) || ':' || (1 + doc_id % 999) || '.' AS text) FROM documents WHERE lang IS DISTINCT FROM 'de'"
 _JUDGED = text_queries.SQL["text_quality"].replace("FROM documents", f"FROM ({_WITH_CITATION})")
 
+_ASKED = f"""WITH p AS (SELECT *, 'Fallos: ' || (300 + p_partkey % 50) || ':' || (1 + p_partkey % 9000) AS cite FROM part),
+q AS (SELECT p_partkey, replace(lower(cite), ' ', '') AS cited_id, 1 + p_partkey % 9000 AS page,
+             replace(list_value({', '.join("'" + t[0].replace("'", "''") + "'" for t in text_queries._TEMPLATES)})[CAST(p_partkey % {len(text_queries._TEMPLATES)} + 1 AS INT)], '%s', cite) AS quote FROM p),
+asked AS (SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY sha256(cited_id || chr(10) || quote)) AS place FROM q) WHERE place <= {round(LIMIT / CALL)})
+"""
+
 SQL = {
+    "model_readings": _ASKED + "SELECT 'k' || p_partkey AS citing_id, cited_id, quote, 'followed' AS treatment, CASE WHEN page % 2 = 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, 'llm' AS method FROM asked WHERE page % 3 <> 0",
+    "model_report": _ASKED + f"SELECT n AS calls, 0::BIGINT AS failed, refused, round({CALL} * n, 9)::DOUBLE AS cost, {CALL}::DOUBLE AS mean_cost FROM (SELECT count(DISTINCT (cited_id, quote)) AS n, count(DISTINCT (cited_id, quote)) FILTER (page % 3 = 0) AS refused FROM asked)",
     "pending_rulings": GRAPH_SQL + "SELECT DISTINCT citing_id AS id FROM citations WHERE citing_id NOT IN (SELECT id FROM rulings WHERE text_status <> 'unavailable')",
     "crawled_range": GRAPH_SQL
     + f"""SELECT text_status, CASE text_status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in batches.STATUS_LABELS.items())} END AS label,

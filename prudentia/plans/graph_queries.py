@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prudentia.operators import listing, signals, trace, upserts
 from prudentia.plans.derived import GRAPH_SQL, citation_log, citations, ruling_id, rulings, table
+from prudentia.schema import is_placeholder
 
 #: The ruling that the single-ruling queries ask about.
 ASKED = "fallos:307:1"
@@ -87,7 +88,7 @@ def already_read(spark, sf_dir):
 
 
 def unclassified_edges(spark, sf_dir):
-    return citations(spark, sf_dir).where("method <> 'manual' AND confidence <= 0.25").where(~F.lower("quote").startswith("referencia publicada por la csjn")).select("citing_id", "cited_id", "quote", "confidence")
+    return citations(spark, sf_dir).where("method <> 'manual' AND confidence <= 0.25").where(~is_placeholder(F.col("quote"))).select("citing_id", "cited_id", "quote", "confidence")
 
 
 def trace_steps(spark, sf_dir):

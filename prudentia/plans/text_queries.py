@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from prudentia.functions import spans, text, treatment
 from prudentia.operators import mining, resolve
 from prudentia.plans.derived import GRAPH_SQL, rulings, table
+from prudentia.sources.shared import new_dir
+from prudentia.sources.text_index import TextIndex
 
 
 def text_quality(spark, sf_dir):
@@ -118,7 +120,7 @@ def passages(spark, sf_dir):
 
 
 def classify_passages(spark, sf_dir):
-    return passages(spark, sf_dir).select("key", treatment.classify("quote", "position").alias("r")).select("key", "r.treatment", "r.confidence", "r.rule")
+    return treatment.read_passages(passages(spark, sf_dir), "quote", F.col("position")).select("key", "r.treatment", "r.confidence", "r.rule")
 
 
 def reclassify(spark, sf_dir):
@@ -130,7 +132,7 @@ def reclassify(spark, sf_dir):
 
 def confusion_matrix(spark, sf_dir):
     expected = F.element_at(F.array(*[F.lit(t[1]) for t in _TEMPLATES]), (F.col("key") % len(_TEMPLATES) + 1).cast("int"))
-    got = passages(spark, sf_dir).select(expected.alias("expected"), treatment.classify("quote", "position").alias("r"))
+    got = treatment.read_passages(passages(spark, sf_dir), "quote", F.col("position")).select(expected.alias("expected"), "r")
     return got.groupBy("expected", F.col("r.treatment").alias("got")).agg(F.count("*").alias("n"))
 
 
@@ -200,18 +202,51 @@ def suggest_nearest_all(spark, sf_dir):
     return resolve.suggest_nearest(_asked_all(spark, sf_dir), rulings(spark, sf_dir))
 
 
+def _named(spark, sf_dir):
+    """Every part asked for by its whole name."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_name").alias("raw"))
+
+
 def fts_prefix_bm25_all(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.concat(F.substring("p_name", 1, 8), F.lit("x")).alias("raw"))
-    return resolve.suggest_captions(asked, "raw", rulings(spark, sf_dir))
+    """By a scan of all captions."""
+    return resolve.suggest_captions(_named(spark, sf_dir), "raw", rulings(spark, sf_dir))
+
+
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def caption_index(spark, sf_dir) -> TextIndex:
+    """The index of all captions, stored once a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _indexes:
+        _indexes[known] = TextIndex.build(rulings(spark, sf_dir), new_dir(spark, "captions"))
+    return _indexes[known]
+
+
+def fts_prefix_bm25(spark, sf_dir):
+    """By the stored index."""
+    return caption_index(spark, sf_dir).search(_named(spark, sf_dir), "raw")
 
 
 #: The same under the names that the SQL has.
-suggest_typo, suggest_nearest, fts_prefix_bm25 = suggest_typo_all, suggest_nearest_all, fts_prefix_bm25_all
+suggest_typo, suggest_nearest = suggest_typo_all, suggest_nearest_all
 
 
 def suggest(spark, sf_dir):
-    asked = _asked_all(spark, sf_dir).select("query", F.format_string("Fallos: %d:%d", "volume", "page").alias("raw"))
-    return resolve.suggest(asked, "raw", rulings(spark, sf_dir))
+    """Parts asked for by position, every third by its name."""
+    key = F.col("query")
+    asked = _asked_all(spark, sf_dir).join(_named(spark, sf_dir), "query").select("query", F.when(key % 3 == 0, F.col("raw")).otherwise(F.format_string("Fallos: %d:%d", "volume", "page")).alias("raw"))
+    return resolve.suggest(asked, "raw", rulings(spark, sf_dir), captions=caption_index(spark, sf_dir).search)
+
+
+def mined_before_citations(spark, sf_dir):
+    """Phrases with one of the stems in the eight words before each citation that no
+    rule could read: the passages of all parts, a fifth of them placeholders."""
+    p = passages(spark, sf_dir)
+    quote = F.when(F.col("key") % 5 == 0, F.concat(F.lit("referencia PUBLICADA por la CSJN en "), "cited")).otherwise(F.concat(F.lit("Se dijo: algo; "), "quote", F.lit(" Nada más.")))
+    cited = F.regexp_replace(F.lower("cited"), " ", "")
+    edges = p.select(F.col("key").alias("citing_id"), cited.alias("cited_id"), quote.alias("quote"), F.when(F.col("key") % 3 == 0, 0.9).otherwise(0.2).alias("confidence"))
+    return mining.mine(mining.unread_windows(edges), "words", 2, 60)
 
 
 _CITE = "'Fallos: ' || (300 + p_partkey % 50) || ':' || (1 + p_partkey % 9000)"
@@ -272,7 +307,7 @@ FROM (SELECT *, repeat(p_name || ' ', 40) || '. Que Fallos: ' || raw || ' rige.
 words AS (SELECT id, string_split(trim(regexp_replace(regexp_replace(upper(caption), '[^A-Z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS ws FROM rulings),
 terms AS (SELECT id, len(ws) AS size, unnest(ws) AS term FROM words),
 stats AS (SELECT count(*)::DOUBLE AS docs, avg(len(ws)) AS mean FROM words),
-asked AS (SELECT p_partkey AS query, unnest(string_split(trim(upper(substr(p_name, 1, 8)) || 'X'), ' ')) AS w FROM part),
+asked AS (SELECT p_partkey AS query, unnest(string_split(upper(p_name), ' ')) AS w FROM part),
 pre AS (SELECT DISTINCT query, substr(w, 1, greatest(4, CAST(floor(length(w) * 0.7) AS INT))) AS prefix FROM asked WHERE length(w) > 2),
 hit AS (SELECT query, prefix, id, size, count(*) AS tf FROM pre JOIN terms ON starts_with(term, prefix) GROUP BY ALL),
 scored AS (SELECT *, count(*) OVER (PARTITION BY query, prefix) AS df FROM hit),
@@ -293,5 +328,22 @@ t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(gram, list_min(kept), l
 SELECT gram, count(*) AS n FROM t WHERE regexp_matches(gram, 'the|ing') GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50""",
 }
 
-NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest", "suggest_typo_all", "suggest_nearest_all", "fts_prefix_bm25_all", "page_breaks_all", "ngram_mining_all"]
+SQL["fts_prefix_bm25_all"] = SQL["fts_prefix_bm25"]
+SQL["suggest"] = (
+    SQL["fts_prefix_bm25"].split("\nSELECT query, CAST(place AS INT)")[0].replace("FROM part),\npre", "FROM part WHERE p_partkey % 3 = 0),\npre")
+    + """,
+named AS (SELECT query, 3 AS stage, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place, id FROM total),
+q AS (SELECT p_partkey AS query, 300 + p_partkey % 50 AS volume, p_partkey % 60 + 1 AS page FROM part WHERE p_partkey % 3 <> 0),
+tried AS (
+  SELECT query, volume, page, 0 AS place, page % 10 * 10 + page // 10 AS slip FROM q WHERE page >= 10
+  UNION ALL SELECT query, volume, page, 1 + d, d * 10 + page % 10 FROM q, range(10) AS a(d) WHERE page >= 10
+  UNION ALL SELECT query, volume, page, 11 + d, page // 10 * 10 + d FROM q, range(10) AS a(d)),
+slips AS (SELECT query, 1 AS stage, min(place) AS place, 'fallos:' || volume || ':' || slip AS id FROM tried WHERE slip > 0 AND slip <> page GROUP BY ALL),
+near AS (SELECT q.query, 2 AS stage, row_number() OVER (PARTITION BY q.query ORDER BY abs(r.page - q.page), r.page) AS place, r.id FROM q JOIN rulings r USING (volume)),
+every AS (SELECT s.* FROM slips s JOIN rulings r USING (id) UNION ALL SELECT * FROM near WHERE place <= 5 UNION ALL SELECT * FROM named WHERE place <= 5),
+best AS (SELECT query, id, min(stage * 1000 + place) AS spot FROM every GROUP BY ALL)
+SELECT query, CAST(rank AS INT) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY spot, id) AS rank FROM best) WHERE rank <= 5"""
+)
+
+NAMES = ["text_quality", "clean_text", "page_breaks", "strip_html", "normalize_caption", "normalize_docket", "parse_ruling_id", "parse_citing_html", "parse_api_record", "render_quote", "classify_passages", "reclassify", "confusion_matrix", "find_citations", "quotes", "opinion_spans", "llm_ground_cap", "ngram_mining", "resolve_batch", "suggest_typo", "suggest_nearest", "fts_prefix_bm25", "suggest", "suggest_typo_all", "suggest_nearest_all", "fts_prefix_bm25_all", "page_breaks_all", "ngram_mining_all", "mined_before_citations"]
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -95,6 +95,11 @@ def _looked_up(treatment: str | Column, place: int) -> Column:
     return out
 
 
+def is_placeholder(quote: Column) -> Column:
+    """Whether a quote stands for an edge without a passage, in whatever case."""
+    return F.lower(quote).startswith(PLACEHOLDER_QUOTE.lower())
+
+
 def binding(opinion: str = "opinion") -> Column:
     """Only the majority's treatment binds."""
     return F.coalesce(F.col(opinion) == "majority", F.lit(False))

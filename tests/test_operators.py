@@ -118,10 +118,16 @@ def test_citations_and_opinions():
     assert found("Fallos: 181:209, 213/214; 239:80") == [(181, 209)]
     assert found("ver 308:1392 y Fallos 501:3, 7:9") == [(7, 9)]
     body = "Considerando: Fallos: 1:2. DISIDENCIA DEL SEÑOR MINISTRO DOCTOR DON JUAN PEREZ Considerando: Fallos: 3:4."
-    kinds = spans.opinions_in(body)
-    assert [k[2] for k in kinds] == ["majority", "dissent"] and kinds[1][3].startswith("JUAN PEREZ") is False or kinds[1][3]
-    assert spans.opinion_at(kinds, body.index("3:4"))[2] == "dissent"
-    assert [k[2] for k in spans.opinions_in("DICTAMEN DEL PROCURADOR GENERAL x FALLO DE LA CORTE SUPREMA y")] == ["majority", "dictamen", "majority"]
+    kinds = list(spans.turns(body))
+    assert [k[1:] for k in kinds] == [("dissent", "JUAN PEREZ")] and kinds[0][0] == body.index("DISIDENCIA")
+    assert [(c[0], o, a) for c, o, a in spans.attributed(body)] == [("1:2", "majority", ""), ("3:4", "dissent", "JUAN PEREZ")]
+    assert [k[1] for k in spans.turns("DICTAMEN DEL PROCURADOR GENERAL x FALLO DE LA CORTE SUPREMA y")] == ["dictamen", "majority"]
+    # A heading inside another: the court's turn within the vote's names counts, the same kind's doesn't.
+    nested = "VOTO DEL SEÑOR MINISTRO A VOTO DEL SEÑOR MINISTRO B FALLO DE LA CORTE SUPREMA Considerando: Fallos: 1:2"
+    assert [k[:2] for k in spans.turns(nested)] == [(0, "concurrence"), (nested.index("FALLO"), "majority")]
+    assert [o for _, o, _ in spans.attributed(nested)] == ["majority"]
+    many = "Disidencia parcial de la señora ministra doctora doña Ana Paz Considerando Fallos: 5:6; VOTO DE LOS SEÑORES MINISTROS DOCTORES DON X Y DON Z Considerando Fallos: 7:8."
+    assert [(c[3], o, a) for c, o, a in spans.attributed(many)] == [(5, "partial_dissent", "Ana Paz"), (7, "concurrence", "X Y DON Z")]
 
 
 @pytest.mark.parametrize(
