@@ -110,6 +110,35 @@ def checked_aliases(log: DataFrame) -> DataFrame:
     return log.withColumn("reason", _first_of((F.length(F.trim("raw")) == 0, "blank"), (~F.col("form").isin(*FORMS), "form")))
 
 
+def checked_load(checked: DataFrame, key: list[str], order: list[str], stored: DataFrame | None = None, ends: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Constraints between rows, after those of single rows (column ``reason``).
+
+    UNIQUE: of the accepted rows of one ``key`` the first in ``order`` stays, others
+    are ``repeated in the load``; a key that ``stored`` has is ``stored before``.
+    Foreign keys: a row whose column in ``ends`` names no ``id`` of ``known`` gets
+    that column's reason.  A row has the first reason that applies: its own, a
+    missing end, stored, repeated; so what is repeated is told among the rows that
+    could stay.  Rows that agree in key and order all stay or go together.  All of
+    it is joins and one aggregate; nulls in a key are equal to each other and
+    nulls in an end are missing.
+    """
+    rows = checked
+    for column, reason in (ends or {}).items():
+        there = known.select(F.col("id").alias("_id"), F.lit(True).alias("_there")).distinct()
+        rows = rows.join(there, F.col(column) == F.col("_id"), "left")
+        rows = rows.withColumn("reason", F.when((F.col("reason") == "accepted") & F.col("_there").isNull(), reason).otherwise(F.col("reason"))).drop("_id", "_there")
+    names = [f"_k{i}" for i in range(len(key))]
+    alike = lambda: [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)]
+    if stored is not None:
+        had = stored.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.lit(True).alias("_had")).distinct()
+        rows = rows.join(had, alike(), "left")
+        rows = rows.withColumn("reason", F.when((F.col("reason") == "accepted") & F.col("_had").isNotNull(), "stored before").otherwise(F.col("reason"))).drop(*names, "_had")
+    first = rows.where("reason = 'accepted'").groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).agg(F.min(F.struct(*order)).alias("_first"))
+    rows = rows.join(first, alike(), "left")
+    later = (F.col("reason") == "accepted") & ~F.struct(*order).eqNullSafe(F.col("_first"))
+    return rows.withColumn("reason", F.when(later, "repeated in the load").otherwise(F.col("reason"))).drop(*names, "_first")
+
+
 # The passage that stands for an edge which nobody has read yet.
 PLACEHOLDER_QUOTE = "Referencia publicada por la CSJN en el sumario %d de Fallos: %d:%d. Sin clasificar: falta el pasaje."
 

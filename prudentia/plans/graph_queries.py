@@ -157,6 +157,25 @@ def constraint_reject(spark, sf_dir):
     return checked.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def constraint_rows(spark, sf_dir):
+    """Rows that a load of all citations refuses, over a store that has those of one
+    supplier in five and knows the rulings below volume 345."""
+    log = citation_log(spark, sf_dir).withColumn("line", F.col("quote")).withColumn("quote", F.when(F.col("sumario_id") % 13 == 0, " ").otherwise(F.format_string("passage %d", F.col("sumario_id") % 3)))
+    stored = log.where("sumario_id % 5 = 0 AND sumario_id % 13 <> 0")
+    known = rulings(spark, sf_dir).where("volume < 345")
+    ends = {"citing_id": "citing ruling missing", "cited_id": "cited ruling missing"}
+    checked = upserts.checked_load(upserts.checked_citations(log.where("sumario_id % 5 <> 0")), ["citing_id", "cited_id", "quote"], ["seq_date", "seq_price", "line"], stored, ends, known)
+    return checked.where("reason <> 'accepted'").select("citing_id", "cited_id", "line", "reason")
+
+
+def traces_of_top(spark, sf_dir):
+    """What the doctrines of the 15 most cited rulings reach, with all signals."""
+    edges, nodes = citations(spark, sf_dir), rulings(spark, sf_dir)
+    top = listing.top_cited(edges, 15).select(F.col("cited_id").alias("id"))
+    found = trace.reached_from(trace.moving(edges.where("opinion = 'majority'"), nodes), top, 3)
+    return found.join(signals.signals(nodes, edges).select("id", "signal", "confidence"), "id", "left").select("start", "id", "depth", "signal", "confidence")
+
+
 _FLAGS = """,
 edge AS (
   SELECT c.*, coalesce(r.decided_year, 0) AS year, coalesce(c.opinion = 'majority', false) AS binding,
@@ -279,6 +298,27 @@ SELECT a.id, a.volume, a.page, l.caption, l.decided_year, 'u' AS source_url, l.t
     "stub_nodes": GRAPH_SQL
     + """SELECT id, CAST(split_part(id, ':', 2) AS INT) AS volume, CAST(split_part(id, ':', 3) AS INT) AS page, replace(id, 'fallos:', 'Fallos: ') AS caption, 0 AS decided_year, 'unavailable' AS text_status
 FROM (SELECT citing_id AS id FROM citations UNION SELECT cited_id FROM citations) WHERE id NOT IN (SELECT id FROM rulings WHERE volume < 340)""",
+    "constraint_rows": GRAPH_SQL
+    + """, l AS (SELECT *, quote AS line, CASE WHEN sumario_id % 13 = 0 THEN ' ' ELSE 'passage ' || (sumario_id % 3) END AS q FROM citation_log),
+had AS (SELECT DISTINCT citing_id, cited_id, q FROM l WHERE sumario_id % 5 = 0 AND sumario_id % 13 <> 0),
+known AS (SELECT id FROM rulings WHERE volume < 345),
+r AS (SELECT l.*, CASE WHEN trim(l.q) = '' THEN 'blank quote' WHEN l.citing_id NOT IN (SELECT id FROM known) THEN 'citing ruling missing' WHEN l.cited_id NOT IN (SELECT id FROM known) THEN 'cited ruling missing'
+                       WHEN h.q IS NOT NULL THEN 'stored before' ELSE 'accepted' END AS reason
+      FROM l LEFT JOIN had h ON h.citing_id = l.citing_id AND h.cited_id = l.cited_id AND h.q = l.q WHERE l.sumario_id % 5 <> 0)
+SELECT citing_id, cited_id, line, CASE WHEN reason = 'accepted' THEN 'repeated in the load' ELSE reason END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY citing_id, cited_id, q, reason ORDER BY seq_date, seq_price, line) AS place FROM r) WHERE reason <> 'accepted' OR place > 1""",
+    "traces_of_top": GRAPH_SQL.replace("WITH rulings", "WITH RECURSIVE rulings")
+    + f""",
+hop AS (SELECT DISTINCT c.cited_id, c.citing_id FROM citations c JOIN rulings r ON r.id = c.citing_id WHERE {_MOVING} AND c.opinion = 'majority'),
+top AS (SELECT cited_id FROM citations GROUP BY 1 ORDER BY count(DISTINCT citing_id) DESC, cited_id LIMIT 15),
+walk AS (
+  SELECT cited_id AS start, cited_id AS id, 0 AS depth FROM top
+  UNION
+  SELECT w.start, h.citing_id, w.depth + 1 FROM walk w JOIN hop h ON h.cited_id = w.id WHERE w.depth < 3),
+seen AS (SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2)
+"""
+    + _FLAGS
+    + "SELECT s.start, s.id, s.depth, g.signal, g.confidence FROM seen s LEFT JOIN signal g USING (id)",
     "constraint_reject": GRAPH_SQL
     + f"""SELECT CASE WHEN length(trim(quote)) = 0 THEN 'blank quote' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence out of range' ELSE 'accepted' END AS reason, count(*) AS n
 FROM (SELECT {_BROKEN} FROM citation_log) GROUP BY 1""",

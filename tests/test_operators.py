@@ -263,3 +263,42 @@ def test_ingest_isolates_and_resumes(spark):
     assert [(r.citing_id, r.cited_id) for r in edges.collect()] == [("a", "fallos:301:2")]
     none, no_edges = batches.ingest(docs.limit(0))
     assert none.count() == 0 and no_edges.count() == 0
+
+
+def test_traces_of_many_starts(spark, golden):
+    starts = spark.createDataFrame([(B,), (A,), (B,), ("fallos:9:9",), (None,)], "id string")
+    got = {(r.start, r.from_id, r.to_id, r.depth) for r in trace.traces(golden[1], golden[0], starts, 3).collect()}
+    want = {(s, r.from_id, r.to_id, r.depth) for s in (A, B) for r in trace.trace_steps(golden[1], golden[0], s, 3).collect()}
+    assert got == want and want
+    lights = {(r.start, r.id): (r.depth, r.signal) for r in trace.reached_signals(golden[1], golden[0], starts).collect()}
+    assert lights[B, B] == (0, "yellow") and lights[B, C] == (1, "red") and lights[B, D] == (1, "gray") and lights["fallos:9:9", "fallos:9:9"] == (0, None)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("prudentia_")]
+
+
+def test_a_level_shuffles_what_it_finds_and_nothing_else(spark):
+    edges = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") % 200).cast("string")).alias("cited_id"), F.concat(F.lit("c"), (F.col("id") * 7 % 211).cast("string")).alias("citing_id"))
+    dealt = trace._Dealt(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with trace._by_part_of_the_key(spark):
+            pairs = dealt.put(edges.distinct().repartition(dealt.parts, "cited_id"), "cited_id")
+            one = dealt.put(edges.select(F.col("cited_id").alias("start"), F.col("cited_id").alias("id")).distinct().repartition(dealt.parts, "id"), "id")
+            two = dealt.put(trace.next_level(pairs, one, [one], dealt.parts), "id")
+            plan = trace.next_level(pairs, two, [one, two], dealt.parts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        dealt.forget()
+
+
+def test_constraints_between_rows(spark):
+    rows = [("a", "b", "q", 2), ("a", "b", "q", 1), ("a", "b", "q", 3), ("a", "b", " ", 0), ("a", "x", "q", 4), ("x", "b", "q", 5), (None, "b", "q", 6), ("b", "a", "q", 7), ("b", "a", "r", 8), ("b", "a", "r", 8), ("a", "b", None, 9)]
+    edges = spark.createDataFrame(rows, "citing_id string, cited_id string, quote string, seq int").withColumns({"confidence": F.lit(0.5), "treatment": F.lit("followed"), "opinion": F.lit("majority"), "method": F.lit("rule")})
+    known = spark.createDataFrame([("a",), ("b",)], "id string")
+    key, ends = ["citing_id", "cited_id", "quote"], {"citing_id": "no citing", "cited_id": "no cited"}
+    got = sorted((r.seq, r.reason) for r in upserts.checked_load(upserts.checked_citations(edges), key, ["seq"], edges.where("seq = 7"), ends, known).collect())
+    assert got == [(0, "blank quote"), (1, "accepted"), (2, "repeated in the load"), (3, "repeated in the load"), (4, "no cited"), (5, "no citing"), (6, "cites itself"), (7, "stored before"), (8, "accepted"), (8, "accepted"), (9, "blank quote")]
+    none = upserts.checked_load(upserts.checked_citations(edges.where("false")), key, ["seq"], edges, ends, known)
+    assert none.isEmpty() and none.columns == [*edges.columns, "reason"]
+    aliases = upserts.checked_aliases(spark.createDataFrame([("N", "a", "caption", 1), ("N", "b", "caption", 2), ("M", "z", "caption", 3)], "raw string, ruling_id string, form string, seq int"))
+    assert sorted((r.seq, r.reason) for r in upserts.checked_load(aliases, ["raw"], ["seq"], None, {"ruling_id": "no ruling"}, known).collect()) == [(1, "accepted"), (2, "repeated in the load"), (3, "no ruling")]
