@@ -1,8 +1,8 @@
 """Mining recurrent phrases: n-grams around the words that carry a treatment.
 
 Phrases are counted by 64-bit hashes first: a row of two numbers for each phrase of
-a passage, summed in every task before it moves.  Only phrases whose hash is among
-the most frequent are made as strings, and these are counted exactly.
+a passage, and only of words frequent enough.  Those whose hash is among the most
+frequent are made as strings, and these are counted exactly.
 """
 
 from __future__ import annotations
@@ -65,50 +65,72 @@ def unread_windows(citations: DataFrame) -> DataFrame:
     return citations.where(due).select("citing_id", "cited_id", left_window(F.col("quote"), F.col("cited_id")).alias("words")).where("words IS NOT NULL")
 
 
-def starts(passages: DataFrame, words: str, stems: list[str] | None) -> DataFrame:
+def frequent_words(passages: DataFrame, words: str, most: int) -> tuple[list[str] | None, int]:
+    """The ``most`` words that most passages hold, and in how many the next one is;
+    (None, 0) if there are no more words than that."""
+    each = passages.select(F.explode(F.array_distinct(words)).alias("w")).where("w IS NOT NULL")
+    top = each.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most + 1).collect()
+    return ([r["w"] for r in top[:most]], top[most]["n"]) if len(top) > most else (None, 0)
+
+
+def starts(passages: DataFrame, words: str, stems: list[str] | None, kept: list[str] | None = None) -> DataFrame:
     """(passage, w1, ..., w6): each word that may begin a phrase with those behind
-    it, each marked as an edge word and as carrying a stem.
+    it, each marked as an edge word and as carrying a stem; null for words that
+    aren't ``kept``.
 
     An n-gram without the edge words at its ends is a shorter n-gram that begins
     and ends with other words, so phrases between words that are none are all that
     n-grams give; a phrase has a stem if one of its words has.
     """
     carries = (lambda w: F.lit(True)) if stems == [""] else (lambda w: w.rlike("|".join(stems or STEMS)))
-    marked = F.transform(words, lambda w: F.struct(w.alias("w"), w.isin(EDGE_WORDS).alias("edge"), carries(w).alias("stem")))
+    one = lambda w: F.struct(w.alias("w"), w.isin(EDGE_WORDS).alias("edge"), carries(w).alias("stem"))
+    marked = F.transform(words, lambda w: F.when(w.isNotNull() if kept is None else w.isin(kept), one(w)))
     numbered = passages.select(F.monotonically_increasing_id().alias("passage"), marked.alias("m")).where(F.size("m") >= LEAST_WORDS)
     size = F.size("m")
     behind = [F.slice("m", F.lit(k), F.greatest(size - (k - 1), F.lit(0))).alias(f"w{k}") for k in range(2, MOST_WORDS + 1)]
     rows = numbered.select("passage", F.explode(F.arrays_zip(F.col("m").alias("w1"), *behind)).alias("s")).select("passage", "s.*")
-    return rows.where("NOT w1.edge")
+    return rows.where("w1 IS NOT NULL AND NOT w1.edge AND w2 IS NOT NULL")
 
 
 def _phrases(made) -> Column:
     """``made(columns)`` of each phrase that begins at w1."""
-    out = []
-    for k in range(LEAST_WORDS, MOST_WORDS + 1):
-        inside = [F.col(f"w{j}") for j in range(1, k + 1)]
-        stem = inside[0]["stem"]
-        for w in inside[1:]:
-            stem = stem | w["stem"]
-        out.append(F.when(inside[-1].isNotNull() & ~inside[-1]["edge"] & stem, made([w["w"] for w in inside])))
+    out, whole, stem = [], F.col("w1").isNotNull(), F.col("w1")["stem"]
+    for k in range(2, MOST_WORDS + 1):
+        last = F.col(f"w{k}")
+        whole, stem = whole & last.isNotNull(), stem | last["stem"]
+        out.append(F.when(whole & ~last["edge"] & stem, made([F.col(f"w{j}")["w"] for j in range(1, k + 1)])))
     return F.array(*out)
 
 
+#: How many words phrases are first made of.
+VOCABULARY = (1_024, 16_384)
+
+
 def mine(passages: DataFrame, words: str, least: int, top: int, stems: list[str] | None = None) -> DataFrame:
     """(gram, n): in how many passages a phrase of 2 to 6 words occurs that neither
     begins nor ends with an edge word and has a stem: the most frequent, of those
     in ``least`` passages at least.  Ties by the phrase.  ``stems`` are patterns; an
-    empty one takes every phrase.  Null arrays and shorter ones have none."""
-    begun = starts(passages, words, stems)
-    hashed = begun.select("passage", F.explode(_phrases(lambda ws: F.xxhash64(*ws))).alias("h")).where("h IS NOT NULL").distinct()
-    spark, folder = passages.sparkSession, new_dir(passages.sparkSession, "phrases")
-    hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).write.parquet(folder)  # read twice, made once
-    counts = spark.read.schema("h long, n long").parquet(folder)
-    rank = counts.orderBy(F.desc("n")).limit(top).agg(F.min("n")).first()[0]
-    if rank is None:
+    empty one takes every phrase.  Null arrays and shorter ones have none.
+
+    A phrase is in no more passages than its rarest word.  So phrases are first made
+    of the most frequent words only; if the last of the best is in more passages
+    than any word left out, no other phrase can be among them.  Else more words
+    are let in, and at last all.
+    """
+    spark = passages.sparkSession
+    for most in (*VOCABULARY, None):
+        kept, bound = frequent_words(passages, words, most) if most else (None, 0)
+        begun, folder = starts(passages, words, stems, kept), new_dir(spark, "phrases")
+        hashed = begun.select("passage", F.explode(_phrases(lambda ws: F.xxhash64(*ws))).alias("h")).where("h IS NOT NULL").distinct()
+        hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, bound)).write.parquet(folder)  # read twice, made once
+        counts = spark.read.schema("h long, n long").parquet(folder)
+        last, rows = counts.orderBy(F.desc("n")).limit(top).agg(F.min("n"), F.count("*")).first()
+        if kept is None or rows == top and last > bound:
+            break
+    if last is None:
         return spark.createDataFrame([], "gram string, n long")
-    frequent = counts.where(F.col("n") >= rank).select("h")
+    best = counts.where(F.col("n") >= last).select("h")
     each = begun.select("passage", F.explode(_phrases(lambda ws: F.struct(F.xxhash64(*ws).alias("h"), F.concat_ws(" ", *ws).alias("gram")))).alias("g")).where("g IS NOT NULL")
-    grams = each.select("passage", "g.*").join(frequent, "h", "left_semi").select("passage", "gram").distinct()
+    grams = each.select("passage", "g.*").join(best, "h", "left_semi").select("passage", "gram").distinct()
     found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return found.orderBy(F.desc("n"), "gram").limit(top)

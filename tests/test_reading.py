@@ -132,6 +132,17 @@ def test_mining_of_odd_passages(spark):
     assert [tuple(r) for r in mining.mine(frame, "words", 1, 10, stems=["nor"]).collect()] == [("aplica la norma", 2)]
 
 
+def test_mining_by_frequent_words_first(spark, monkeypatch):
+    """The same phrases whether the first words do, more are let in, or all."""
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdefgh") * rng.choice([1, 1, 1, 2]) if rng.random() < 0.8 else f"rare{rng.randrange(60)}" for _ in range(rng.randint(0, 30))] for _ in range(120)]
+    frame = spark.createDataFrame([(t,) for t in texts], "words array<string>")
+    want = counted(texts, 2, 25, [""])
+    for vocabulary in ((6, 30), (3, 5), (1000, 2000), (12, 13)):
+        monkeypatch.setattr(mining, "VOCABULARY", vocabulary)
+        assert [tuple(r) for r in mining.mine(frame, "words", 2, 25, stems=[""]).collect()] == want
+
+
 def test_only_readable_passages_reach_python(spark):
     """The matcher lets no passage by that a rule reads, whole or in its clause."""
     rng = random.Random(8)
