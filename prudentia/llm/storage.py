@@ -14,15 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_chosen: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's own folder in the storage all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="prudentia-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        application = spark.sparkContext.applicationId
+        if application not in _chosen:  # the setting can't be made while Spark runs
+            _chosen[application] = "file://" + tempfile.mkdtemp(prefix="prudentia-")
+        root = _chosen[application]
     return f"{root.rstrip('/')}/prudentia-{spark.sparkContext.applicationId}"
 
 

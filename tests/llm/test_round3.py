@@ -275,3 +275,18 @@ def test_runs_of_long_and_odd_texts(spark):
     want = [(None, [(1, 8, 2)], "x a b c"), (1, [], ""), (2, [], ""), (3, [], ""), (4, [], "a a a a a"), (5, [(0, 6, 1)], "a"), (5, [(0, 6, 1)], "a"), (6, [(1, 1234 * 90, 1234)], f"start {period} end"), (7, [(0, 200_000, 1)], "é"), (8, [], rows[-1][1])]
     assert [r[:3] for r in got] == want
     assert periodic_runs(frame.where("false")).isEmpty()
+
+
+# ---- storage ----------------------------------------------------------------
+
+
+def test_a_local_session_without_a_shared_folder_gets_one(spark):
+    from types import SimpleNamespace
+
+    from prudentia.llm.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    local = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]", applicationId="app-x"))
+    assert shared_dir(local) == shared_dir(local) and shared_dir(local).startswith("file://")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host", applicationId="app-y")))
