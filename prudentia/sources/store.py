@@ -140,7 +140,8 @@ class GraphStore:
         table, bounds = TABLES[name], self.manifest["tables"][name]["bounds"]
         top = f"{name}/{uuid.uuid4().hex}"
         ranged = rows.withColumn("range", range_of(F.col(table.key), bounds)).repartitionByRange("range", *table.sort).sortWithinPartitions("range", *table.sort)
-        writer = ranged.write.partitionBy("range").option("maxRecordsPerFile", 1_000_000)
+        # Without the adaptive size each filter has a megabyte, whatever it holds.
+        writer = ranged.write.partitionBy("range").option("maxRecordsPerFile", 1_000_000).option("parquet.bloom.filter.adaptive.enabled", "true")
         for column in {"rulings": ["id"], "citations": ["citing_id", "cited_id"], "citing": ["citing_id", "cited_id"], "aliases": ["raw", "ruling_id"]}[name]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.folder}/{top}")
