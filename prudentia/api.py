@@ -124,7 +124,8 @@ class CitationGraph:
         return Page(total, offset, [r.asDict() for r in listing.cited_page(edges, self._among(edges, "cited_id"), ident, offset, limit).collect()]).as_dict()
 
     def trace(self, query: str, max_depth: int = 3) -> dict[str, Any]:
-        """How later rulings treated a doctrine, step by step."""
+        """How later rulings treated a doctrine, step by step, with the signals of the
+        rulings shown and how many of all reached ones have which."""
         ident, depth = self._id(query), min(max(max_depth, 1), MAX_DEPTH)
         steps = trace.trace_steps(self.citations, self.rulings, ident, depth)
         first = trace.chain(steps, MAX_STEPS + 1).collect()
@@ -132,7 +133,8 @@ class CitationGraph:
         shown = first[:MAX_STEPS]
         named = sorted({ident, *(r.from_id for r in shown), *(r.to_id for r in shown)})
         lights = signals.signals(self.rulings, self.citations.where(F.col("cited_id").isin(named))).where(F.col("id").isin(named)).select("id", "signal").collect()
-        return {"start": ident, "max_depth": depth, "steps": [r.asDict() | {"quote": trimmed(r.quote)} for r in shown], "omitted": omitted, "signals": {r.id: r.signal for r in lights}}
+        reached = {r.signal: r.n for r in self.trace_signals(query, depth).groupBy("signal").agg(F.count("*").alias("n")).collect()}
+        return {"start": ident, "max_depth": depth, "reached": sum(reached.values()), "reached_by_signal": reached, "steps": [r.asDict() | {"quote": trimmed(r.quote)} for r in shown], "omitted": omitted, "signals": {r.id: r.signal for r in lights}}
 
     def trace_signals(self, query: str, max_depth: int = 3) -> DataFrame:
         """(id, signal) of every ruling that a trace reaches, not only of those in

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prudentia.functions.spans import extract_edges
-from prudentia.functions.text import text_quality, text_status
+from prudentia.functions.text import parse_ruling_id, text_quality, text_status
 from prudentia.operators.listing import top_cited
-from prudentia.schema import UNREAD_CEILING, is_placeholder
+from prudentia.operators.upserts import source_url, stub_rulings
+from prudentia.schema import RULINGS, UNREAD_CEILING, is_placeholder
+from prudentia.sources.shared import new_dir
+from prudentia.sources.store import GraphStore
 
 # How answers name the states of a text.
 STATUS_LABELS = {
@@ -59,6 +62,19 @@ def reclassify_selection(citations: DataFrame, n: int, ceiling: float = UNREAD_C
     return unread.join(top, "cited_id", "left_semi").select("citing_id", "cited_id", "quote")
 
 
+def _judged(documents: DataFrame, read: DataFrame | None, ident: str, text: str) -> DataFrame:
+    docs = documents.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
+    docs = docs.dropDuplicates(["id"]) if read is None else pending(docs, read)
+    return docs.withColumn("text_status", text_status(F.col("text"))).withColumn("text_quality", F.coalesce(text_quality(F.col("text")), F.lit(0.0)))
+
+
+def _report(judged: DataFrame, edges: DataFrame) -> DataFrame:
+    given = edges.groupBy(F.col("citing_id").alias("id")).agg(F.count("*").alias("n_edges"))
+    report = judged.drop("text").join(given, "id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    why = F.when(F.col("text_status") == "unavailable", "no text").when(F.col("text_status") == "garbled", "text below the quality floor")
+    return report.withColumn("error", why)
+
+
 def ingest(documents: DataFrame, read: DataFrame | None = None, ident: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(report, edges) of all documents not yet read.
 
@@ -68,11 +84,59 @@ def ingest(documents: DataFrame, read: DataFrame | None = None, ident: str = "id
     unavailable.  Of documents with one id one is read.  ``read`` (ids) makes a
     stopped batch go on where it was.
     """
-    docs = documents.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
-    docs = docs.dropDuplicates(["id"]) if read is None else pending(docs, read)
-    judged = docs.withColumn("text_status", text_status(F.col("text"))).withColumn("text_quality", F.coalesce(text_quality(F.col("text")), F.lit(0.0)))
+    judged = _judged(documents, read, ident, text)
     edges = extract_edges(judged.where("text_status = 'extracted'"))
-    given = edges.groupBy(F.col("citing_id").alias("id")).agg(F.count("*").alias("n_edges"))
-    report = judged.drop("text").join(given, "id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
-    why = F.when(F.col("text_status") == "unavailable", "no text").when(F.col("text_status") == "garbled", "text below the quality floor")
-    return report.withColumn("error", why), edges
+    return _report(judged, edges), edges
+
+
+#: What a record may tell of a ruling besides its id.
+DESCRIBED = ("caption", "short_name", "decided_on", "decided_year", "source_url", "csjn_doc_id")
+
+
+def ingest_into(store: GraphStore, documents: DataFrame, records: DataFrame | None = None, ident: str = "id", text: str = "text", again: bool = False, source: str = "pipeline") -> tuple[GraphStore, DataFrame]:
+    """(the store after one commit, report): read documents and write back what they
+    say.
+
+    Each document's ruling gets its text's state and quality; its passages become
+    edges; rulings that are cited and that nobody described become stubs, which
+    never overwrite a node.  ``records`` (id and any of :data:`DESCRIBED`) describe
+    the rulings read; where they are silent the stored description stays.  Rulings
+    whose text the store has (extracted or by OCR) aren't read unless ``again``.
+    A document whose id is no ruling's is reported and not stored; of documents,
+    or records, with one id one counts.  Reading the same documents twice leaves
+    the graph as it is.  If another writer commits first, nothing is written.
+
+    Edges and report are written once to shared storage and read back: texts are
+    gone over twice, however many tables the commit has.
+    """
+    spark = store.spark
+    named = documents.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
+    valid = F.coalesce(parse_ruling_id(F.regexp_replace("id", "^fallos:", "")) == F.col("id"), F.lit(False))
+    asked = store.matching("rulings", named.where(valid), "id").select(*[F.col(f.name) for f in RULINGS])
+    done = None if again else asked.where("text_status IN ('extracted', 'ocr')")
+    judged = _judged(named.where(valid), done, "id", "text")
+    folder = new_dir(spark, "ingested")
+    extract_edges(judged.where("text_status = 'extracted'")).write.parquet(f"{folder}/edges")
+    edges = spark.read.parquet(f"{folder}/edges")
+    strange = named.where(~valid).select("id").distinct().select("id", F.lit(None).cast("string").alias("text_status"), F.lit(None).cast("double").alias("text_quality"), F.lit(0).cast("long").alias("n_edges"), F.lit("not a ruling's id").alias("error"))
+    _report(judged, edges).select("id", "text_status", "text_quality", "n_edges", "error").unionByName(strange).write.parquet(f"{folder}/report")
+    report = spark.read.parquet(f"{folder}/report")
+
+    read = report.where("text_status IS NOT NULL").select("id", "text_status", "text_quality")
+    told = records.dropDuplicates(["id"]) if records is not None else spark.createDataFrame([], "id string")
+    told = told.select("id", *[(F.col(c) if c in told.columns else F.lit(None)).cast(RULINGS[c].dataType).alias(f"_{c}") for c in DESCRIBED])
+    volume, page = F.element_at(F.split("id", ":"), 2), F.element_at(F.split("id", ":"), 3)
+    unknown = {"caption": F.format_string("Fallos: %s:%s", volume, page), "decided_year": F.lit(0), "source_url": source_url(volume, page)}
+    described = read.join(told, "id", "left").join(asked.drop("text_status", "text_quality"), "id", "left")
+    nodes = described.select(
+        "id", volume.cast("int").alias("volume"), page.cast("int").alias("page"), "text_status", "text_quality",
+        *[F.coalesce(f"_{c}", c, unknown.get(c, F.lit(None))).alias(c) for c in DESCRIBED],
+    )
+    ends = edges.select(F.col("cited_id").alias("id"))
+    known = store.matching("rulings", ends, "id").select("id").union(read.select("id"))
+    stubs = stub_rulings(edges.select("citing_id", "cited_id"), known)
+    aliases = read.select(F.col("id").alias("raw"), F.col("id").alias("ruling_id"), F.lit("fallos").alias("form"), F.lit("csjn").alias("source"))
+    sources = [s for s in store.meta.get("sources", "").split(" + ") if s]
+    meta = {"sources": " + ".join(dict.fromkeys([*sources, source]))}
+    passages = edges.withColumn("sumario_id", F.lit(None).cast("long"))
+    return store.merge(nodes.unionByName(stubs), passages, aliases, order=["offset"], meta=meta), report

@@ -9,7 +9,9 @@ from prudentia.operators import batches
 from prudentia.operators.model_reading import ModelReader
 from prudentia.plans import text_queries
 from prudentia.plans.derived import GRAPH_SQL, citations, rulings, table
+from prudentia.schema import CITATIONS
 from prudentia.sources.shared import new_dir
+from prudentia.sources.store import GraphStore
 
 
 def pending_rulings(spark, sf_dir):
@@ -46,6 +48,43 @@ def ingest_documents(spark, sf_dir):
     return report.select("id", "text_status", F.round("text_quality", 6).alias("text_quality"), "n_edges", "error")
 
 
+_ingested: dict[tuple[str, str], str] = {}
+
+
+def _ingested_graph(spark, sf_dir) -> GraphStore:
+    """A store with the rulings of the German documents, read before, and a
+    description of every fifth; all documents ingested into it, once a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _ingested:
+        docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+        ident = F.format_string("fallos:%d:%d", 1 + key % 250, 1 + F.floor(key / F.lit(250.0)))
+        cites = F.format_string(" Fallos: %d:%d, %d:%d.", 1 + (key * 7) % 300, 1 + key % 60, 1 + key % 250, 1 + F.floor(key / F.lit(250.0)))
+        made = docs.select(ident.alias("id"), F.concat("text", cites).alias("text"), "lang", "doc_id")
+        stored = made.where("lang = 'de' OR doc_id % 5 = 0").select(
+            "id", F.split("id", ":")[1].cast("int").alias("volume"), F.split("id", ":")[2].cast("int").alias("page"),
+            F.concat(F.lit("caso "), "id").alias("caption"), (1900 + key % 100).cast("int").alias("decided_year"), F.lit("u").alias("source_url"),
+            F.when(F.col("lang") == "de", "ocr").otherwise("unavailable").alias("text_status"),
+        )
+        folder = new_dir(spark, "ingesting")
+        store = GraphStore.create(spark, folder, stored, spark.createDataFrame([], CITATIONS), rows=5_000)
+        batches.ingest_into(store, made, made.where("doc_id % 3 = 0").select("id", F.lit("Tres").alias("short_name")))
+        _ingested[known] = folder
+    return GraphStore(spark, _ingested[known])
+
+
+def ingest_into_graph(spark, sf_dir):
+    """The nodes after all documents were ingested: read, described and stubs."""
+    nodes = _ingested_graph(spark, sf_dir).rulings
+    return nodes.select("id", "volume", "page", "caption", "short_name", "decided_year", "text_status", F.round("text_quality", 6).alias("text_quality"))
+
+
+def ingest_edges_of_graph(spark, sf_dir):
+    """The edges that the ingestion wrote, by both directions of the adjacency."""
+    store = _ingested_graph(spark, sf_dir)
+    one = lambda name: store.table(name).select(F.lit(name).alias("side"), "citing_id", "cited_id", "treatment", "opinion", "method")
+    return one("citations").union(one("citing"))
+
+
 #: What the made model's calls cost, and the budget of a run.
 CALL, LIMIT = 0.01, 4.0
 
@@ -84,6 +123,14 @@ def model_report(spark, sf_dir):
 _WITH_CITATION = "SELECT * REPLACE (text || ' Fallos: ' || (300 + doc_id % 50) || ':' || (1 + doc_id % 999) || '.' AS text) FROM documents WHERE lang IS DISTINCT FROM 'de'"
 _JUDGED = text_queries.SQL["text_quality"].replace("FROM documents", f"FROM ({_WITH_CITATION})")
 
+_RULED = "'fallos:' || (1 + doc_id % 250) || ':' || (1 + doc_id // 250)"
+_MADE = f"""WITH made AS (SELECT *, {_RULED} AS id, 'fallos:' || (1 + doc_id * 7 % 300) || ':' || (1 + doc_id % 60) AS other FROM documents),
+whole AS (SELECT made.* REPLACE (text || ' Fallos: ' || replace(other, 'fallos:', '') || ', ' || replace(id, 'fallos:', '') || '.' AS text) FROM made),
+judged AS ({text_queries.SQL['text_quality'].replace('FROM documents', 'FROM whole')}),
+read AS (SELECT made.*, status, quality FROM made JOIN judged USING (doc_id) WHERE lang IS DISTINCT FROM 'de'),
+edges AS (SELECT DISTINCT id AS citing_id, other AS cited_id FROM read WHERE status = 'extracted' AND other <> id)
+"""
+
 _ASKED = f"""WITH p AS (SELECT *, 'Fallos: ' || (300 + p_partkey % 50) || ':' || (1 + p_partkey % 9000) AS cite FROM part),
 q AS (SELECT p_partkey, replace(lower(cite), ' ', '') AS cited_id, 1 + p_partkey % 9000 AS page,
              replace(list_value({', '.join("'" + t[0].replace("'", "''") + "'" for t in text_queries._TEMPLATES)})[CAST(p_partkey % {len(text_queries._TEMPLATES)} + 1 AS INT)], '%s', cite) AS quote FROM p),
@@ -101,6 +148,14 @@ FROM rulings GROUP BY 1""",
     "reclassify_selection": GRAPH_SQL
     + """, top AS (SELECT cited_id FROM citations GROUP BY 1 ORDER BY count(DISTINCT citing_id) DESC, cited_id LIMIT 50)
 SELECT citing_id, cited_id, quote FROM citations WHERE cited_id IN (SELECT cited_id FROM top) AND confidence <= 0.25 AND sumario_id % 3 <> 0""",
+    "ingest_into_graph": _MADE
+    + """, nodes AS (
+  SELECT id, CASE WHEN doc_id % 5 = 0 THEN 'caso ' || id ELSE replace(id, 'fallos:', 'Fallos: ') END AS caption, CASE WHEN doc_id % 3 = 0 THEN 'Tres' END AS short_name,
+         CASE WHEN doc_id % 5 = 0 THEN 1900 + doc_id % 100 ELSE 0 END AS decided_year, status AS text_status, quality AS text_quality FROM read
+  UNION ALL SELECT id, 'caso ' || id, NULL, 1900 + doc_id % 100, 'ocr', NULL FROM made WHERE lang = 'de'
+  UNION ALL SELECT DISTINCT cited_id, replace(cited_id, 'fallos:', 'Fallos: '), NULL, 0, 'unavailable', NULL FROM edges WHERE cited_id NOT IN (SELECT id FROM made))
+SELECT id, CAST(split_part(id, ':', 2) AS INT) AS volume, CAST(split_part(id, ':', 3) AS INT) AS page, caption, short_name, CAST(decided_year AS INT) AS decided_year, text_status, text_quality FROM nodes""",
+    "ingest_edges_of_graph": _MADE + "SELECT side, citing_id, cited_id, 'mentioned' AS treatment, 'majority' AS opinion, 'rule' AS method FROM edges, (VALUES ('citations'), ('citing')) AS s(side)",
     "ingest_documents": f"""SELECT CAST(doc_id AS VARCHAR) AS id, status AS text_status, quality AS text_quality, CASE status WHEN 'extracted' THEN 1 ELSE 0 END AS n_edges,
        CASE status WHEN 'unavailable' THEN 'no text' WHEN 'garbled' THEN 'text below the quality floor' END AS error FROM ({_JUDGED})""",
 }

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from prudentia.plans import batch_queries, graph_queries, store_queries, text_queries
+from prudentia.plans import batch_queries, evaluation_queries, graph_queries, store_queries, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = graph_queries.SQL | text_queries.SQL | batch_queries.SQL | store_queries.SQL
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES | batch_queries.QUERIES | store_queries.QUERIES
+SQL = graph_queries.SQL | text_queries.SQL | batch_queries.SQL | store_queries.SQL | evaluation_queries.SQL
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | batch_queries.QUERIES | store_queries.QUERIES | evaluation_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
