@@ -3,12 +3,14 @@
 A store is a folder of part files.  Part k holds the documents of one range of
 doc_id, ascending, and parts follow one another in the same order::
 
-    magic "EFTOK1\\0\\0"
+    magic "EFTOK2\\0\\0"
     unsigned 64-bit: bytes of one id (2 where all fit, else 4), ids in the part,
     bytes of the boundary section, bytes of the doc_id section
+    signed 64-bit: the part's smallest doc_id; unsigned 64-bit: documents without
+    a doc_id, which come first
     Elias-Fano sequence: where each document begins, and the total
-    Elias-Fano sequence: doc_id minus the part's smallest one (a signed 64-bit
-    base stands before it); the store needs it to name documents
+    Elias-Fano sequence: doc_id minus the part's smallest one; the store needs it to
+    name documents
     the ids, little-endian unsigned, concatenated
 
 Offsets of single documents come from ``select`` on the boundaries.  Ids are
@@ -26,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prudentia.llm import elias_fano
 from prudentia.llm.storage import new_dir, written
@@ -42,6 +43,8 @@ HEAD = "<8sQQQQqQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Bytes of text that a part file is planned to hold.
 PART_BYTES = 32 << 20
+#: Part files whose sizes are summed together.
+BLOCK = 1024
 
 
 _encoders: dict[str, SegmentEncoder] = {}
@@ -160,15 +163,15 @@ def read_store(manifest: DataFrame) -> DataFrame:
     from its files.
 
     ``start`` counts the ids of all documents before; it needs the totals of
-    the parts before, one number per part file.
+    the parts before, which Spark sums by blocks of parts.
     """
-    spark = manifest.sparkSession
-    before, rows = 0, []
-    for r in manifest.orderBy("part").collect():  # one row per part file
-        rows.append((r.folder, r.path, before))
-        before += r.n_ids
-    schema = T.StructType([T.StructField("folder", T.StringType()), T.StructField("path", T.StringType()), T.StructField("before", T.LongType())])
-    files = spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), "path")
+    block = F.floor(F.col("part") / BLOCK)
+    sums = manifest.groupBy(block.alias("block")).agg(F.sum("n_ids").alias("n"))
+    within, until = Window.partitionBy("block").orderBy("part"), Window.orderBy("block")  # a row for every BLOCK part files
+    sums = sums.select("block", (F.sum("n").over(until) - F.col("n")).alias("blocks_before"))
+    parts = manifest.withColumn("block", block).withColumn("in_block", F.sum("n_ids").over(within) - F.col("n_ids"))
+    files = parts.join(sums, "block").select("folder", "path", (F.col("blocks_before") + F.col("in_block")).alias("before"))
+    files = files.repartition(max(1, manifest.count()), "path")
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
