@@ -16,6 +16,7 @@ SHA-256 of the payload and of the block.
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -64,43 +65,89 @@ class ArcError(ValueError):
     pass
 
 
-def read_arc(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
+#: A record line's address, IP address and date, told by their forms: an address and
+#: a content type may hold blanks.
+_LINE = re.compile(r"(.*) (\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+) (\d{4,14}) (.*)", re.DOTALL)
+_FIRST = FIELDS[1].split()[:4]
+
+
+def arc_fields(line: str, names: list[str]) -> dict[str, str]:
+    """The fields of a record line; :class:`ArcError` if it isn't one.
+
+    Where the fields begin as both versions have them, the IP address and the
+    date are found by their forms, the last such pair; all behind the content
+    type are counted from the right.  Other lists of fields, which say nothing
+    of forms, are counted from the right as a whole.
+    """
+    if names[:4] == _FIRST:
+        found = _LINE.fullmatch(line)
+        parts = [*found.groups()[:3], *found[4].rsplit(" ", len(names) - 4)] if found else []
+    else:
+        parts = line.rsplit(" ", len(names) - 1)
+    if len(parts) != len(names):
+        raise ArcError("a line without the fields stated")
+    if not (parts[-1].isascii() and parts[-1].isdigit()):
+        raise ArcError("no length")
+    return dict(zip(names, parts, strict=True))
+
+
+def read_arc(stream, bad: list[tuple[int, int, str]] | None = None) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, line, block) of each record after the version block.
 
-    The field list that the version block states decides how lines are read.
-    Addresses may hold spaces: fields are counted from the right.  A block that
-    ends early, a line with too few fields or a length that is no number raises
-    :class:`ArcError`.
+    The field list that the version block states decides how lines are read, see
+    :func:`arc_fields`.  Without ``bad`` whatever can't be read raises
+    :class:`ArcError`.  With it (offset, bytes, reason) of that is put there and
+    reading goes on at the next line that is a record's: a line in error costs
+    itself and its block; one that declares more bytes than follow, and an
+    archive without a version block, all to the end.
     """
     at = 0
-    fields: list[str] | None = None
+    names: list[str] | None = None
+    lost: list | None = None  # where, and why, reading went wrong
+
+    def wrong(offset: int, size: int, reason: str) -> None:
+        if bad is None:
+            raise ArcError(f"{reason} at {offset}")
+        bad.append((offset, size, reason))
+
     while line := stream.readline():
         begin, at = at, at + len(line)
-        if not line.strip():
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
+        if not text.strip():
+            continue
+        if names is None:
+            parts = text.split()
+            length = parts[-1] if parts[0].startswith("filedesc://") else ""
+            body = stream.read(int(length)) if length.isascii() and length.isdigit() else b""
+            at += len(body)
+            first, _, rest = body.partition(b"\n")
+            version = first.split()[:1]
+            if version not in ([b"1"], [b"2"]) or not rest.strip():
+                while more := stream.read(1 << 20):
+                    at += len(more)
+                wrong(begin, at - begin, "no version block")
+                return
+            names = rest.split(b"\n")[0].decode("utf-8", "surrogateescape").split()
+            continue
+        try:
+            fields = arc_fields(text, names)
+        except ArcError as error:
+            if bad is None:
+                raise ArcError(f"{error} at {begin}") from None
+            lost = lost or [begin, str(error)]
             continue
-        names = fields or FIELDS[1].split()
-        parts = line.decode("utf-8", "surrogateescape").rstrip("\r\n").rsplit(" ", len(names) - 1)
-        if fields is None:
-            parts = line.decode("utf-8", "surrogateescape").split()
-            if not parts[0].startswith("filedesc://"):
-                raise ArcError("no version block")
-        elif len(parts) != len(names):
-            raise ArcError(f"a line of {len(parts)} fields at {begin}")
-        if not parts[-1].isdigit():
-            raise ArcError(f"no length at {begin}")
-        length = int(parts[-1])
+        if lost:
+            wrong(lost[0], begin - lost[0], lost[1])
+            lost = None
+        length = int(fields[names[-1]])
         block = stream.read(length)
         at += len(block)
         if len(block) != length:
-            raise ArcError(f"{len(block)} of {length} bytes at {begin}")
-        if fields is None:
-            first, _, rest = block.partition(b"\n")
-            version = int(first.split()[0])
-            if version not in FIELDS:
-                raise ArcError(f"version {version}")
-            fields = rest.split(b"\n")[0].decode().split()
-            continue
-        yield begin, dict(zip(names, parts, strict=True)), block
+            wrong(begin, at - begin, f"{len(block)} of {length} bytes")
+            return
+        yield begin, fields, block
+    if lost:
+        wrong(lost[0], at - lost[0], lost[1])
 
 
 def payload_of(line: dict[str, str], block: bytes) -> bytes:
@@ -121,6 +168,7 @@ def record_id(archive: str, offset: int) -> str:
 
 def iso_time(digits: str) -> str:
     """ARC's YYYYMMDDhhmmss in WARC's form; shorter ones are filled up."""
+    digits = digits if digits.isdigit() else ""
     d = (digits + "00000101000000"[len(digits) :])[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
@@ -241,22 +289,22 @@ def write_arcs(pages: DataFrame, version: Column | int = 1) -> DataFrame:
     return written(rows.mapInArrow(write, "folder string, path string, records long"), "arcs")
 
 
-def _each_file(files: DataFrame) -> DataFrame:
-    """One task per archive."""
-    n = max(1, files.count())
-    return files.repartition(n, "path")
+def _each_file(files: DataFrame, n: int | None = None) -> DataFrame:
+    """One task per archive; n: how many there are."""
+    return files.repartition(max(1, files.count() if n is None else n), "path")
 
 
-def arc_index(files: DataFrame) -> DataFrame:
+def arc_index(files: DataFrame, strict: bool = False) -> DataFrame:
     """(folder, path, offset, url, payload_bytes, payload_digest) of every
-    record of ARC files (folder, path)."""
+    record of ARC files (folder, path) that can be read; :func:`arc_errors` has
+    what can't.  ``strict``: that raises instead."""
 
     def scan(batches) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("folder", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
             for f in batch.to_pylist():
                 rows = []
-                for offset, line, block in read_arc(_Lines(f["folder"], f["path"])):
+                for offset, line, block in read_arc(_Lines(f["folder"], f["path"]), None if strict else []):
                     body = payload_of(line, block)
                     rows.append({"folder": f["folder"], "path": f["path"], "offset": offset, "url": line["URL"], "payload_bytes": len(body), "payload_digest": sha256(body).hexdigest()})
                     if len(rows) >= 4096:
@@ -267,6 +315,21 @@ def arc_index(files: DataFrame) -> DataFrame:
     return _each_file(files).mapInArrow(scan, "folder string, path string, offset long, url string, payload_bytes long, payload_digest string")
 
 
+def arc_errors(files: DataFrame) -> DataFrame:
+    """(folder, path, offset, bytes, reason) of whatever in ARC files is no record."""
+
+    def scan(batches) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("folder", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("reason", pa.string())])
+        for batch in batches:
+            for f in batch.to_pylist():
+                bad: list[tuple[int, int, str]] = []
+                for _ in read_arc(_Lines(f["folder"], f["path"]), bad):
+                    pass
+                yield pa.RecordBatch.from_pylist([f | {"offset": o, "bytes": n, "reason": why} for o, n, why in bad], schema=schema)
+
+    return _each_file(files.select("folder", "path")).mapInArrow(scan, "folder string, path string, offset long, bytes long, reason string")
+
+
 def page_of(url: Column) -> Column:
     """The page_id that :func:`write_arcs` put into an address."""
     return F.regexp_extract(url, "#page=(-?[0-9]+)$", 1).try_cast("long")
@@ -290,15 +353,17 @@ def first_of_equal(index: DataFrame) -> DataFrame:
     return joined.withColumn("refers_to", F.when(later, F.col("_first"))).drop("_own", "_digest", "_first")
 
 
-def convert(files: DataFrame) -> DataFrame:
+def convert(files: DataFrame, strict: bool = False) -> DataFrame:
     """Convert ARC files (folder, path) to WARC files in shared storage.
 
     Returns (folder, path, records) of the WARC files, one per ARC file: a
     warcinfo record, then a record per ARC record in the same order.  A revisit
-    names the record it refers to by id, address and date, and keeps no payload.
+    names the record it refers to by its id and keeps no payload.  What is no
+    record (:func:`arc_errors`) is passed over, or raises if ``strict``.  Archives are read twice: for
+    their digests, which are written, and to be converted.
     """
     folder = new_dir(files.sparkSession, "warc")
-    plan = first_of_equal(arc_index(files)).where("refers_to IS NOT NULL")
+    plan = first_of_equal(written(arc_index(files, strict), "arc-index")).where("refers_to IS NOT NULL")
     plan = plan.groupBy("folder", "path").agg(F.collect_list(F.struct("offset", "refers_to")).alias("revisits"))  # of one archive, whose size is bounded
     work = files.select("folder", "path").join(plan, ["folder", "path"], "left")
 
@@ -311,7 +376,7 @@ def convert(files: DataFrame) -> DataFrame:
                     info = f"software: prudentia\r\nformat: WARC File Format 1.1\r\nconverted-from: {f['path']}\r\n".encode()
                     out.write(_member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f["path"], -1)), ("WARC-Date", iso_time("")), ("Content-Type", "application/warc-fields")], info)))
                     n = 0
-                    for offset, line, block in read_arc(_Lines(f["folder"], f["path"])):
+                    for offset, line, block in read_arc(_Lines(f["folder"], f["path"]), None if strict else []):
                         body = payload_of(line, block)
                         head = block[: len(block) - len(body)]
                         digest = sha256(body).hexdigest()
@@ -327,7 +392,7 @@ def convert(files: DataFrame) -> DataFrame:
                         n += 1
                 yield pa.RecordBatch.from_pylist([{"folder": folder, "path": name, "records": n}], schema=_STAMP)
 
-    return written(_each_file(work).mapInArrow(write, "folder string, path string, records long"), "warcs")
+    return written(_each_file(work, files.count()).mapInArrow(write, "folder string, path string, records long"), "warcs")
 
 
 def warc_index(files: DataFrame) -> DataFrame:

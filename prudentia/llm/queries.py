@@ -60,7 +60,7 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     version = F.when(F.col("page_id") % 2 == 0, F.lit(1)).otherwise(F.lit(2))  # both forms of the legacy format
-    warcs = convert(write_arcs(pages, version))
+    warcs = convert(write_arcs(pages, version), strict=True)
     return warc_index(warcs).select(page_of(F.col("url")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 

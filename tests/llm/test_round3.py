@@ -290,3 +290,47 @@ def test_a_local_session_without_a_shared_folder_gets_one(spark):
     assert shared_dir(local) == shared_dir(local) and shared_dir(local).startswith("file://")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host", applicationId="app-y")))
+
+
+# ---- 7 ---------------------------------------------------------------------
+
+
+def test_a_trigram_met_more_often_than_two_bytes_count(spark):
+    """No count has a ceiling: a document that says a word 70,000 times."""
+    import pyarrow as pa
+
+    from prudentia.llm import word_model
+    from prudentia.llm.textscan import column_bytes, mix
+    from tests.llm import brute
+
+    docs = {0: ("en", ["a"] * 70_000 + ["b"]), 1: ("en", ["a"] * 66_000 + ["c", "a", "a", "b"]), 2: ("en", ["b", "a", "a", "c"]), 3: ("en", ["a", "a", "a"])}
+
+    def turn_of(lang, word):
+        w, of, _, _ = word_model._word_hashes(*column_bytes(pa.array([word.replace("<", "x")])), [lang])
+        return int(mix(of + np.uint64(1))[0] if word == "<" else w[0]) % word_model.ROUNDS
+
+    rows = [(i, lang, " ".join(w) + " ") for i, (lang, w) in docs.items()]
+    data, offsets = column_bytes(pa.array([r[2] for r in rows]))
+    keys = word_model.doc_keys(data, offsets, [r[1] for r in rows]).tolist()
+    want = brute.kneser_ney_bits(docs, turn_of, lambda w: 1.5 * (len(w) + 1))
+    found = word_model.word_bits(spark.createDataFrame(rows, "doc_id long, lang string, text string"), lambda data, offsets, languages, begin, end, doc: (end - begin) * 1.5, sum(len(r[2]) for r in rows))
+    got = {r.doc: r.word_bits for r in found.collect()}
+    assert all(abs(got[k] - want[i]) < 1e-5 for i, k in enumerate(keys))
+
+
+# ---- 2 ---------------------------------------------------------------------
+
+
+def test_starts_over_many_blocks_of_parts(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from prudentia.llm import token_store
+
+    monkeypatch.setattr(token_store, "BLOCK", 2)
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(60)], "doc_id long, text string")
+    manifest = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 7)
+    rows = sorted(token_store.read_store(manifest).collect())
+    assert manifest.count() > 4 and [r.doc_id for r in rows] == list(range(60))
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
