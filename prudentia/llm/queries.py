@@ -101,7 +101,7 @@ def op8_wordpiece_counts(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     from prudentia.llm.token_counts import count_tokens
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json")).drop("text")
+    return count_tokens(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
 
 
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

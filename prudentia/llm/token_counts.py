@@ -4,6 +4,8 @@ The vocabulary is a trie.  Its failure links say, for each node, which node
 stands for what is left after popping the longest tokens from the node's
 string; how many tokens are popped is stored with the link.  A word is then
 read once, byte by byte, and only counts are added up: no piece is ever built.
+Words are read side by side; where few are left that are longer, each is read
+on by itself, so that a word of any length takes time in proportion to it.
 
 Words are whitespace-separated, ASCII letters lower-cased.  A word-end symbol
 closes each, so tokens that end words and tokens that don't stay apart.
@@ -11,6 +13,7 @@ closes each, so tokens that end words and tokens that don't stay apart.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +27,8 @@ from prudentia.llm.textscan import LOWER, chunks, column_bytes, sums, words
 
 END = 256
 SYMBOLS = 257
+#: Words below which a step over all of them costs more than one after another.
+FEW = 128
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -83,6 +88,7 @@ class Automaton:
             queue.extend((node, c, v) for c, v in children[node].items())
         self._fail, self._pops = np.array(fail), np.array(pops)
         keys = np.array(sorted(v * SYMBOLS + c for v in range(n) for c in children[v]), dtype=np.int64)
+        self._alone = {v * SYMBOLS + c: to for v in range(n) for c, to in children[v].items()}, fail, pops
         self._keys = np.append(keys, np.iinfo(np.int64).max)
         self._next = np.array([children[k // SYMBOLS][k % SYMBOLS] for k in keys.tolist()] + [-1])
 
@@ -91,19 +97,40 @@ class Automaton:
         place = np.searchsorted(self._keys, key)
         return np.where(self._keys[place] == key, self._next[place], -1)
 
+    def _read_on(self, node: int, rest: bytes) -> tuple[int, int]:
+        """(node, tokens popped) after ``rest`` and the word's end, read from
+        ``node``; the node is -1 where no token fits."""
+        go, fail, pops = self._alone
+        popped = 0
+        for symbol in itertools.chain(rest, (END,)):
+            while (to := go.get(node * SYMBOLS + symbol)) is None:
+                if fail[node] < 0:
+                    return -1, popped
+                popped += pops[node]
+                node = fail[node]
+            node = to
+        return node, popped
+
     def count(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Counts for the words ``data[bounds[i]:bounds[i + 1]]``, all read in
-        step, longest first so that the ones still being read are a prefix."""
+        step, longest first so that the ones still being read are a prefix; the
+        last few are read on one by one."""
         sizes = np.diff(bounds)
         order = np.argsort(-sizes, kind="stable")
         sizes, begins = sizes[order], bounds[:-1][order]
         node = np.zeros(len(order), dtype=np.int64)
         total = np.zeros(len(order), dtype=np.int64)
         dead = np.zeros(len(order), dtype=bool)
-        data = np.append(data, np.uint8(0)).astype(np.int64)
+        read = np.append(data, np.uint8(0))
         for i in range(int(sizes[0]) + 1 if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -i, "right"))
-            symbol = np.where(sizes[:live] > i, data[np.minimum(begins[:live] + i, len(data) - 1)], END)
+            if live < FEW:
+                for k in np.flatnonzero(~dead[:live]).tolist():
+                    at, popped = self._read_on(int(node[k]), read[begins[k] + i : begins[k] + sizes[k]].tobytes())
+                    node[k], dead[k] = max(at, 0), at < 0
+                    total[k] += popped
+                break
+            symbol = np.where(sizes[:live] > i, read[np.minimum(begins[:live] + i, len(read) - 1)].astype(np.int64), END)
             todo = np.flatnonzero(~dead[:live])
             while len(todo):
                 to = self._step(node[todo], symbol[todo])
@@ -138,17 +165,19 @@ def automaton(path: str) -> Automaton:
     return _automata[path]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``n_words``, ``n_tokens``, ``longest_word_tokens`` and ``n_unknown``
     (words without a spelling; they count as one token), all long.
 
     A null or empty text has 0 of each.  Other columns and repeated rows pass
     unchanged; columns of these names come back with ``_input`` behind them.
-    An empty table gives an empty result.
+    Without ``keep_text`` the text isn't returned.  An empty table gives an
+    empty result.
     """
     names = ["n_words", "n_tokens", "longest_word_tokens", "n_unknown"]
     docs = aside(docs, names, (text,))
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+    kept = [c for c in docs.columns if keep_text or c != text]
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name in kept], *[T.StructField(n, T.LongType()) for n in names]])
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocabulary)
@@ -172,6 +201,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             if filled.any():
                 longest[filled] = np.maximum.reduceat(own, first[:-1][filled])
             made = [np.diff(first), sums(own, first), longest, sums(unknown, first)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(m, pa.int64()) for m in made]], [*part.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(m, pa.int64()) for m in made]], [*kept, *names])
 
     return docs.mapInArrow(count, schema)

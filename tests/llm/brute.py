@@ -91,11 +91,13 @@ def water_fill(sizes, weights, cap):
     return target
 
 
-def greedy(symbols, tokens):
-    """Longest-match token count, -1 if there is none."""
+def greedy(symbols, tokens, longest=None):
+    """Longest-match token count, -1 if there is none; ``longest`` is the length
+    of the longest token, if known."""
+    longest = longest or len(symbols)
     at = n = 0
     while at < len(symbols):
-        end = next((j for j in range(len(symbols), at, -1) if symbols[at:j] in tokens), None)
+        end = next((j for j in range(min(len(symbols), at + longest), at, -1) if symbols[at:j] in tokens), None)
         if end is None:
             return -1
         at, n = end, n + 1

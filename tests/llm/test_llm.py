@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import time
 from hashlib import sha256
 from zlib import crc32
 
@@ -481,6 +482,31 @@ def test_token_counts_equal_greedy_matching(spark):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(20)]
         got = Automaton(own).count(np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0] + [len(s) for s in strings]))
         assert got.tolist() == [brute.greedy((*s, END), own) for s in strings]
+        many = strings * 10  # enough to be read side by side for a while
+        got = Automaton(own).count(np.frombuffer(b"".join(many), np.uint8), np.cumsum([0] + [len(s) for s in many]))
+        assert got.tolist() == [brute.greedy((*s, END), own) for s in many]
+
+
+def test_long_words_take_time_in_proportion(spark):
+    from prudentia.llm.token_counts import END, automaton, count_tokens, load_vocabulary
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(3)
+    word = rng.integers(97, 123, 80_000).astype(np.uint8)
+    machine = automaton(path)
+    began = time.process_time()
+    got = machine.count(word, np.array([0, len(word)]))
+    assert time.process_time() - began < 0.5
+    tokens = set(load_vocabulary(path))
+    assert got.tolist() == [brute.greedy((*word.tolist(), END), tokens, max(map(len, tokens)))]
+    whole = word.tobytes().decode() * 25  # 2 MB without a blank, and 20 MB of words
+    short = ("tokens are counted " * 100 + "\n") * 10_500
+    docs = spark.createDataFrame([(1, whole, 7), (2, short, 7), (3, None, 7)], "doc_id long, text string, n_words int")
+    rows = {r.doc_id: r for r in count_tokens(docs, path, keep_text=False).collect()}
+    assert rows[1].n_words == 1 and rows[1].n_tokens == machine.count(np.frombuffer(whole.encode(), np.uint8), np.array([0, len(whole)]))[0]
+    assert rows[2].n_words == 3_150_000 and rows[2].n_tokens == 1_050_000 * sum(brute.greedy((*w.encode(), END), tokens) for w in ("tokens", "are", "counted"))
+    assert (rows[3].n_words, rows[3].n_tokens, rows[3].n_words_input) == (0, 0, 7)
+    assert count_tokens(docs.limit(0), path).collect() == []
 
 
 # ---- 9: nearest neighbours -------------------------------------------------
