@@ -37,6 +37,9 @@ GRAM = 24
 _ORDER_BITS = 34
 #: Different segments above which a group is cut further.
 HOT = 2000
+#: Share of all segments, as one in this many, above which an anchor is split,
+#: and the parts it is split into.
+LARGE, SPLIT = 4096, 64
 #: Windows of the runs that hot groups are cut into, from level to level.
 LEVELS = (16, 4, 1)
 #: Bytes that are merged at once, and bytes of one shard.
@@ -137,13 +140,24 @@ def _combined(found: DataFrame) -> DataFrame:
 
 def _groups(found: DataFrame) -> DataFrame:
     """(a, s, n, lead, row, at, w, different) of the segments whose anchor occurs
-    twice or more, each once; ``different`` counts those of the anchor."""
-    dealt = _combined(found).repartition("a")
+    twice or more, each once; ``different`` counts those of the anchor.
+
+    Anchors that hold more than one in ``LARGE`` of all segments, so fewer than
+    ``LARGE`` of them, are dealt to ``SPLIT`` tasks each.
+    """
+    large = F.count("*") * LARGE > found.count()
+    hot = written(found.groupBy("a").agg(large.alias("_hot")).where("_hot"), "hot")  # fewer than LARGE rows
+    split = F.when(F.col("_hot"), F.pmod("s", F.lit(SPLIT))).otherwise(F.lit(0).cast("long"))
+    dealt = _combined(found).join(F.broadcast(hot), "a", "left").withColumn("_deal", split).repartition("a", "_deal")
     # one of the equal places, all from the same row: the least by (row, at)
-    each = dealt.groupBy("a", "s").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("lead").alias("lead"), F.min(F.struct("row", "at")).alias("place"))
-    own = W.partitionBy("a")
+    each = dealt.groupBy("a", "_deal", "s").agg(F.max("_hot").alias("_hot"), F.sum("w").alias("w"), F.max("n").alias("n"), F.max("lead").alias("lead"), F.min(F.struct("row", "at")).alias("place"))
+    own = W.partitionBy("a", "_deal")
     counted = each.withColumn("total", F.sum("w").over(own)).withColumn("different", F.count("*").over(own))
-    return counted.where("total > 1").select("a", "s", "n", "lead", "place.row", "place.at", "w", "different")
+    counted = written(counted.where("total > 1 OR _hot").select("a", "s", "n", "lead", "place.row", "place.at", "w", "_hot", "total", "different"), "groups")
+    # a split anchor's parts are summed, and told to all of them
+    whole = counted.where("_hot").groupBy("a").agg(F.sum("w").alias("_total"), F.count("*").alias("_different"))
+    told = counted.join(F.broadcast(whole), "a", "left")
+    return told.where("coalesce(_total, total) > 1").select("a", "s", "n", "lead", "row", "at", "w", F.coalesce("_different", "different").alias("different"))
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,7 +260,7 @@ def _shorter(bodies: DataFrame, windows: int) -> DataFrame:
 def _runs(docs: DataFrame, found: DataFrame, level: int) -> DataFrame:
     """(a, s, begin, end): runs of repeated windows of segments (a, s, n, lead,
     row, at, w), relative to the segment."""
-    groups = written(_groups(found), "groups")
+    groups = _groups(found)
     out = groups.where("different = 1").select("a", "s", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
     out = out.union(_merged(_cut(docs, groups.where(f"different BETWEEN 2 AND {HOT}"))))
     hot = groups.where(f"different > {HOT}")

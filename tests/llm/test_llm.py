@@ -77,11 +77,12 @@ def test_common_prefixes_of_the_merge():
         assert common[k] == shared
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "large"), [(2000, 4096), (2, 4096), (2, 1)])
+def test_suffix_dedup(spark, monkeypatch, hot, large):
     from prudentia.llm import suffix_dedup
 
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)  # 4096: every anchor of so few is split, 1: none
     docs = small_docs(spark, 60).select("doc_id", "text")
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefg ") for _ in range(300))
@@ -93,6 +94,20 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == brute.without_repeats(texts_of(docs), 200)
 
 
+def test_suffix_dedup_of_a_long_text(spark):
+    from prudentia.llm import suffix_dedup
+
+    rng = np.random.default_rng(4)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, long = letters(450), letters(1_300_000)
+    cut = suffix_dedup.SCAN_BYTES
+    long = long[: cut - 200] + passage + long[cut : 2 * cut - 100] + passage[:250] + long[2 * cut :]  # over both ends of a scan
+    docs = spark.createDataFrame([(1, long), (2, letters(30) + passage[100:] + letters(40)), (3, letters(3000))], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, keep_text=False).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == brute.without_repeats(texts_of(docs), 200)
+    assert {r.doc_id: r.n_spans for r in got} == {1: 2, 2: 1, 3: 0}
+
+
 def test_suffix_dedup_keeps_rows_and_columns(spark):
     from prudentia.llm.suffix_dedup import remove_repeats
 
