@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prudentia.functions.text import parse_citing, ruling_key, strip_html
-
+from prudentia.functions.text import normalize_caption, parse_citing, ruling_key, short_name_key, strip_html
+from prudentia.schema import CITATIONS, RULINGS
+from prudentia.sources.store import GraphStore
 
 MAX_PDF_BYTES = 64 << 20
 
@@ -49,13 +50,41 @@ def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = ()) -> Dat
     ).where("id IS NOT NULL AND sumario_id IS NOT NULL")
 
 
+_FIXTURE = T.StructType(
+    [
+        T.StructField("rulings", T.ArrayType(RULINGS)),
+        T.StructField("aliases", T.ArrayType(T.ArrayType(T.StringType()))),
+        T.StructField("edges", T.ArrayType(CITATIONS)),
+    ]
+)
+
+
 def read_fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rulings, edges, aliases) of a JSON document of hand-read cases."""
-    doc = spark.read.option("multiLine", True).json(path)
-    rulings = doc.select(F.explode("rulings").alias("r")).select("r.*")
-    edges = doc.select(F.explode("edges").alias("e")).select("e.*")
-    aliases = doc.select(F.explode("aliases").alias("a")).select(F.col("a")[0].alias("raw"), F.col("a")[1].alias("form"), F.col("a")[2].alias("ruling_id"))
-    return rulings, edges, aliases
+    """(rulings, edges, aliases) of JSON documents of hand-read cases.
+
+    Aliases are the stated ones, (form as written, kind, ruling), and what each
+    ruling is known by anyway: its id, its caption and its short name as they are
+    looked up.  Lists that a document lacks are empty; an alias without a form or
+    a ruling, and a ruling or edge without ids, are left out.  A document is
+    one row until it is taken apart, as fixtures are small files.
+    """
+    doc = spark.read.option("multiLine", True).schema(_FIXTURE).json(path)
+    rulings = doc.select(F.explode("rulings").alias("r")).select("r.*").where("id IS NOT NULL")
+    edges = doc.select(F.explode("edges").alias("e")).select("e.*").where("citing_id IS NOT NULL AND cited_id IS NOT NULL")
+    known = F.array(*[F.struct(raw.alias("raw"), F.lit(form).alias("form")) for form, raw in (("fallos", F.col("id")), ("caption", normalize_caption(F.col("caption"))), ("short_name", short_name_key(F.col("short_name"))))])
+    own = rulings.select(F.col("id").alias("ruling_id"), F.explode(known).alias("a")).select("a.raw", "ruling_id", "a.form")
+    stated = doc.select(F.explode("aliases").alias("a")).select(F.get("a", F.lit(0)).alias("raw"), F.get("a", F.lit(2)).alias("ruling_id"), F.get("a", F.lit(1)).alias("form"))
+    aliases = stated.union(own).where("length(trim(raw)) > 0 AND ruling_id IS NOT NULL").distinct()
+    return rulings, edges, aliases.withColumn("source", F.lit("manual"))
+
+
+def load_fixture(store: GraphStore, path: str) -> GraphStore:
+    """The store after one commit that merges the hand-read cases into it; loading
+    them again changes no row."""
+    rulings, edges, aliases = read_fixture(store.spark, path)
+    earlier = [s for s in store.meta.get("sources", "").split(" + ") if s]
+    sources = " + ".join(dict.fromkeys([*earlier, "fixture"]))
+    return store.merge(rulings, edges, aliases, meta={"sources": sources})
 
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
