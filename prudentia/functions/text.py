@@ -12,31 +12,31 @@ _MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 _FOLDED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
 
 # Patterns of the documents' and captions' conventions.
-_RULING = r"(?i)^(?:fallos\s*:?\s*)?(\d{1,3})\s*:\s*(\d{1,4})$"
+_RULING = r"(?i)^(?:fallos\s*:?\s*)?(\d{1,3})\s*:\s*(\d{1,%d})$"
 _MODERN = r"^([A-Z]{2,4})\s*(\d{3,7})\s*/\s*(\d{4})(?:\s*/\s*([A-Z0-9]{2,8}))?$"
 _CLASSIC = r"^([A-Z])\.?\s*(\d{1,4})\.?\s*([IVXLCDM]{1,8})\.?(?:\s*([A-Z]{2,4})\.?)?$"
 _ROMAN = r"^[IVXLCDM]{1,8}\.?$"
 _NOISE = r"(?iU)(?:\bs/|\bc/|\by\s+otros?\b|\by\s+otras?\b|\bs\.?a\.?\b|\bs\.?r\.?l\.?\b|\bcausa\s+n[°º]?\s*\d+\b|\brecurso\s+de\s+hecho\b|\bexpte\.?)"
 _TOKEN = r"""^[A-Za-zÁÉÍÓÚÑÜáéíóúñü][A-Za-zÁÉÍÓÚÑÜáéíóúñü.,;:()«»"'\-]*$"""
 _VOWEL = r"[aeiouáéíóúAEIOUÁÉÍÓÚ]"
-_CITING_LINK = r">\s*Fallos:\s*(\d{1,3}):(\d{1,4})\s*<"
+_CITING_LINK = r">\s*Fallos:\s*(\d{1,3}):(\d{1,%d})\s*<"
 
 
 def _collapsed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
-def ruling_key(volume: Column, page: Column) -> Column:
+def ruling_key(volume: Column, page: Column, last_page: int = MAX_PAGE) -> Column:
     """The id of a position in range, else null."""
-    good = volume.between(1, MAX_VOLUME) & page.between(1, MAX_PAGE)
+    good = volume.between(1, MAX_VOLUME) & page.between(1, last_page)
     return F.when(good, F.concat(F.lit("fallos:"), volume.cast("string"), F.lit(":"), page.cast("string")))
 
 
-def parse_ruling_id(raw: Column) -> Column:
+def parse_ruling_id(raw: Column, last_page: int = MAX_PAGE) -> Column:
     """``Fallos: 332:1963`` or ``332:1963`` as an id, the whole text or null."""
     text = F.btrim(raw)
-    number = lambda k: F.regexp_extract(text, _RULING, k).try_cast("int")
-    return ruling_key(number(1), number(2))
+    number = lambda k: F.regexp_extract(text, _RULING % len(str(last_page)), k).try_cast("int")
+    return ruling_key(number(1), number(2), last_page)
 
 
 def strip_accents(text: Column) -> Column:
@@ -99,10 +99,11 @@ def strip_html(value: Column) -> Column:
     return F.coalesce(_collapsed(F.regexp_replace(value, "<[^>]+>", " ")), F.lit(""))
 
 
-def parse_citing(html: Column) -> Column:
+def parse_citing(html: Column, last_page: int = MAX_PAGE) -> Column:
     """Ids of the rulings that a list of links names, each once, in order."""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(_CITING_LINK), 1).alias("v"), F.regexp_extract_all(html, F.lit(_CITING_LINK), 2).alias("p"))
-    ids = F.transform(pairs, lambda x: ruling_key(x["v"].cast("int"), x["p"].cast("int")))
+    link = F.lit(_CITING_LINK % len(str(last_page)))
+    pairs = F.arrays_zip(F.regexp_extract_all(html, link, 1).alias("v"), F.regexp_extract_all(html, link, 2).alias("p"))
+    ids = F.transform(pairs, lambda x: ruling_key(x["v"].cast("int"), x["p"].cast("int"), last_page))
     return F.coalesce(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())), F.array().cast("array<string>"))
 
 

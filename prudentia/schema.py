@@ -43,6 +43,8 @@ MODEL_CEILING = 0.70
 MAX_EVIDENCE, MAX_STEPS, MAX_DEPTH = 10, 40, 6
 DEFAULT_LIMIT, MAX_LIMIT, MAX_QUERY = 20, 100, 300
 MAX_VOLUME, MAX_PAGE = 500, 9999
+#: The bound where a page isn't read out of a text, but looked up or stated as a number.
+ANY_PAGE = 999_999_999
 PLACEHOLDER_QUOTE = "Referencia publicada por la CSJN"
 
 RULINGS = T.StructType(
