@@ -102,8 +102,8 @@ def checked_citations(log: DataFrame) -> DataFrame:
     )
 
 
-def checked_rulings(log: DataFrame) -> DataFrame:
-    return log.withColumn("reason", _first_of((~F.col("volume").between(1, MAX_VOLUME), "volume"), (~F.col("page").between(1, MAX_PAGE), "page"), (F.col("caption").isNull(), "caption"), (~F.col("text_status").isin(*TEXT_STATUSES), "text status")))
+def checked_rulings(log: DataFrame, last_page: int = MAX_PAGE) -> DataFrame:
+    return log.withColumn("reason", _first_of((~F.col("volume").between(1, MAX_VOLUME), "volume"), (~F.col("page").between(1, last_page), "page"), (F.col("caption").isNull(), "caption"), (~F.col("text_status").isin(*TEXT_STATUSES), "text status")))
 
 
 def checked_aliases(log: DataFrame) -> DataFrame:

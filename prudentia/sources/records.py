@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudentia.functions.text import normalize_caption, parse_citing, ruling_key, short_name_key, strip_html
-from prudentia.schema import CITATIONS, RULINGS
+from prudentia.schema import CITATIONS, MAX_PAGE, RULINGS
 from prudentia.sources.store import GraphStore
 
 MAX_PDF_BYTES = 64 << 20
@@ -26,16 +26,17 @@ _RECORD = T.StructType(
 )
 
 
-def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = (), last_page: int = MAX_PAGE) -> DataFrame:
     """API records (JSON text) as typed rows, with the columns ``keep`` of the
-    input; records without a position in range are left out."""
+    input; records without a position in range (pages up to ``last_page``) are left
+    out."""
     r = raw.select(*keep, F.from_json(value, _RECORD).alias("r")).select(*keep, "r.*")
     filled = lambda c: F.nullif(F.btrim(F.col(c)), F.lit(""))
     date = filled("fechaString")
     year = F.coalesce("anioFallo", F.nullif(F.regexp_extract(date, r"(\d{4})$", 1), F.lit("")).cast("int"), F.lit(0))
     return r.select(
         F.col("id").alias("sumario_id"),
-        ruling_key(F.col("tomo"), F.col("pagina")).alias("id"),
+        ruling_key(F.col("tomo"), F.col("pagina"), last_page).alias("id"),
         F.col("tomo").alias("volume"),
         F.col("pagina").alias("page"),
         F.coalesce(filled("caratulaWeb"), filled("autos"), F.lit("")).alias("caption"),
@@ -45,7 +46,7 @@ def parse_records(raw: DataFrame, value: str, keep: tuple[str, ...] = ()) -> Dat
         F.col("idFallo").alias("csjn_doc_id"),
         strip_html(F.col("texto")).alias("text"),
         *[F.coalesce(F.btrim(F.col(c)), F.lit("")).alias(n) for c, n in (("voces", "voices"), ("stringVotosMayoria", "votes_majority"), ("stringVotosVoto", "votes_concurrence"), ("stringVotosDisidencia", "votes_dissent"), ("stringVotosDisidenciaParcial", "votes_partial_dissent"))],
-        parse_citing(F.col("linksCitantes")).alias("citing"),
+        parse_citing(F.col("linksCitantes"), last_page).alias("citing"),
         *keep,
     ).where("id IS NOT NULL AND sumario_id IS NOT NULL")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prudentia.operators.upserts import aliases_of_records, checked_aliases, checked_citations, checked_rulings, edges_of_records, fold_aliases, fold_citations, fold_rulings, source_url, stub_rulings
-from prudentia.schema import RULINGS
+from prudentia.schema import MAX_PAGE, RULINGS
 from prudentia.sources.records import parse_records
 
 
@@ -35,11 +35,11 @@ def record_rulings(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _append(records: DataFrame, folder: str, number: int) -> None:
+def _append(records: DataFrame, folder: str, number: int, last_page: int = MAX_PAGE) -> None:
     """Put what the records of a batch state, in place of what the same batch may
     have put before it was broken off."""
     stated = (
-        ("rulings", checked_rulings(record_rulings(records, ("place",)))),
+        ("rulings", checked_rulings(record_rulings(records, ("place",)), last_page)),
         ("aliases", checked_aliases(aliases_of_records(records, ("place",)))),
         ("citations", checked_citations(edges_of_records(records, ("place",)))),
     )
@@ -65,18 +65,19 @@ def ingest(stream: DataFrame, value: str, folder: str, checkpoint: str) -> Strea
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_pages(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def ingest_pages(stream: DataFrame, folder: str, checkpoint: str, last_page: int = MAX_PAGE) -> StreamingQuery:
     """Append the records of a stored crawl's stream to the logs in ``folder``, in
     the crawl's order; then the state of its pages to ``folder/pages``, last, so
-    that a page counts as read only when what it states is stored."""
+    that a page counts as read only when what it states is stored.  Records count
+    up to page ``last_page`` of a volume."""
 
     def append(batch: DataFrame, number: int) -> None:
         whole = [F.col(c).cast("long") for c in ("run", "volume", "start", "position")]
         batch = batch.persist()
         try:
             placed = batch.where("record IS NOT NULL").select("record", F.array(*whole).alias("place"))
-            records = parse_records(placed, "record", ("place",)).persist()
-            _append(records, folder, number)
+            records = parse_records(placed, "record", ("place",), last_page).persist()
+            _append(records, folder, number, last_page)
             records.unpersist()
             pages = batch.select("volume", "total", "start", "state").distinct()
             pages.write.mode("overwrite").parquet(f"{folder}/pages/batch={number}")
