@@ -52,6 +52,15 @@ RULES = [
 ]
 # Rules whose own words negate, and the patterns of the guards.
 SELF_NEGATING = {"no-es-compatible-con-el-criterio", "no-comparte-la-doctrina", "no-resulta-aplicable-al-caso", "circunstancias-distintas"}
+# Of these stems one stands in whatever a rule matches, in lower case.
+STEMS = [
+    ("apartarse",), ("apart",), ("abandonar", "dejar", "revisar"), ("compatible",), ("modificar", "rectificar", "variar"), ("comparte",),
+    ("resuelta",), ("resuelto", "decidido"), ("doctrina",), ("conform", "arreglo"), ("sentido",), ("tribunal", "corte"),
+    ("doctrina",), ("aplicar",), ("aplicaci", "aplicable"), ("precedente",), ("doctrina",), ("doctrina",),
+    ("aplicable",), ("diferencia", "analog", "circunstancias"), ("limitar", "circunscribir", "restringir", "acotar"), ("aplicable",), ("aplicable",), ("objetable", "criticable", "objeto"),
+]
+# Letters that match an i, s or k in any case, and that lower() doesn't fold to it.
+ODD_CASE = "[İıſ\u212a]"
 NEGATOR = r"\b(?:no|nunca|jam[áa]s|tampoco|sin\s+que\s+corresponda)\s+(?:\w+\s+){0,3}$"
 RECITAL = r"""^\W{0,4}(?:as[íi]\s+|y\s+|luego\s+|despu[ée]s\s+|posteriormente\s+){0,2}(?:en\s+\d{4}\s*,?\s+)?en\s+(?:el\s+)?(?:caso\s+|precedente\s+|autos\s+|re\s+|la\s+causa\s+)?["“'«]"""
 APPROVING = r"(?:\bconf\.|\bcfr\.|\bconforme\b|\barg\.|\bv[ée]ase\b|\bcon\s+cita\s+de\b|\ben\s+igual\s+sentido\b|[(\[{]\s*doctrina\s+de\b)[^.;]{0,20}$"
@@ -92,8 +101,10 @@ def strongest(text: str) -> tuple | None:
     Only the first hit of a rule counts, and not if a negation stands before it
     (unless the rule's own words negate).
     """
-    hits = []
+    hits, folded, odd = [], text.lower(), _pattern(ODD_CASE, 0).search(text)
     for place, rule in enumerate(RULES):
+        if not odd and not any(stem in folded for stem in STEMS[place]):
+            continue
         hit = _pattern(rule[4]).search(text)
         if hit and (rule[1] in SELF_NEGATING or not _pattern(NEGATOR).search(text[: hit.start()])):
             hits.append((-rule[2], place))

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to some tasks for each core: what is made of a row may be far more
+    work than the file it stands in, which is one task's by its size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def ruling_id(key):
     """The id of the ruling made from a part key."""
     return F.format_string("fallos:%d:%d", 300 + F.pmod(key, F.lit(50)), 1 + F.floor(key / F.lit(50.0)))

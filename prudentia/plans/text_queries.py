@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prudentia.functions import spans, text, treatment
 from prudentia.operators import mining, resolve
-from prudentia.plans.derived import GRAPH_SQL, rulings, table
+from prudentia.plans.derived import GRAPH_SQL, dealt, rulings, table
 from prudentia.sources.shared import new_dir
 from prudentia.sources.text_index import TextIndex
 
@@ -116,7 +116,7 @@ def passages(spark, sf_dir):
     key = F.col("p_partkey")
     cite = F.format_string("Fallos: %d:%d", 300 + key % 50, 1 + key % 9000)
     template = F.element_at(F.array(*[F.lit(t[0]) for t in _TEMPLATES]), (key % len(_TEMPLATES) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(key.alias("key"), F.replace(template, F.lit("%s"), cite).alias("quote"), (F.instr(template, "%s") - 1).alias("position"), cite.alias("cited"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(key.alias("key"), F.replace(template, F.lit("%s"), cite).alias("quote"), (F.instr(template, "%s") - 1).alias("position"), cite.alias("cited"))
 
 
 def classify_passages(spark, sf_dir):
@@ -145,7 +145,7 @@ def find_citations(spark, sf_dir):
         F.format_string("Fallos 600:1 y Fallos: 450:%d", key % 500 + 1),
         F.lit(" no guarda analogia con el tema."),
     )
-    docs = table(spark, sf_dir, "part").select(F.format_string("fallos:999:%d", key).alias("id"), body.alias("text"))
+    docs = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.format_string("fallos:999:%d", key).alias("id"), body.alias("text"))
     return spans.extract_edges(docs).select("citing_id", "cited_id", "opinion", "treatment", "confidence", "rule")
 
 
@@ -153,7 +153,7 @@ def quotes(spark, sf_dir):
     """Passages around the citations of the made documents, with their length."""
     key = F.col("p_partkey")
     body = F.concat(F.repeat(F.concat(F.col("p_name"), F.lit(" ")), 40), F.lit(". Que Fallos: "), F.format_string("%d:%d", 300 + key % 50, 1 + key % 999), F.lit(" rige. "), F.repeat(F.lit("y mas "), 60))
-    docs = table(spark, sf_dir, "part").select(F.format_string("fallos:999:%d", key).alias("id"), body.alias("text"))
+    docs = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.format_string("fallos:999:%d", key).alias("id"), body.alias("text"))
     return spans.extract_edges(docs).select("citing_id", "cited_id", "quote")
 
 
