@@ -18,27 +18,28 @@ def _order(seq: list[str]) -> Column:
     return F.struct(*seq)
 
 
-def fold_rulings(log: DataFrame, seq: list[str]) -> DataFrame:
+def fold_rulings(log: DataFrame, seq: list[str], also: tuple[str, ...] = ()) -> DataFrame:
     """Rulings: description and text state are what was written last, even if
-    null; short name, date and document id are the last that was not null."""
+    null; short name, date and document id are the last that was not null.
+    ``also`` names columns that hang on the key, which stay (in every fold)."""
     order = _order(seq)
-    last = [F.max_by(c, order).alias(c) for c in ("caption", "decided_year", "source_url", "text_status", "text_quality")]
+    last, first = ("caption", "decided_year", "source_url", "text_status", "text_quality"), ("volume", "page")
     kept = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("short_name", "decided_on", "csjn_doc_id")]
-    return log.groupBy("id").agg(F.min_by("volume", order).alias("volume"), F.min_by("page", order).alias("page"), *last, *kept)
+    return log.groupBy("id", *also).agg(F.min_by(F.struct(*first), order).alias("_first"), F.max_by(F.struct(*last), order).alias("_last"), *kept).select("id", *also, "_first.*", "_last.*", "short_name", "decided_on", "csjn_doc_id")
 
 
-def fold_aliases(log: DataFrame, seq: list[str]) -> DataFrame:
+def fold_aliases(log: DataFrame, seq: list[str], also: tuple[str, ...] = ()) -> DataFrame:
     """Aliases: the ruling written last, form and source written first."""
     order = _order(seq)
     some = log.where(F.length(F.trim("raw")) > 0)
-    return some.groupBy("raw").agg(F.max_by("ruling_id", order).alias("ruling_id"), F.min_by("form", order).alias("form"), F.min_by("source", order).alias("source"))
+    return some.groupBy("raw", *also).agg(F.max_by("ruling_id", order).alias("ruling_id"), F.min_by("form", order).alias("form"), F.min_by("source", order).alias("source"))
 
 
-def fold_citations(log: DataFrame, seq: list[str]) -> DataFrame:
+def fold_citations(log: DataFrame, seq: list[str], also: tuple[str, ...] = ()) -> DataFrame:
     """Citations: per pair and quote the last reading and the first record."""
-    order = _order(seq)
-    last = [F.max_by(c, order).alias(c) for c in ("treatment", "opinion", "confidence", "method")]
-    return log.groupBy("citing_id", "cited_id", "quote").agg(*last, F.min_by("sumario_id", order).alias("sumario_id"))
+    order, key = _order(seq), ("citing_id", "cited_id", "quote", *also)
+    last = F.struct("treatment", "opinion", "confidence", "method")  # one order for all of them, which an exchange would carry four times
+    return log.groupBy(*key).agg(F.max_by(last, order).alias("_last"), F.min_by("sumario_id", order).alias("sumario_id")).select(*key, "_last.*", "sumario_id")
 
 
 def fold_meta(log: DataFrame, seq: list[str]) -> DataFrame:
