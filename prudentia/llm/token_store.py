@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from prudentia.llm import elias_fano
 from prudentia.llm.storage import new_dir, written
 from prudentia.llm.textscan import chunks
-from prudentia.llm.wordcache import SegmentEncoder
+from prudentia.llm.wordcache import SegmentEncoder, joined
 
 MAGIC = b"EFTOK2\0\0"
 #: Mark, bytes of an id, ids, bytes of both sequences, first doc_id, documents
@@ -43,6 +43,8 @@ HEAD = "<8sQQQQqQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Bytes of text that a part file is planned to hold.
 PART_BYTES = 32 << 20
+#: Bytes of text that are encoded together: in more text fewer segments are new.
+CHUNK_BYTES = 4 << 20
 #: Part files whose sizes are summed together.
 BLOCK = 1024
 
@@ -58,14 +60,17 @@ def _encoder(path: str) -> SegmentEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = SegmentEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        vocabulary = tokenizer.get_vocab()
+        id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        id_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # byte-level pieces have a character for each byte
+        _encoders[path] = SegmentEncoder(joined(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], id_bytes))
     return _encoders[path]
 
 
 def _encoded(batches, tokenizer: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids (Arrow), sizes, ids) of each slice of the batches, end ids included."""
     encoder = _encoder(tokenizer)
-    for part in chunks(batches, "text"):
+    for part in chunks(batches, "text", CHUNK_BYTES):
         ids, first = encoder(part.column("text"))
         n = part.num_rows
         flat = np.empty(len(ids) + n, dtype=np.uint32)

@@ -9,6 +9,7 @@ one is encoded once per worker and texts are put together from the results.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from prudentia.llm.textscan import SPACE, column_bytes, in_group
 
 #: Distinct segments that a worker remembers before it starts afresh.
 MOST_KEPT = 800_000
+#: Segments that are encoded as one text.
+JOINED = 256
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -38,8 +41,42 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def listed(lists: list, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and how many each has."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=dtype, count=int(sizes.sum())), sizes
+
+
+def joined(encode: Callable[[list[str]], list], id_bytes: np.ndarray, dtype=np.int32) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """``encode`` for segments, called with up to ``JOINED`` of them as one text.
+
+    They are joined only where the text would be cut again, and told apart by the
+    bytes that each id stands for (``id_bytes``).  If these don't meet the bounds of
+    the segments, the encoder isn't one over bytes, and each is encoded by itself.
+    """
+
+    def run(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [p.encode() for p in parts]
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        whole = b"".join(raw)
+        begins = np.concatenate([[0], ends[:-1]])
+        apart = ~cuts(np.frombuffer(whole, np.uint8))[begins]
+        apart[::JOINED] = True
+        at = [*begins[apart].tolist(), len(whole)]
+        lists = encode([whole[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])
+        flat, _ = listed(lists, dtype)
+        until = np.cumsum(id_bytes[flat])
+        last = np.searchsorted(until, ends)
+        if len(until) and until[-1] == len(whole) and (until[last] == ends).all():
+            return flat, np.diff(last + 1, prepend=0)
+        return listed(encode(parts), dtype)
+
+    return run
+
+
 class SegmentEncoder:
-    """``encode(list of str) -> list of id lists`` applied to distinct segments.
+    """``encode(list of str) -> list of id lists``, or the ids of all and how many
+    each has, applied to distinct segments.
 
     With ``cut`` False whole texts are the segments.  With ``drop`` the space
     that a segment was cut at is left out, for encoders that put one before
@@ -58,9 +95,8 @@ class SegmentEncoder:
         self._used = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        lists = self._encode(fresh)
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=self._dtype, count=int(sizes.sum()))
+        made = self._encode(fresh)
+        flat, sizes = made if isinstance(made, tuple) else listed(made, self._dtype)
         n = len(self._known)
         while len(self._begin) < n + len(fresh):
             self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
@@ -109,13 +145,15 @@ class SegmentEncoder:
             return np.zeros(0, self._dtype), np.zeros(0, np.int64)
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self._known) + len(distinct) > self._most:
+        place = np.fromiter(map(self._known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        fresh = np.flatnonzero(place < 0)
+        if len(self._known) + len(fresh) > self._most:
             self._forget()
-        known = self._known
-        fresh = [s for s in distinct if s not in known]
-        if fresh:
-            self._learn(fresh)
-        place = np.fromiter((known[s] for s in distinct), dtype=np.int64, count=len(distinct))
+            fresh = np.arange(len(distinct))
+        if len(fresh):
+            n = len(self._known)
+            self._learn([distinct[i] for i in fresh.tolist()])
+            place[fresh] = np.arange(n, n + len(fresh))
         place = place[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self._length[place]
         return self._ids[np.repeat(self._begin[place], counts) + in_group(counts)], counts
