@@ -17,8 +17,10 @@ _MODERN = r"^([A-Z]{2,4})\s*(\d{3,7})\s*/\s*(\d{4})(?:\s*/\s*([A-Z0-9]{2,8}))?$"
 _CLASSIC = r"^([A-Z])\.?\s*(\d{1,4})\.?\s*([IVXLCDM]{1,8})\.?(?:\s*([A-Z]{2,4})\.?)?$"
 _ROMAN = r"^[IVXLCDM]{1,8}\.?$"
 _NOISE = r"(?iU)(?:\bs/|\bc/|\by\s+otros?\b|\by\s+otras?\b|\bs\.?a\.?\b|\bs\.?r\.?l\.?\b|\bcausa\s+n[°º]?\s*\d+\b|\brecurso\s+de\s+hecho\b|\bexpte\.?)"
-_TOKEN = r"""^[A-Za-zÁÉÍÓÚÑÜáéíóúñü][A-Za-zÁÉÍÓÚÑÜáéíóúñü.,;:()«»"'\-]*$"""
+_INNER = r"""[A-Za-zÁÉÍÓÚÑÜáéíóúñü.,;:()«»"'\-]"""
 _VOWEL = r"[aeiouáéíóúAEIOUÁÉÍÓÚ]"
+# a whole token of two or more such characters, the first a letter, with a vowel
+_WORDLIKE = rf"(?U)(?<!\S)(?={_INNER}*?{_VOWEL})[A-Za-zÁÉÍÓÚÑÜáéíóúñü]{_INNER}++(?!\S)"
 _CITING_LINK = r">\s*Fallos:\s*(\d{1,3}):(\d{1,%d})\s*<"
 
 
@@ -77,22 +79,27 @@ def clean_text(raw: Column) -> Column:
 
 def join_page_breaks(text: Column) -> Column:
     """Text without page furniture; words cut by it are whole again."""
-    out = F.regexp_replace(text, r"(?s)-//-.{0,400}?-//-", "")
-    out = F.regexp_replace(F.regexp_replace(out, "-//-", ""), r"(?U)(?<!\w)-\d{1,4}-(?!\w)", " ")
+    # texts without furniture are told by a look for it, and a number's first dash
+    # is looked for before what stands around it
+    out = F.when(text.contains("-//-"), F.regexp_replace(F.regexp_replace(text, r"(?s)-//-.{0,400}?-//-", ""), "-//-", "")).otherwise(text)
+    out = F.regexp_replace(out, r"(?U)-(?<!\w-)\d{1,4}-(?!\w)", " ")
     return F.regexp_replace(out, r"[ \t]{2,}", " ")
 
 
 def text_quality(text: Column) -> Column:
-    """The share of blank-separated tokens that look like words; 0 for none."""
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    wordlike = F.filter(tokens, lambda t: (F.length(t) >= 2) & t.rlike(_TOKEN) & t.rlike(_VOWEL))
-    return F.when(F.size(tokens) > 0, F.size(wordlike) / F.size(tokens)).otherwise(F.lit(0.0))
+    """The share of blank-separated tokens that look like words; 0 for none.
+    Both are counted in the text: nothing is asked of tokens one by one."""
+    ends = F.array(text == "", F.substring(text, 1, 1).rlike(r"(?U)\s"), F.substring(text, -1, 1).rlike(r"(?U)\s"))
+    tokens = F.size(F.split(text, r"(?U)\s+")) - F.size(F.array_remove(ends, False))  # less the empty parts
+    return F.when(tokens > 0, F.regexp_count(text, F.lit(_WORDLIKE)) / tokens).otherwise(F.lit(0.0))
 
 
-def text_status(text: Column, floor: float = QUALITY_FLOOR) -> Column:
-    """What the quality gate says of an extracted text."""
+def text_status(text: Column, floor: float = QUALITY_FLOOR, quality: Column | None = None) -> Column:
+    """What the quality gate says of an extracted text, of which ``quality`` may be
+    known."""
     blank = F.coalesce(text.rlike(r"(?U)^\s*$"), F.lit(True))
-    return F.when(blank, "unavailable").when(text_quality(text) >= floor, "extracted").otherwise("garbled")
+    quality = text_quality(text) if quality is None else quality
+    return F.when(blank, "unavailable").when(quality >= floor, "extracted").otherwise("garbled")
 
 
 def strip_html(value: Column) -> Column:
