@@ -17,7 +17,7 @@ from prudentia.llm.near_dup import near_duplicates
 from prudentia.llm.perplexity import judge
 from prudentia.llm.pieces import encode_and_decode
 from prudentia.llm.queries import SOURCE_WEIGHTS, piece_model
-from prudentia.llm.storage import written
+from prudentia.llm.storage import scratch, written
 from prudentia.llm.suffix_dedup import remove_repeats
 from prudentia.plans.session import ship_package
 
@@ -52,7 +52,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words have no near-duplicates.
     """
     docs = once(docs)
-    gone = near_duplicates(docs.select(COLUMNS), percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    with scratch(spark):
+        judged = near_duplicates(docs.select(COLUMNS), percent=80)
+        gone = written(judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone", stays=True)
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 

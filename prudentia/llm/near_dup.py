@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from prudentia.llm.components import components
 from prudentia.llm.storage import written
-from prudentia.llm.textscan import LOWER, SubstringHash, chunks, column_bytes, in_group, mix, sums, words
+from prudentia.llm.textscan import LOWER, SubstringHash, chunks, column_bytes, give_back, in_group, mix, sums, words
 
 U64 = np.uint64
 WIDTH = 5
@@ -148,7 +148,8 @@ class _Forest:
 
 
 def _groups(batches, key: str) -> Iterator[pa.Table]:
-    """The consecutive rows of each key, for input sorted by it."""
+    """The consecutive rows of each key, for input sorted by it; memory goes back
+    after the last."""
     held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
@@ -164,7 +165,9 @@ def _groups(batches, key: str) -> Iterator[pa.Table]:
             at = cut
         held = [whole.slice(at)]
     if held:
-        yield held[0]
+        yield held.pop()
+    whole = None
+    give_back()
 
 
 def _sketches(column) -> np.ndarray:
@@ -248,6 +251,7 @@ def _with_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             value = [alike(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column("members"), batch.column("pivot_members"), strict=True)]
             both = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), batch.column("percent")[0].as_py()) for a, b in zip(batch.column("members"), batch.column("pivot_members"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("class"), pa.array(value, pa.float64()), pa.array(both, pa.bool_())], ["pivot", "class", "similarity", "linked"])
+        give_back()
 
     joined = pairs.join(sets, "class").join(sets.select(F.col("class").alias("pivot"), F.col("members").alias("pivot_members")), "pivot")
     return joined.mapInArrow(run, "pivot long, class long, similarity double, linked boolean")
@@ -283,6 +287,7 @@ def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: in
                             found.append((a, b))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        give_back()
 
     return _blocks(left, sets, "left").join(_blocks(right, sets, "right"), "node").select("left", "right").mapInArrow(run, "a long, b long")
 
@@ -296,6 +301,7 @@ def _close(pairs: DataFrame, least: int) -> DataFrame:
                 own, other = (_sketches(batch.column(c)) for c in ("sketch", "pivot_sketch"))
                 near = np.flatnonzero((own == other).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near)) for c in ("pivot", "class")], ["pivot", "class"])
+        give_back()
 
     return pairs.select("pivot", "class", "sketch", "pivot_sketch").mapInArrow(run, "pivot long, class long")
 

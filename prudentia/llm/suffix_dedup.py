@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from prudentia.llm import bwt
-from prudentia.llm.storage import aside, written
-from prudentia.llm.textscan import SubstringHash, chunks, column_bytes, in_group
+from prudentia.llm.storage import aside, release, scratch, written
+from prudentia.llm.textscan import SubstringHash, chunks, column_bytes, give_back, in_group
 
 U64 = np.uint64
 LENGTH = 200
@@ -134,6 +134,8 @@ def _combined(found: DataFrame) -> DataFrame:
                 held.clear()
         if held:
             yield out()
+            held.clear()
+        give_back()
 
     return found.select(names).mapInArrow(combine, ", ".join(f"{c} long" for c in names))
 
@@ -221,6 +223,8 @@ def _merged(bodies: DataFrame) -> DataFrame:
             last = keys[-1]
         if held:
             yield solve(held)
+            held = []
+        give_back()
 
     return bodies.select("a", "s", "n", "w", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, s long, begin long, end long")
 
@@ -253,6 +257,7 @@ def _shorter(bodies: DataFrame, windows: int) -> DataFrame:
             core = h(base + whole + windows - 1, base + whole + LENGTH) ^ ((a[of].view(np.uint64) + place) * _SALT)
             content = h(base + shift, base + end + LENGTH - 1)
             yield pa.RecordBatch.from_arrays(_longs(core, content, end - shift, lead[of] - shift, row[of], at[of] + shift, w[of], a[of], s[of], shift), names)
+        give_back()
 
     return bodies.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -279,10 +284,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``row`` tells texts apart; rows equal in it have equal texts, and count as
     often as they occur.
     """
-    found = written(anchors(docs), "anchors")
-    runs = written(_runs(docs, found.withColumn("w", F.lit(1).cast("long")), 0), "runs")
-    hits = found.select("a", "s", "row", "at").join(runs, ["a", "s"])
-    return hits.groupBy("row").agg(F.collect_set(F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end") + (LENGTH - 1)).alias("end"))).alias("spans"))  # of one text
+    spark = docs.sparkSession
+    with scratch(spark):  # all of it is gone before texts are moved
+        found = written(anchors(docs), "anchors")
+        runs = written(_runs(docs, found.withColumn("w", F.lit(1).cast("long")), 0), "runs")
+        release(spark)
+        hits = found.select("a", "s", "row", "at").join(runs, ["a", "s"])
+        spans = hits.groupBy("row").agg(F.collect_set(F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end") + (LENGTH - 1)).alias("end"))).alias("spans"))  # of one text
+        return written(spans, "spans", stays=True)
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
