@@ -1,13 +1,17 @@
 """Mining recurrent phrases: n-grams around the words that carry a treatment.
 
-Phrases are counted by 64-bit hashes first: a row of two numbers for each phrase of
-a passage, and only of words frequent enough.  Those whose hash is among the most
-frequent are made as strings, and these are counted exactly.
+Phrases are counted by 64-bit hashes first: tasks send a row of two numbers for each
+phrase of a stretch of passages, and only of words frequent enough.  Those whose hash is
+among the most frequent are made as strings, and these are counted exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +77,82 @@ def frequent_words(passages: DataFrame, words: str, most: int) -> tuple[list[str
     return ([r["w"] for r in top[:most]], top[most]["n"]) if len(top) > most else (None, 0)
 
 
+#: Words that a task counts the phrases of at once.
+STRETCH = 1 << 18
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _chained(number: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a number behind what has the hash ``seed``."""
+    turned = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    h = seed + _P5 + np.uint64(8) ^ turned(number * _P2, 31) * _P1
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _marks(stems: list[str] | None) -> tuple:
+    """Whether a word is an edge word, and whether it carries a stem."""
+    carries = (lambda w: F.lit(True)) if stems == [""] else (lambda w: w.rlike("|".join(stems or STEMS)))
+    return (lambda w: w.isin(EDGE_WORDS)), carries
+
+
+def _code(word: Column, edge: Column, stem: Column) -> Column:
+    """A word's hash, whose lowest bits are its marks."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-4)).bitwiseOR(F.when(edge, 1).otherwise(0).cast("long")).bitwiseOR(F.when(stem, 2).otherwise(0).cast("long"))
+
+
+def phrase_counts(passages: DataFrame, words: str, stems: list[str] | None, kept: list[str] | None = None) -> DataFrame:
+    """(h, n): in how many passages each phrase occurs, by the hash of its words'
+    codes.  What a phrase is, see :func:`starts`."""
+    edge, carries = _marks(stems)
+    codes = F.transform(words, lambda w: F.when(w.isNotNull() if kept is None else w.isin(kept), _code(w, edge(w), carries(w))))
+
+    def stretches(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(codes, known, passage) of whole passages, about ``STRETCH`` words."""
+        for batch in batches:
+            lists = batch.column("codes")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            code, ends = flat.fill_null(0).to_numpy().view(np.uint64), np.cumsum(sizes)
+            row, at = 0, 0
+            while row < len(sizes):
+                to = max(row + 1, int(np.searchsorted(ends, at + STRETCH, "right")))
+                end = int(ends[to - 1])
+                yield code[at:end], known[at:end], np.repeat(np.arange(to - row), sizes[row:to])
+                row, at = to, end
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for code, known, passage in stretches(batches):
+            edge, stem = (code & np.uint64(1)).astype(bool), (code & np.uint64(2)).astype(bool)
+            at = np.flatnonzero(known & ~edge)
+            h, has = _chained(code[at], np.full(len(at), 42, np.uint64)), stem[at]
+            hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for k in range(1, MOST_WORDS):
+                inside = at + k < len(code)
+                at, h, has = at[inside], h[inside], has[inside]
+                goes_on = known[at + k] & (passage[at + k] == passage[at])
+                at, h, has = at[goes_on], h[goes_on], has[goes_on]
+                h, has = _chained(code[at + k], h), has | stem[at + k]
+                whole = has & ~edge[at + k]
+                hashes.append(h[whole])
+                owners.append(passage[at[whole]])
+            every, owner = np.concatenate(hashes), np.concatenate(owners)
+            order = np.lexsort((owner, every))
+            every, owner = every[order], owner[order]
+            new = np.ones(len(every), dtype=bool)
+            new[1:] = every[1:] != every[:-1]
+            once = new.copy()
+            once[1:] |= owner[1:] != owner[:-1]
+            first = np.flatnonzero(new)
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(every[first].view(np.int64)), pa.array(np.add.reduceat(once.astype(np.int64), first))], ["h", "n"])
+
+    return passages.select(codes.alias("codes")).where(F.size("codes") >= LEAST_WORDS).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
 def starts(passages: DataFrame, words: str, stems: list[str] | None, kept: list[str] | None = None) -> DataFrame:
     """(passage, w1, ..., w6): each word that may begin a phrase with those behind
     it, each marked as an edge word and as carrying a stem; null for words that
@@ -82,8 +162,8 @@ def starts(passages: DataFrame, words: str, stems: list[str] | None, kept: list[
     and ends with other words, so phrases between words that are none are all that
     n-grams give; a phrase has a stem if one of its words has.
     """
-    carries = (lambda w: F.lit(True)) if stems == [""] else (lambda w: w.rlike("|".join(stems or STEMS)))
-    one = lambda w: F.struct(w.alias("w"), w.isin(EDGE_WORDS).alias("edge"), carries(w).alias("stem"))
+    edge, carries = _marks(stems)
+    one = lambda w: F.struct(w.alias("w"), edge(w).alias("edge"), carries(w).alias("stem"), _code(w, edge(w), carries(w)).alias("code"))
     marked = F.transform(words, lambda w: F.when(w.isNotNull() if kept is None else w.isin(kept), one(w)))
     numbered = passages.select(F.monotonically_increasing_id().alias("passage"), marked.alias("m")).where(F.size("m") >= LEAST_WORDS)
     size = F.size("m")
@@ -98,7 +178,7 @@ def _phrases(made) -> Column:
     for k in range(2, MOST_WORDS + 1):
         last = F.col(f"w{k}")
         whole, stem = whole & last.isNotNull(), stem | last["stem"]
-        out.append(F.when(whole & ~last["edge"] & stem, made([F.col(f"w{j}")["w"] for j in range(1, k + 1)])))
+        out.append(F.when(whole & ~last["edge"] & stem, made([F.col(f"w{j}") for j in range(1, k + 1)])))
     return F.array(*out)
 
 
@@ -120,9 +200,8 @@ def mine(passages: DataFrame, words: str, least: int, top: int, stems: list[str]
     spark = passages.sparkSession
     for most in (*VOCABULARY, None):
         kept, bound = frequent_words(passages, words, most) if most else (None, 0)
-        begun, folder = starts(passages, words, stems, kept), new_dir(spark, "phrases")
-        hashed = begun.select("passage", F.explode(_phrases(lambda ws: F.xxhash64(*ws))).alias("h")).where("h IS NOT NULL").distinct()
-        hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, bound)).write.parquet(folder)  # read twice, made once
+        folder = new_dir(spark, "phrases")
+        phrase_counts(passages, words, stems, kept).where(F.col("n") >= max(least, bound)).write.parquet(folder)  # read twice, made once
         counts = spark.read.schema("h long, n long").parquet(folder)
         last, rows = counts.orderBy(F.desc("n")).limit(top).agg(F.min("n"), F.count("*")).first()
         if kept is None or rows == top and last > bound:
@@ -130,7 +209,8 @@ def mine(passages: DataFrame, words: str, least: int, top: int, stems: list[str]
     if last is None:
         return spark.createDataFrame([], "gram string, n long")
     best = counts.where(F.col("n") >= last).select("h")
-    each = begun.select("passage", F.explode(_phrases(lambda ws: F.struct(F.xxhash64(*ws).alias("h"), F.concat_ws(" ", *ws).alias("gram")))).alias("g")).where("g IS NOT NULL")
+    begun = starts(passages, words, stems, kept)
+    each = begun.select("passage", F.explode(_phrases(lambda ws: F.struct(F.xxhash64(*[w["code"] for w in ws]).alias("h"), F.concat_ws(" ", *[w["w"] for w in ws]).alias("gram")))).alias("g")).where("g IS NOT NULL")
     grams = each.select("passage", "g.*").join(best, "h", "left_semi").select("passage", "gram").distinct()
     found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return found.orderBy(F.desc("n"), "gram").limit(top)
