@@ -30,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts fail.  Null languages are a language of their own.
     Repeated rows are judged alike and all stay or go.
     """
+    ship_package(spark)
     return judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
@@ -51,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the text of both.  Documents without a doc_id aren't judged and stay; those
     without words have no near-duplicates.
     """
+    ship_package(spark)
     docs = once(docs)
     with scratch(spark):
         judged = near_duplicates(docs.select(COLUMNS), percent=80)
@@ -61,6 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that occur more than once.  Null texts
     stay null; a text that is all repeated becomes empty."""
+    ship_package(spark)
     return remove_repeats(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
@@ -68,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, as repeated rows.  Null sources
     are one source; null and empty texts have no size and come as often as their
     source is taken whole.  Rows that agree in doc_id and text count once."""
+    ship_package(spark)
     docs = once(docs.select(COLUMNS))
     key = F.xxhash64("text")
     sized = written(docs.select("doc_id", "source", key.alias("_text"), word_count(F.col("text")).alias("size")), "sizes")
@@ -79,6 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its ids, the bytes that their spans cover and a digest of
     what they decode to.  Null and empty texts have begin and end ids only."""
+    ship_package(spark)
     return encode_and_decode(docs.select(COLUMNS), piece_model())
 
 
@@ -96,7 +101,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
