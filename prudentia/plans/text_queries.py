@@ -209,7 +209,7 @@ def _named(spark, sf_dir):
 
 def fts_prefix_bm25_all(spark, sf_dir):
     """By a scan of all captions."""
-    return resolve.suggest_captions(_named(spark, sf_dir), "raw", rulings(spark, sf_dir))
+    return resolve.suggest_captions(_named(spark, sf_dir), "raw", dealt(rulings(spark, sf_dir), "id"))
 
 
 _indexes: dict[tuple[str, str], TextIndex] = {}

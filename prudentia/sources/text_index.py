@@ -154,7 +154,7 @@ class TextIndex:
         else:
             found = classes.select("f", "class", "score").join(self._table("captions").select("class", "text"), "class").join(self._table("members"), "text").select("f", "score", "id")
         best = found.withColumn("place", F.row_number().over(W.partitionBy("f").orderBy(F.desc("score"), "id"))).where(F.col("place") <= most)
-        return asked.select("query", prefixes(F.col(raw)).alias("f")).join(best, "f").select("query", "place", "id", "score")
+        return asked.select("query", prefixes(F.col(raw)).alias("f")).hint("merge").join(best, "f").select("query", "place", "id", "score")
 
     @staticmethod
     def _shut(bar: DataFrame, chosen: DataFrame) -> DataFrame:
