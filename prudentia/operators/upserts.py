@@ -35,9 +35,10 @@ def fold_aliases(log: DataFrame, seq: list[str], also: tuple[str, ...] = ()) ->
     return some.groupBy("raw", *also).agg(F.max_by("ruling_id", order).alias("ruling_id"), F.min_by("form", order).alias("form"), F.min_by("source", order).alias("source"))
 
 
-def fold_citations(log: DataFrame, seq: list[str], also: tuple[str, ...] = ()) -> DataFrame:
-    """Citations: per pair and quote the last reading and the first record."""
-    order, key = _order(seq), ("citing_id", "cited_id", "quote", *also)
+def fold_citations(log: DataFrame, seq: list[str], also: tuple[str, ...] = (), key: tuple[str, ...] = ("citing_id", "cited_id", "quote")) -> DataFrame:
+    """Citations: per pair and quote the last reading and the first record.  Rows that
+    lie in the order of ``also`` and ``key`` need no sort for it, and leave it so."""
+    order, key = _order(seq), (*also, *key)
     last = F.struct("treatment", "opinion", "confidence", "method")  # one order for all of them, which an exchange would carry four times
     return log.groupBy(*key).agg(F.max_by(last, order).alias("_last"), F.min_by("sumario_id", order).alias("sumario_id")).select(*key, "_last.*", "sumario_id")
 

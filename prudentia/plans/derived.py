@@ -22,7 +22,7 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 
 def ruling_id(key):
     """The id of the ruling made from a part key."""
-    return F.format_string("fallos:%d:%d", 300 + F.pmod(key, F.lit(50)), 1 + F.floor(key / F.lit(50.0)))
+    return F.concat(F.lit("fallos:"), 300 + F.pmod(key, F.lit(50)), F.lit(":"), 1 + F.floor(key / F.lit(50.0)))
 
 
 def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def citation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.element_at(F.array(*map(F.lit, _TREATMENTS)), F.col("l_linenumber")).alias("treatment"),
             opinion.alias("opinion"),
             (F.round(F.col("l_discount") * 100).cast("int") / F.lit(10.0)).alias("confidence"),
-            F.format_string("passage %d/%d", "l_orderkey", "l_linenumber").alias("quote"),
+            F.concat(F.lit("passage "), "l_orderkey", F.lit("/"), "l_linenumber").alias("quote"),
             F.element_at(F.array(*map(F.lit, ("rule", "llm", "manual"))), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("method"),
             F.col("l_suppkey").alias("sumario_id"),
             F.col("l_shipdate").alias("seq_date"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does when the
+    driver collects its garbage, which may be long after the next job began."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Folder:
     """A folder of Hadoop's file systems, as the driver uses it for small files."""
 
